@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their SQL counterparts."""
 
-from . import extract, lines, quality
+from . import extract, lines, quality, warc
 
-MODULES = (lines, extract, quality)
+MODULES = (warc, lines, extract, quality)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: q for m in MODULES for k, q in m.ORACLES.items()}
