@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their SQL counterparts."""
 
-from . import extract, lines, nearcopy, quality, warc
+from . import extract, lines, mixing, nearcopy, quality, warc
 
-MODULES = (warc, lines, extract, nearcopy, quality)
+MODULES = (warc, lines, extract, nearcopy, mixing, quality)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: q for m in MODULES for k, q in m.ORACLES.items()}
