@@ -11,11 +11,14 @@ from .common import written
 SALTS = 16
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: str, how: str = "inner") -> DataFrame:
-    """``big`` joined with ``small``, whose keys are distinct, with each key of ``big`` dealt out by a hash of ``spread``."""
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: str, how: str = "inner", merge: bool = True) -> DataFrame:
+    """``big`` joined with ``small``, whose keys are distinct, with each key of ``big`` dealt out by a hash of ``spread``.
+
+    By sort-merge, unless ``merge`` is false: Spark's size check sees ``small`` before its rows are repeated for the salts.
+    """
     salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
     dealt = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return big.withColumn("_salt", salt).join(dealt, [*keys, "_salt"], how).drop("_salt")
+    return big.withColumn("_salt", salt).join(dealt.hint("merge") if merge else dealt, [*keys, "_salt"], how).drop("_salt")
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

@@ -90,7 +90,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", tokens: Column | None = None, l
     plan = plan.withColumns({"full": F.expr("CASE WHEN tokens > 0 THEN budget div tokens ELSE 0 END"), "parts": F.ceil(F.col("n") / PART).cast("long")}).withColumns({"epoch": F.col("full") + 1, "rest": F.col("budget") - F.col("full") * F.col("tokens")})
     plan = written(plan.select(*keys, "full", "parts", "epoch", "rest"), "mix-plan")
     place = F.struct(_order(seed, "epoch", "_id").alias("h"), F.col("_id").alias("id"))
-    placed = salted_join(slim, plan, keys, "_id").withColumn("place", place).withColumn("part", F.shiftright(F.col("place.h") * F.col("parts"), 32))
+    placed = salted_join(slim, plan, keys, "_id", merge=False).withColumn("place", place).withColumn("part", F.shiftright(F.col("place.h") * F.col("parts"), 32))
     sums = placed.groupBy(*keys, "part", "rest").agg(F.sum("n_tokens").alias("t"))
     upto = sums.withColumn("upto", F.sum("t").over(W.partitionBy(*keys).orderBy("part")))
     ends = written(upto.where(F.col("upto") > F.col("rest")).groupBy(*keys).agg(F.min("part").alias("end"), F.min_by(F.col("upto") - F.col("t"), "part").alias("before")), "mix-ends")
@@ -98,7 +98,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", tokens: Column | None = None, l
     within = close.withColumn("upto", F.col("before") + F.sum("n_tokens").over(W.partitionBy(*keys).orderBy("place")))
     last = within.where(F.col("upto") <= F.col("rest")).groupBy(*keys).agg(F.max("place").alias("last"))
     final = written(plan.join(ends.select(*keys, "end"), keys, "left").join(last, keys, "left"), "mix-final")
-    out = salted_join(named, final, keys, "_id").withColumn("place", place).withColumn("part", F.shiftright(F.col("place.h") * F.col("parts"), 32))
+    out = salted_join(named, final, keys, "_id", merge=False).withColumn("place", place).withColumn("part", F.shiftright(F.col("place.h") * F.col("parts"), 32))
     taken = F.coalesce(F.col("end").isNull() | (F.col("part") < F.col("end")) | ((F.col("part") == F.col("end")) & (F.col("place") <= F.col("last"))), F.lit(False)) & (F.col("rest") > 0)
     return out.select(*[F.col(f"d_{c}").alias(c) for c in other], "n_tokens", (F.col("full") + taken.cast("int")).cast("long").alias("times"))
 

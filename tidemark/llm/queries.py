@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their SQL counterparts."""
 
-from . import decontaminate, extract, lines, mixing, nearcopy, quality, tokens, warc
+from . import decontaminate, extract, lines, mixing, nearcopy, quality, suffixes, tokens, warc
 
-MODULES = (tokens, warc, lines, decontaminate, extract, nearcopy, mixing, quality)
+MODULES = (tokens, warc, suffixes, lines, decontaminate, extract, nearcopy, mixing, quality)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: q for m in MODULES for k, q in m.ORACLES.items()}
