@@ -74,3 +74,21 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         out = mix(out * _U(3) + h[i : i + n] + _U(i + 1))
     return out
+
+
+_LOW = _U((1 << 17) - 1)
+
+
+def winnow(g: np.ndarray, span: int) -> np.ndarray:
+    """Places of the least value, the last of equals, of every ``span`` neighbours; of all where there are fewer. Values count without their 17 lowest bits."""
+    out = []
+    for c in range(0, max(min(1, len(g)), len(g) - span + 1), 1 << 16):
+        piece = g[c : c + (1 << 16) + span - 1]
+        v = (piece & ~_LOW) | (_LOW - np.arange(len(piece), dtype=_U))
+        n, done = min(span, len(piece)), 1
+        while 2 * done <= n:
+            v = np.minimum(v[:-done], v[done:])
+            done *= 2
+        v = np.minimum(v[: len(v) - (n - done)], v[n - done :])
+        out.append(np.unique(_LOW - (v & _LOW)).astype(np.int64) + c)
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
