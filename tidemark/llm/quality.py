@@ -83,7 +83,8 @@ def repeat_words(docs: DataFrame, words: str, window: int, out: str) -> DataFram
     at = F.filter("_s", lambda x, j: F.when(j > 0, same(x, j - 1)).otherwise(F.lit(False)) | same(x, j + 1))
     df = df.withColumn("_p", F.sort_array(F.transform(at, lambda x: x["i"])))
     covered = F.aggregate("_p", F.struct(F.lit(0).alias("n"), F.lit(-window).alias("last")), lambda a, p: F.struct((a["n"] + F.least(F.lit(window), p - a["last"])).alias("n"), p.alias("last")), lambda a: a["n"])
-    return df.withColumn(out, F.coalesce(covered, F.lit(0)).cast("long")).drop("_h", "_s", "_p")
+    once = F.monotonically_increasing_id() >= 0  # always true; keeps filters from being moved ahead, where all this would be computed again
+    return df.withColumn(out, F.when(once, F.coalesce(covered, F.lit(0)).cast("long"))).drop("_h", "_s", "_p")
 
 
 def quality(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:
