@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,7 +36,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._written_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`written` that no later step reads, and lets Spark delete the shuffle files behind them."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(t._written_at)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    if tables:
+        sc._jvm.System.gc()
 
 
 def text_of(name: str = "text") -> Column:

@@ -11,13 +11,16 @@ from .common import written
 SALTS = 16
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: str, how: str = "inner", merge: bool = True) -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: str, how: str = "inner", merge: bool = True, hot: str | None = None) -> DataFrame:
     """``big`` joined with ``small``, whose keys are distinct, with each key of ``big`` dealt out by a hash of ``spread``.
 
     By sort-merge, unless ``merge`` is false: Spark's size check sees ``small`` before its rows are repeated for the salts.
+    ``hot`` names a flag that both sides have for each key; only keys with it are dealt out.
     """
-    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
-    dealt = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt, salts = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"), F.sequence(F.lit(0), F.lit(SALTS - 1))
+    if hot:
+        salt, salts, keys = F.when(F.col(hot), salt).otherwise(0), F.when(F.col(hot), salts).otherwise(F.array(F.lit(0))), [*keys, hot]
+    dealt = small.withColumn("_salt", F.explode(salts))
     return big.withColumn("_salt", salt).join(dealt.hint("merge") if merge else dealt, [*keys, "_salt"], how).drop("_salt")
 
 

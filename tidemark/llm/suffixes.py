@@ -7,7 +7,6 @@ suffix order, gram by gram; there, the previous and next smaller positions give
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of, written
+from .common import dropped, table, text_of, written
 from .components import salted_join
 from .hashing import mix, powers, prefix_sums
 
@@ -170,12 +169,6 @@ def _keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "kept", "spans"])
 
 
-def _free(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of jobs whose results are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_bytes, kept (binary), spans``, a row per distinct non-null integer ``doc_id``.
 
@@ -188,23 +181,25 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     base = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("_text"))
     base = _one_row_each(base)
     rows = written(base.where(F.octet_length("_text") >= LIMIT).mapInPandas(_regions, "gram long, content long, id long, a int, n int"), "suffix-regions")
-    twice = written(rows.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"), "suffix-grams")
+    twice = written(rows.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram", (F.col("c") > CROWD).alias("hot")), "suffix-grams")
     shared = written(rows.join(twice, "gram"), "suffix-shared")
-    _free(spark)
-    kinds = written(shared.groupBy("gram", "content").agg(F.min(F.struct("id", "a", "n")).alias("top"), F.count("*").alias("c")), "suffix-kinds")
-    copies = kinds.where("c > 1").select("gram", "content", F.col("top.id").alias("top_id"), F.col("top.a").alias("top_a"))
-    later = salted_join(shared, copies, ["gram", "content"], "id").where((F.col("id") != F.col("top_id")) | (F.col("a") != F.col("top_a"))).select("id", "a", "n")
-    several = written(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"), "suffix-several")
-    ask = salted_join(kinds.select("gram", "top.*"), several, ["gram"], "id")
+    dropped(rows, twice)
+    kinds = written(shared.groupBy("gram", "content", "hot").agg(F.min(F.struct("id", "a", "n")).alias("top"), F.count("*").alias("c")), "suffix-kinds")
+    copies = kinds.where("c > 1").select("gram", "content", "hot", F.col("top.id").alias("top_id"), F.col("top.a").alias("top_a"))
+    later = salted_join(shared, copies, ["gram", "content"], "id", hot="hot").where((F.col("id") != F.col("top_id")) | (F.col("a") != F.col("top_a"))).select("id", "a", "n")
+    later = written(later, "suffix-later")
+    dropped(shared)
+    several = written(kinds.groupBy("gram", "hot").agg(F.count("*").alias("kinds")).where("kinds > 1"), "suffix-several")
+    ask = salted_join(kinds.select("gram", "hot", "top.*"), several, ["gram"], "id", hot="hot")
     ask = ask.groupBy("id").agg(F.collect_list(F.struct("gram", "a", "n", (F.col("kinds") > CROWD).alias("crowd"))).alias("wanted"))
     cut = written(base.join(ask, "id").mapInPandas(_cut_out, "crowd boolean, gram long, more long, id long, a int, n int, bytes binary"), "suffix-bytes")
-    _free(spark)
+    dropped(kinds, several)
     found = cut.where("NOT crowd").select("gram", "id", "a", "n", "bytes").repartition("gram").sortWithinPartitions("gram").mapInPandas(_factors, "id long, a int, n int")
     crowd = cut.where("crowd")
     least = written(crowd.groupBy("gram", "more").agg(F.min(F.struct("id", "a")).alias("top"), F.count("*").alias("c")).where("c > 1").select("gram", "more", F.col("top.id").alias("top_id"), F.col("top.a").alias("top_a")), "suffix-least")
     also = salted_join(crowd, least, ["gram", "more"], "id").where((F.col("id") != F.col("top_id")) | (F.col("a") != F.col("top_a"))).select("id", "a", "n")
     spans = written(later.unionByName(found).unionByName(also).groupBy("id").agg(F.collect_list(F.struct("a", "n")).alias("spans")), "suffix-spans")
-    _free(spark)
+    dropped(cut, later, least)
     return base.join(spans, "id", "left").mapInPandas(_keep, "doc_id long, n_bytes long, kept binary, spans array<array<long>>")
 
 
