@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..config import Policy
 from ..functions import text as T
+from ..functions.once import once
 
 
 def first_per_key(df: DataFrame, key: Column, order: str = "ord") -> DataFrame:
@@ -34,13 +35,16 @@ def evaluate(items: DataFrame, policy: Policy, today: Column, lookback: int = 12
     """``items`` with final category, ``base_score``, ``reasons`` to reject (sorted) and ``flags``. One projection, no shuffle."""
     title = T.normalize(F.col("title"))
     df = items.withColumns({"_title": title, "_low_title": F.lower(title)}).withColumn("_text", F.lower(F.concat_ws(" ", "_title", T.strip_html(F.col("description")))))
+    df = once(df)
     text, low = F.col("_text"), F.col("_low_title")
     core = [k for k in C.UFO_KEYWORDS if k not in C.AMBIGUOUS_KEYWORDS]
     df = df.withColumns({"_core": T.context_hits(text, core), "_amb": T.keyword_hits(text, C.AMBIGUOUS_KEYWORDS), "_crisis": T.keyword_hits(text, C.CRISIS_KEYWORDS), "_hard": T.keyword_hits(text, C.CRISIS_HARD_KEYWORDS), "_act": T.keyword_hits(text, C.OFFICIAL_ACTIONS), "_pol": T.keyword_hits(text, C.POLITICAL_KEYWORDS), "official": T.is_official(F.col("source")), "aggregator": T.is_aggregator(F.col("source"))})
     n = {c: F.size(f"_{c}") for c in ("core", "amb", "crisis", "hard", "act", "pol")}
     df = df.withColumn("_signal", F.when(n["core"] > 0, n["core"] + n["amb"]).otherwise(0)).withColumn("_strength", n["crisis"] + n["hard"] + n["act"])
+    df = once(df)
     sig, strength = F.col("_signal"), F.col("_strength")
     df = df.withColumn("category", F.when(sig > strength, "ufo").when(strength > sig, "crisis").otherwise(F.col("category")))
+    df = once(df)
     url, length = F.coalesce("url", F.lit("")), F.length("_title")
     known = F.coalesce("date_parsed_ok", F.lit(False))
     late, early = F.col("date") > F.date_add(today, 1), F.col("date") < F.date_sub(today, lookback)
@@ -86,7 +90,7 @@ def evaluate(items: DataFrame, policy: Policy, today: Column, lookback: int = 12
     reasons = F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()])))
     flags = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in {"alien_term_immigration_context": T.immigration_context(text), "community_source": F.col("source_type") == "reddit", "aggregator_source": F.col("aggregator"), "spammy_title_pattern": T.spammy(F.col("_title")), "official_missing_published_at": F.col("official") & F.col("published_at").isNull()}.items()]))
     out = df.withColumns({"base_score": F.greatest(F.lit(0), score), "reasons": reasons, "flags": flags})
-    return out.select(*items.columns, "official", "aggregator", "base_score", "reasons", "flags", F.col("_signal").alias("ufo_relevance"), F.size("_crisis").alias("crisis_relevance"))
+    return once(out.select(*items.columns, "official", "aggregator", "base_score", "reasons", "flags", F.col("_signal").alias("ufo_relevance"), F.size("_crisis").alias("crisis_relevance")))
 
 
 def corroborate(items: DataFrame) -> DataFrame:
@@ -94,7 +98,7 @@ def corroborate(items: DataFrame) -> DataFrame:
 
     Sources are counted by aggregation and joined back by claim: a claim that a third of all items make is combined in the map tasks.
     """
-    df = items.withColumns({"fingerprint": T.claim_fingerprint(F.col("category"), F.col("title")), "trusted": ~T.is_aggregator(F.col("source")) & (F.col("source_type") == "rss") & (F.col("weight") >= 2)})
+    df = once(items.withColumns({"fingerprint": T.claim_fingerprint(F.col("category"), F.col("title")), "trusted": ~T.is_aggregator(F.col("source")) & (F.col("source_type") == "rss") & (F.col("weight") >= 2)}))
     per_source = df.groupBy("category", "fingerprint", "source").agg(F.max("trusted").alias("t"))
     n = per_source.groupBy("category", "fingerprint").agg(F.count("*").alias("corroboration"), F.count_if("t").alias("trusted_corroboration"))
     t, s = F.col("trusted_corroboration"), F.col("corroboration")

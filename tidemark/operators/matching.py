@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import text as T
+from ..functions.once import once
 
 
 def band_join(left: DataFrame, right: DataFrame, on_left: str, on_right: str, before: int, after: int) -> DataFrame:
@@ -24,10 +25,10 @@ def band_join(left: DataFrame, right: DataFrame, on_left: str, on_right: str, be
 def profile(items: DataFrame) -> DataFrame:
     """Adds the action, topic, canonical actor and tokens of an item."""
     text = F.lower(F.concat_ws(" ", T.normalize(F.col("title")), T.strip_html(F.col("description"))))
-    df = items.withColumn("_text", text)
+    df = once(items.withColumn("_text", text))
     tokens = T.claim_tokens(F.col("title"))
     tokens = F.when(F.size(tokens) < 3, F.array_union(tokens, T.claim_tokens(F.col("_text")))).otherwise(tokens)
-    return df.withColumns({"action": T.action_tag(F.col("_text")), "topic": T.topic_tag(F.col("_text")), "actor": T.actor_group(T.first_anchor(F.col("_text"), C.ACTOR_KEYWORDS)), "tokens": tokens}).drop("_text")
+    return once(df.withColumns({"action": T.action_tag(F.col("_text")), "topic": T.topic_tag(F.col("_text")), "actor": T.actor_group(T.first_anchor(F.col("_text"), C.ACTOR_KEYWORDS)), "tokens": tokens}).drop("_text"))
 
 
 def semantic_score(a: str = "o_", b: str = "m_") -> Column:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import pearson, shock_threshold
 
-#: Series have a row a day, so a window over one is bounded by the calendar, whatever the volume of events.
-BY_DAY = W.orderBy("d")
+
+def by_day() -> WindowSpec:
+    """Series have a row a day, so a window over one is bounded by the calendar, whatever the volume of events."""
+    return W.orderBy("d")
 
 
 def daily(events: DataFrame, day: Column, **counts: Column) -> DataFrame:
@@ -41,7 +43,7 @@ def cross_fill(facts: DataFrame, days: DataFrame, dim: str, value: str) -> DataF
 
 
 def max_missing_streak(series: DataFrame) -> DataFrame:
-    gap = F.datediff("d", F.lag("d").over(BY_DAY)) - 1
+    gap = F.datediff("d", F.lag("d").over(by_day())) - 1
     return series.select(gap.alias("gap")).agg(F.coalesce(F.max("gap"), F.lit(0)).cast("long").alias("max_missing_streak"))
 
 

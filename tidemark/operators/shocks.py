@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import shock_threshold
-from .panel import BY_DAY
+from .panel import by_day
 
 
 def shock_ladder(series: DataFrame, catalog: DataFrame | None = None, value: str = "crisis", least: int = 5) -> DataFrame:
@@ -27,15 +27,15 @@ def shock_ladder(series: DataFrame, catalog: DataFrame | None = None, value: str
 def min_distance(days: DataFrame, shocks: DataFrame) -> DataFrame:
     """``d, distance``: days to the nearest shock on either side, 10**9 without any. Two windows, not a product."""
     marked = days.select("d").join(F.broadcast(shocks.select("d", F.col("d").alias("s"))), "d", "full")  # at most a row a day
-    back = F.last("s", ignorenulls=True).over(BY_DAY.rowsBetween(W.unboundedPreceding, 0))
-    ahead = F.first("s", ignorenulls=True).over(BY_DAY.rowsBetween(0, W.unboundedFollowing))
+    back = F.last("s", ignorenulls=True).over(by_day().rowsBetween(W.unboundedPreceding, 0))
+    ahead = F.first("s", ignorenulls=True).over(by_day().rowsBetween(0, W.unboundedFollowing))
     out = marked.select("d", F.coalesce(F.least(F.datediff("d", back), F.datediff(ahead, "d")), F.lit(1_000_000_000)).alias("distance"))
     return out.join(days.select("d"), "d", "left_semi")
 
 
 def downsample(days: DataFrame, most: int) -> DataFrame:
     """At most ``most`` of the days, evenly spread, both ends kept; the middle one for 1; all for 0 or less."""
-    r = days.select("d", (F.row_number().over(BY_DAY) - 1).alias("i"), F.count("*").over(W.partitionBy()).alias("n"))
+    r = days.select("d", (F.row_number().over(by_day()) - 1).alias("i"), F.count("*").over(W.partitionBy()).alias("n"))
     if most <= 0:
         return days.select("d")
     if most == 1:

@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import pearson
-from .panel import BY_DAY
+from .panel import by_day
 
-BY_DATE = W.orderBy(F.unix_date("d"))
+
+def by_date() -> WindowSpec:
+    return W.orderBy(F.unix_date("d"))
 
 
 def sum_effects(dense: DataFrame, value: str, windows: Sequence[int]) -> DataFrame:
     """Adds ``e{w}`` per day: the sum of the w days after less that of the w days before; beyond the panel's ends, 0."""
     v = F.sum(F.col(value).cast("double"))
-    return dense.withColumns({f"e{w}": F.coalesce(v.over(BY_DAY.rowsBetween(1, w)), F.lit(0.0)) - F.coalesce(v.over(BY_DAY.rowsBetween(-w, -1)), F.lit(0.0)) for w in windows})
+    return dense.withColumns({f"e{w}": F.coalesce(v.over(by_day().rowsBetween(1, w)), F.lit(0.0)) - F.coalesce(v.over(by_day().rowsBetween(-w, -1)), F.lit(0.0)) for w in windows})
 
 
 def long_effects(wide: DataFrame, windows: Sequence[int], keep: Sequence[str] = ("d",)) -> DataFrame:
@@ -37,7 +39,7 @@ def mean_effects(series: DataFrame, value: str, windows: Sequence[int], days: Da
     all_days = series.select("d", F.col(value).cast("double").alias("v")).join(days.select("d"), "d", "full")
     out = {}
     for w in windows:
-        after, before = BY_DATE.rangeBetween(1, w), BY_DATE.rangeBetween(-w, -1)
+        after, before = by_date().rangeBetween(1, w), by_date().rangeBetween(-w, -1)
         enough = (F.count("v").over(after) >= max(3, w // 3)) & (F.count("v").over(before) >= max(3, w // 3))
         out[f"e{w}"] = F.when(enough, F.avg("v").over(after) - F.avg("v").over(before))
     return all_days.withColumns(out).drop("v").join(days.select("d"), "d", "left_semi")
@@ -46,7 +48,7 @@ def mean_effects(series: DataFrame, value: str, windows: Sequence[int], days: Da
 def baseline(series: DataFrame, value: str, days: DataFrame) -> DataFrame:
     """``d, base``: the mean of the observed days from 21 to 8 days before; null for under five."""
     all_days = series.select("d", F.col(value).cast("double").alias("v")).join(days.select("d"), "d", "full")
-    w = BY_DATE.rangeBetween(-21, -8)
+    w = by_date().rangeBetween(-21, -8)
     return all_days.select("d", F.when(F.count("v").over(w) >= 5, F.avg("v").over(w)).alias("base")).join(days.select("d"), "d", "left_semi")
 
 
@@ -82,7 +84,7 @@ def best_lags(corrs: DataFrame) -> DataFrame:
 
 def local_peaks(dense: DataFrame, value: str, radius: int = 3) -> DataFrame:
     """Days with no strictly higher neighbour within the radius; beyond the panel's ends, 0."""
-    top = F.greatest(*[F.coalesce(F.max(value).over(w), F.lit(0)) for w in (BY_DAY.rowsBetween(-radius, -1), BY_DAY.rowsBetween(1, radius))])
+    top = F.greatest(*[F.coalesce(F.max(value).over(w), F.lit(0)) for w in (by_day().rowsBetween(-radius, -1), by_day().rowsBetween(1, radius))])
     return dense.withColumn("peak", F.col(value) >= top)
 
 
@@ -90,9 +92,9 @@ def lag_features(dense: DataFrame, shocks: DataFrame, start: int = 1, window: in
     """A row for each day that has all lags and leads observed: 16 features, ``y`` the mean outcome of the days ahead, ``t`` whether it is a shock."""
 
     def known(c: str, k: int) -> Column:
-        return F.lag(F.when(F.col("observed"), F.col(c).cast("double")), k).over(BY_DAY)
+        return F.lag(F.when(F.col("observed"), F.col(c).cast("double")), k).over(by_day())
 
-    ahead = BY_DAY.rowsBetween(start, window)
+    ahead = by_day().rowsBetween(start, window)
     feats = {f"y{k}": known("outcome", k) for k in (1, 2, 3, 7)} | {f"c{k}": known("crisis", k) for k in (1, 2, 3, 7)} | {"ctl0": known("control", 0), "ctl1": known("control", 1), "den0": known("density", 0), "den1": known("density", 1)}
     wd, mo = F.weekday("d") * (2 * 3.141592653589793 / 7), (F.month("d") - 1) * (2 * 3.141592653589793 / 12)
     feats |= {"wd_sin": F.sin(wd), "wd_cos": F.cos(wd), "mo_sin": F.sin(mo), "mo_cos": F.cos(mo)}

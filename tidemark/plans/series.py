@@ -291,7 +291,7 @@ def ridge_gram(spark, sf):  # noqa: ANN001, ANN201
     return E.gram(WN.lag_features(V.dense(spark, sf), shocks_of(spark, sf)), list(GRAM), "y").select("i", "j", F.round("value", 4).alias("value"))
 
 
-@query(f"WITH {ML_SQL}, h AS (SELECT *, (y1 + y2 + y3) / 3 AS yh, 0.03 + 0.5 * c1 / (1 + c1 + c2) AS th FROM ml), q AS (SELECT t, (t - th) * (y - yh) AS a, (t - th) * (t - th) AS b FROM h) SELECT round(sum(a) / sum(b), 6) AS ate, round(coalesce(sum(a) FILTER (t = 1) / sum(b) FILTER (t = 1), 0), 6) AS att, count(*) AS n, CAST(sum(t) AS BIGINT) AS treated FROM q")
+@query(f"WITH {ML_SQL}, h AS (SELECT *, (y1 + y2 + y3) / 3 AS yh, 0.03 + 0.5 * c1 / (1 + c1 + c2) AS th FROM ml), q AS (SELECT t, (t - th) * (y - yh) AS a, (t - th) * (t - th) AS b FROM h) SELECT coalesce(round(sum(a) / sum(b), 6), 0) AS ate, round(coalesce(sum(a) FILTER (t = 1) / sum(b) FILTER (t = 1), 0), 6) AS att, count(*) AS n, CAST(sum(t) AS BIGINT) AS treated FROM q")
 def ate_residual(spark, sf):  # noqa: ANN001, ANN201
     ml = WN.lag_features(V.dense(spark, sf), shocks_of(spark, sf)).withColumns({"y_hat": (F.col("y1") + F.col("y2") + F.col("y3")) / 3, "t_hat": 0.03 + 0.5 * F.col("c1") / (1 + F.col("c1") + F.col("c2"))})
     return E.orthogonal_effects(ml).select(*r6("ate", "att"), "n", "treated")
@@ -379,10 +379,10 @@ def replay_jobs(spark, sf):  # noqa: ANN001, ANN201
     return G.collect_jobs(failed, 7).select("query", "start", "end", "days")
 
 
-HIST_SQL = "h AS (SELECT o_orderkey AS ord, CAST(o_custkey % 200 AS VARCHAR) AS query, o_orderdate AS at, CASE o_orderstatus WHEN 'F' THEN 'full_success' WHEN 'O' THEN 'failed' ELSE 'partial_success' END AS status FROM orders)"
+HIST_SQL = "h AS (SELECT o_orderkey AS ord, CAST(o_custkey % 200 AS VARCHAR) AS query, o_orderdate AS at_, CASE o_orderstatus WHEN 'F' THEN 'full_success' WHEN 'O' THEN 'failed' ELSE 'partial_success' END AS status FROM orders)"
 
 
-@query(f"WITH {HIST_SQL}, l AS (SELECT query, arg_max(status, (at, -ord)) AS status, max(at) AS at FROM h GROUP BY query), j AS (SELECT CAST(k AS VARCHAR) AS query FROM range(0, 250) AS r(k)) SELECT j.query, CASE WHEN status = 'full_success' THEN 'already_full_success' WHEN status IN ('failed', 'partial_success') AND epoch(TIMESTAMP '2001-07-01 00:00:00' - at) / 3600 < 6 THEN 'cooldown_active' END AS skip FROM j LEFT JOIN l USING (query)")
+@query(f"WITH {HIST_SQL}, l AS (SELECT query, arg_max(status, (at_, -ord)) AS status, max(at_) AS at_ FROM h GROUP BY query), j AS (SELECT CAST(k AS VARCHAR) AS query FROM range(0, 250) AS r(k)) SELECT j.query, CASE WHEN status = 'full_success' THEN 'already_full_success' WHEN status IN ('failed', 'partial_success') AND epoch(TIMESTAMP '2001-07-01 00:00:00' - at_) / 3600 < 6 THEN 'cooldown_active' END AS skip FROM j LEFT JOIN l USING (query)")
 def replay_history(spark, sf):  # noqa: ANN001, ANN201
     fixed = {"start": F.lit("a"), "end": F.lit("b"), "policy": F.lit("strict")}
     h = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("ord"), (F.col("o_custkey") % 200).cast("string").alias("query"), F.col("o_orderdate").alias("at"), F.when(F.col("o_orderstatus") == "F", "full_success").when(F.col("o_orderstatus") == "O", "failed").otherwise("partial_success").alias("status")).withColumns(fixed)
@@ -390,7 +390,7 @@ def replay_history(spark, sf):  # noqa: ANN001, ANN201
     return G.replay_filter(jobs, h, F.lit("2001-07-01 00:00:00").cast("timestamp")).select("query", "skip")
 
 
-@query("WITH r AS (SELECT CAST(o_custkey % 300 AS VARCHAR) AS signature, o_orderdate + to_hours(CAST(o_orderkey % 24 AS INT)) AS at, o_orderstatus = 'F' AS passed FROM orders), n AS (SELECT signature, max(at) AS at FROM r GROUP BY signature), j AS (SELECT n.signature, n.at, count(*) FILTER (CAST(r.at AS DATE) < CAST(n.at AS DATE)) AS earlier_runs, count(*) FILTER (CAST(r.at AS DATE) = CAST(n.at AS DATE) AND r.at < n.at AND passed) AS same_day_passed FROM n JOIN r USING (signature) GROUP BY ALL) SELECT signature, strftime(at, '%Y-%m-%d %H') AS at, earlier_runs, same_day_passed, earlier_runs > 0 OR same_day_passed > 0 AS reproduced FROM j")
+@query("WITH r AS (SELECT CAST(o_custkey % 300 AS VARCHAR) AS signature, o_orderdate + to_hours(CAST(o_orderkey % 24 AS INT)) AS at_, o_orderstatus = 'F' AS passed FROM orders), n AS (SELECT signature, max(at_) AS at_ FROM r GROUP BY signature), j AS (SELECT n.signature, n.at_, count(*) FILTER (CAST(r.at_ AS DATE) < CAST(n.at_ AS DATE)) AS earlier_runs, count(*) FILTER (CAST(r.at_ AS DATE) = CAST(n.at_ AS DATE) AND r.at_ < n.at_ AND passed) AS same_day_passed FROM n JOIN r USING (signature) GROUP BY ALL) SELECT signature, strftime(at_, '%Y-%m-%d %H') AS \"at\", earlier_runs, same_day_passed, earlier_runs > 0 OR same_day_passed > 0 AS reproduced FROM j")
 def reproducibility(spark, sf):  # noqa: ANN001, ANN201
     o = V.table(spark, sf, "orders")
     runs = o.select((F.col("o_custkey") % 300).cast("string").alias("signature"), F.expr("o_orderdate + make_dt_interval(0, cast(o_orderkey % 24 AS int), 0, 0)").alias("at"), (F.col("o_orderstatus") == "F").alias("passed"))
