@@ -77,7 +77,7 @@ def test_near_duplicates(docs, texts, k):
                     root[i] = root[j] = min(root[i], root[j])
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nearcopy.near_duplicates(docs, k=k).collect()}
     assert got == {i: (len(s), root[i], root[i] == i) for i, s in sets.items()}
-    assert len(set(root.values())) < len(root) - 5
+    assert len(set(root.values())) <= len(root) - 5
 
 
 def test_near_duplicates_of_large_groups(docs, monkeypatch):
@@ -103,10 +103,11 @@ def test_quality(docs, texts):
 
 
 def test_quality_line_rules(spark):
-    prose = "It was a long day in the valley, and nobody had seen the river rise so fast before. " * 4
-    text = f"{prose}\nHome | News | Sport | Contact\nThis file is licensed under the terms below.\nRead more\n{prose}end."
+    rng = random.Random(1)
+    prose, end = (f"{sentence(rng, 40, 9999)}, and that was the end of it." for _ in range(2))
+    text = f"{prose}\nHome | News | Sport | Contact\nThis file is licensed under the terms below.\nRead more\n{end}"
     r = quality.quality(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
-    assert r.kept and r.clean_text == f"{prose}\n{prose}end." and r.n_lines_removed == 3
+    assert r.kept and r.clean_text == f"{prose}\n{end}" and r.n_lines_removed == 3
 
 
 def test_line_dedup(spark):
@@ -162,7 +163,7 @@ def test_token_counts_follow_edits(spark):
     for r, (_, text, edits) in zip(tokens.edited_counts(tokens.token_trees(docs)).orderBy("doc_id").collect(), rows):
         after = text
         for a, b, new in reversed(edits):
-            after = after[:a] + new + after[b:]
+            after = after[: min(a, len(text))] + new + after[min(b, len(text)) :]
         assert r.text == after
         assert (r.n_tokens, r.n_tokens_after) == (len(enc.encode_ordinary(text)), len(enc.encode_ordinary(after)))
         size = len(r.tree_tokens) // 2
