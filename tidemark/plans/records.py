@@ -233,10 +233,12 @@ def temporal_pairs(spark, sf):  # noqa: ANN001, ANN201
 
 @query()
 def quota_matches(spark, sf):  # noqa: ANN001, ANN201
-    c, u = _sides(spark, sf)
-    c, u = c.where("cid % 40 = 0").withColumn("week", F.date_trunc("week", "cd")), u.where("uid % 40 = 0").withColumn("week2", F.date_trunc("week", "ud"))  # a report's events
-    p = M.band_join(c, u, "cd", "ud", 1, 3).where("week = week2").select("week", F.col("cid").alias("l"), F.col("uid").alias("r"), F.datediff("ud", "cd").alias("gap"), (F.col("cid") % 7 + F.col("uid") % 5).cast("int").alias("score"))
-    return M.quota_match(p, group="week")
+    """Within each user's events."""
+    e = V.table(spark, sf, "events").select("event_id", F.col("ts").cast("date").alias("d"), "event_type", "user_id")
+    c = e.where("event_type = 'error'").select(F.col("user_id").alias("user"), F.col("event_id").alias("cid"), F.col("d").alias("cd"))
+    u = e.where("event_type = 'purchase'").select(F.col("user_id").alias("user2"), F.col("event_id").alias("uid"), F.col("d").alias("ud"))
+    p = M.band_join(c, u, "cd", "ud", 1, 3).where("user = user2").select("user", F.col("cid").alias("l"), F.col("uid").alias("r"), F.datediff("ud", "cd").alias("gap"), (F.col("cid") % 7 + F.col("uid") % 5).cast("int").alias("score"))
+    return M.quota_match(p, group="user")
 
 
 PAIR_SQL = f"""{SCORE_SQL}, pr AS (SELECT *, {action_sql('txt')} AS action, {topic_sql('txt')} AS topic, {first_sql('txt', C.ACTOR_KEYWORDS)} AS a0, {tokens_sql('title')} AS tk, {tokens_sql('txt')} AS tk2 FROM scored WHERE category = 'ufo' AND base_score >= 50 AND date IS NOT NULL),
