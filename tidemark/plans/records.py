@@ -261,10 +261,10 @@ def url_functions(spark, sf):  # noqa: ANN001, ANN201
     return V.table(spark, sf, "pages").select("page_id", T.canonical_url(u).alias("canonical"), T.domain_of(u).alias("domain"), T.date_from_url(u).alias("day"))
 
 
-@query("SELECT doc_id, strptime(regexp_extract('/a/' || (2000 + doc_id % 25) || '/' || (doc_id % 14) || '/' || (doc_id % 33) || '/x', '/(\\d{4}/\\d{1,2}/\\d{1,2})', 1), '%Y/%m/%d')::DATE AS day FROM documents WHERE doc_id % 14 BETWEEN 1 AND 12 AND doc_id % 33 BETWEEN 1 AND 28 UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id % 14 IN (0, 13) OR doc_id % 33 IN (0, 32)")
+@query("SELECT doc_id, CAST(try_strptime((2000 + doc_id % 25) || '/' || (doc_id % 14) || '/' || (doc_id % 33), '%Y/%m/%d') AS DATE) AS day FROM documents")
 def url_dates(spark, sf):  # noqa: ANN001, ANN201
     i = F.col("doc_id")
-    df = V.table(spark, sf, "documents").where((i % 33 < 29) | (i % 14).isin(0, 13) | (i % 33 == 32))
+    df = V.table(spark, sf, "documents")
     return df.select("doc_id", T.date_from_url(F.concat(F.lit("/a/"), (2000 + i % 25).cast("string"), F.lit("/"), (i % 14).cast("string"), F.lit("/"), (i % 33).cast("string"), F.lit("/x"))).alias("day"))
 
 

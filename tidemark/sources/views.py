@@ -47,14 +47,14 @@ SOURCES = ["White House Briefing", "Google News UFO", "Reuters Wire", "r/UFOs",
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """News items on ``documents``: headline, source, dates and URL by rule from doc_id, the text's beginning as description."""
+    """News items on ``documents``: headline, source, dates and URL by rule from doc_id, the text as description."""
     i = F.col("doc_id")
     pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(values) + 1).cast("int"))
     day = F.date_add(F.lit("2024-01-01").cast("date"), (i % 120).cast("int"))
     df = table(spark, sf_dir, "documents").select(
         i.alias("ord"), pick(SOURCES, i).alias("source"), F.when(i % 7 == 3, "reddit").otherwise("rss").alias("source_type"),
         F.when((i * 5 + F.floor(i / 7)) % 16 < 8, "ufo").otherwise("crisis").alias("category"), (1 + i % 3).cast("int").alias("weight"),
-        pick(HEADLINES, i * 5 + F.floor(i / 7)).alias("title"), F.substring("text", 1, 200).alias("description"),
+        pick(HEADLINES, i * 5 + F.floor(i / 7)).alias("title"), F.col("text").alias("description"),
         F.when(i % 31 != 0, day).alias("date"), (i % 31 != 0).alias("date_parsed_ok"),
         F.when((i % 5 != 0) & (i % 31 != 0), F.timestamp_seconds(F.unix_date(day).cast("long") * 86400 + (i % 24) * 3600)).alias("published_at"),
         F.concat(F.when(i % 9 == 0, "http").otherwise("https"), F.lit("://site"), (i % 11).cast("string"), F.lit(".example.com/a/"), (i % 97).cast("string")).alias("url"),
@@ -91,7 +91,7 @@ def _pick(values: list[str], k: str) -> str:
 
 
 ITEMS_SQL = f"""items AS (SELECT doc_id AS ord, {_pick(SOURCES, 'doc_id')} AS source, CASE WHEN doc_id % 7 = 3 THEN 'reddit' ELSE 'rss' END AS source_type,
-  CASE WHEN (doc_id * 5 + doc_id // 7) % 16 < 8 THEN 'ufo' ELSE 'crisis' END AS category, CAST(1 + doc_id % 3 AS INT) AS weight, {_pick(HEADLINES, '(doc_id * 5 + doc_id // 7)')} AS title, substr(text, 1, 200) AS description,
+  CASE WHEN (doc_id * 5 + doc_id // 7) % 16 < 8 THEN 'ufo' ELSE 'crisis' END AS category, CAST(1 + doc_id % 3 AS INT) AS weight, {_pick(HEADLINES, '(doc_id * 5 + doc_id // 7)')} AS title, text AS description,
   CASE WHEN doc_id % 31 <> 0 THEN DATE '2024-01-01' + CAST(doc_id % 120 AS INT) END AS date, doc_id % 31 <> 0 AS date_parsed_ok,
   CASE WHEN doc_id % 5 <> 0 AND doc_id % 31 <> 0 THEN CAST(DATE '2024-01-01' + CAST(doc_id % 120 AS INT) AS TIMESTAMP) + to_hours(CAST(doc_id % 24 AS INT)) END AS published_at,
   CASE WHEN doc_id % 9 = 0 THEN 'http' ELSE 'https' END || '://site' || (doc_id % 11) || '.example.com/a/' || (doc_id % 97) AS url, 'site' || (doc_id % 11) || '.example.com' AS domain,
