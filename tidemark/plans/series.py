@@ -244,8 +244,7 @@ s AS (SELECT d, sum(weight * v) / sum(weight) AS synth FROM dn JOIN ww USING (un
 def _synth(spark: SparkSession, sf: str):  # noqa: ANN202
     c = V.country(spark, sf)
     treated, donors = c.where("unit = 0").select("d", "v"), c.where("unit <> 0")
-    shocks = shocks_of(spark, sf).select("d").orderBy("d").limit(20)
-    phases = E.pre_post(treated, shocks)
+    phases = E.pre_post(treated, shocks_of(spark, sf).select("d"))
     weights = E.synth_weights(treated, donors, phases.where("phase = 'pre'"))
     return treated, donors, phases, weights
 
