@@ -1,10 +1,12 @@
 """Queries on daily series against plain versions over the whole tables."""
 
 import datetime
+import hashlib
 import math
 
 from conftest import SF
 
+from tidemark.operators import permute
 from tidemark.plans import series
 from tidemark.sources import views
 
@@ -36,3 +38,63 @@ def test_synth_uses_every_shock_day(spark):
     r = series.synth_att(spark, SF).first()
     assert (r.n_pre, r.n_post) == (sum(d in gap for d in pre), sum(d in gap for d in post))
     assert near(r.gap_pre, mean(pre)) and near(r.gap_post, mean(post)) and near(r.att, mean(post) - mean(pre))
+
+
+def drawn(pool, m, draws, seed):
+    key = lambda k, d: (hashlib.md5(f"{seed}|{k}|{d}".encode()).hexdigest(), d)
+    return [sorted(pool, key=lambda d: key(k, d))[:m] for k in range(draws)] if 0 < m <= len(pool) else []
+
+
+def test_window_permutation_has_every_window_and_draw(spark, monkeypatch):
+    assert series.PERMUTATIONS == 20_000
+    monkeypatch.setattr(series, "PERMUTATIONS", 60)
+    shocks = {r.d for r in series.shocks_of(spark, SF).collect()}
+    adj = {r.d: r.adj for r in views.dense(spark, SF).collect()}
+    got = {r.w: r for r in series.window_effect_permutation(spark, SF).collect()}
+    assert sorted(got) == [3, 7, 10, 14, 30]
+    draws = drawn(adj, len(shocks), 60, series.SEED)
+    for w, r in got.items():
+        at = {d: sum(adj.get(d + datetime.timedelta(k), 0) - adj.get(d - datetime.timedelta(k), 0) for k in range(1, w + 1)) for d in adj}
+        mean = lambda days: sum(at[d] for d in days) / len(days)  # noqa: B023, E731
+        assert math.isclose(r.effect, mean(shocks), abs_tol=2e-6) and r.draws == 60
+        assert math.isclose(r.p, sum(round(mean(x), 9) >= round(mean(shocks), 9) for x in draws) / 60)
+
+
+def test_did_placebo_has_every_window(spark, monkeypatch):
+    assert series.PLACEBOS == 2_000
+    monkeypatch.setattr(series, "PLACEBOS", 60)
+    shocks = {r.d for r in series.shocks_of(spark, SF).collect()}
+    y = {r.d: r.outcome for r in views.panel(spark, SF).collect()}
+    got = {r.w: r for r in series.did_placebo(spark, SF).collect()}
+    assert sorted(got) == [7, 14, 30]
+    for w, r in got.items():
+        at = {}
+        for d in y:
+            a, b = ([y[x] for k in range(1, w + 1) if (x := d + datetime.timedelta(s * k)) in y] for s in (1, -1))
+            if min(len(a), len(b)) >= max(3, w // 3):
+                at[d] = sum(a) / len(a) - sum(b) / len(b)
+        mean = lambda days: sum(at[d] for d in days) / len(days)  # noqa: B023, E731
+        hit = [d for d in shocks if d in at]
+        pool = [d for d in at if all(abs((d - s).days) > 7 for s in shocks)]
+        enough = len(hit) >= max(3, len(shocks) // 2)
+        null = [mean(x) for x in drawn(pool, len(hit), 60, series.SEED + w)] if enough else []
+        assert r.draws == len(null)
+        assert not enough and r.att is None or math.isclose(r.att, mean(hit), abs_tol=2e-6)
+        assert not null and r.p is None or math.isclose(r.p, sum(round(x, 9) >= round(mean(hit), 9) for x in null) / 60)
+
+
+def test_placebo_samples_are_as_many_as_the_shocks(spark, monkeypatch):
+    asked = []
+    plain = permute.hash_draws
+    monkeypatch.setattr(permute, "hash_draws", lambda pool, size, draws, seed: (asked.append((size if isinstance(size, int) else size.first()[0], draws)), plain(pool, size, draws, seed))[1])
+    n = series.shocks_of(spark, SF).count()
+    r = series.event_study_peak(spark, SF).first()
+    assert asked == [(n, 2_000)] and r.draws in (0, 2_000) and (r.draws or r.p == 1)
+
+
+def test_too_small_a_pool_gives_no_draws(spark):
+    pool = spark.range(5).selectExpr("date_add(date'2024-01-01', cast(id AS int)) AS d")
+    assert permute.hash_draws(pool, 6, 3, 1).count() == 0 and permute.hash_draws(pool, 5, 3, 1).count() == 15
+    diffs = pool.selectExpr("d", "1 AS k", "2.0D AS diff")
+    r = permute.peak_test(diffs, permute.hash_draws(pool, 6, 3, 1), diffs.selectExpr("max(diff) AS peak")).first()
+    assert (r.peak, r.p, r.draws) == (2.0, 1.0, 0)

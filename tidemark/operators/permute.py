@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 
 
 def hash_draws(pool: DataFrame, size: DataFrame | int, draws: int, seed: int) -> DataFrame:
-    """``draw, d``: for each draw, ``size`` days of the pool without repetition. The windows are one draw each, of a row a day."""
-    all_ = pool.select("d").crossJoin(F.broadcast(pool.sparkSession.range(draws).select(F.col("id").alias("draw"))))  # a row a day times the draws asked for
-    ranked = all_.withColumn("r", F.row_number().over(W.partitionBy("draw").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "draw", F.col("d").cast("string"))), "d")))
-    if isinstance(size, int):
-        return ranked.where(F.col("r") <= size).select("draw", "d")
-    return ranked.join(F.broadcast(size.toDF("_m"))).where(F.col("r") <= F.col("_m")).select("draw", "d")  # one row
+    """``draw, d``: for each draw, ``size`` days of the pool without repetition; none if the pool has fewer. Each draw ranks the days, one a row, in its own row."""
+    days = pool.agg(F.collect_list("d").alias("_days"))
+    sized = days.withColumn("_m", F.lit(size)) if isinstance(size, int) else days.crossJoin(F.broadcast(size.toDF("_m")))  # one row
+    sized = sized.where((F.col("_m") > 0) & (F.col("_m") <= F.size("_days")))
+    key = lambda d: F.md5(F.concat_ws("|", F.lit(str(seed)), "draw", d.cast("string")))
+    ranked = F.sort_array(F.transform("_days", lambda d: F.struct(key(d).alias("key"), d.alias("d"))))
+    numbers = pool.sparkSession.range(draws).select(F.col("id").alias("draw"))
+    drawn = numbers.join(F.broadcast(sized)).select("draw", F.slice(ranked, F.lit(1), F.col("_m").cast("int")).alias("_x"))  # a row a day
+    return drawn.select("draw", F.explode("_x").alias("_x")).select("draw", "_x.d")
 
 
 def exact_draws(spark: SparkSession, n: int, size: int, draws: int, seed: int) -> DataFrame:
@@ -43,9 +46,10 @@ def mean_test(effects: DataFrame, draws: DataFrame, observed: DataFrame, keys: l
 
 
 def peak_test(diffs: DataFrame, draws: DataFrame, observed_peak: DataFrame) -> DataFrame:
-    """p of the largest mean difference over offsets from 1 on, each mean rounded to 6 places before the maximum."""
+    """p of the largest mean difference over offsets from 1 on, each mean rounded to 6 places before the maximum; 1 without draws."""
     null = diffs.where("k >= 1").join(draws, "d").groupBy("draw", "k").agg(F.round(F.avg("diff"), 6).alias("m")).groupBy("draw").agg(F.max("m").alias("null"))
-    return observed_peak.join(null).groupBy("peak").agg(F.avg((F.col("null") >= F.col("peak")).cast("double")).alias("p"), F.count("*").alias("draws"))
+    j = observed_peak.select(F.coalesce("peak", F.lit(0.0)).alias("peak")).join(null, F.lit(True), "left")
+    return j.groupBy("peak").agg(F.coalesce(F.avg((F.col("null") >= F.col("peak")).cast("double")), F.lit(1.0)).alias("p"), F.count("null").alias("draws"))
 
 
 def pairing_test(pairs: DataFrame, draws: int, seed: int) -> DataFrame:

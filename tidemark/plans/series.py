@@ -18,7 +18,10 @@ from ..sources import sinks as K
 from ..sources import views as V
 from ..sources.views import DENSE_SQL, PANEL_SQL, SHOCKS_SQL
 
+#: The draws of the SQL, which would take too long with those of the queries.
 DRAWS = 50
+#: The draws of the window test and of the placebo tests, and the windows of the latter.
+PERMUTATIONS, PLACEBOS, PLACEBO_WINDOWS = 20_000, 2_000, (7, 14, 30)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -101,9 +104,9 @@ def _draws_sql(pool: str, size: str, seed: int, draws: int = DRAWS) -> str:
 )
 def window_effect_permutation(spark, sf):  # noqa: ANN001, ANN201
     dense, shocks = V.dense(spark, sf), shocks_of(spark, sf)
-    effects = WN.long_effects(WN.sum_effects(dense, "adj", (7, 30)), (7, 30))
-    obs = effects.join(F.broadcast(shocks.select("d")), "d", "left_semi").groupBy("w").agg(F.avg("effect").alias("effect"))  # at most a row a day
-    draws = T.hash_draws(dense, shocks.agg(F.count("*").alias("m")), DRAWS, SEED)
+    effects = WN.long_effects(WN.sum_effects(dense, "adj", WINDOWS), WINDOWS)
+    obs = WN.window_effect(dense, shocks, "adj", WINDOWS).select("w", "effect")
+    draws = T.hash_draws(dense, shocks.agg(F.count("*").alias("m")), PERMUTATIONS, SEED)
     return T.mean_test(effects, draws, obs, ["w"]).select("w", F.round("effect", 6).alias("effect"), "p", "draws")
 
 
@@ -113,13 +116,19 @@ def window_effect_permutation(spark, sf):  # noqa: ANN001, ANN201
     "n AS (SELECT draw, avg(e7) AS nul FROM draws JOIN e USING (d) GROUP BY draw), o AS (SELECT avg(e7) AS att FROM s) SELECT round(att, 6) AS att, avg(CAST(round(nul, 9) >= round(att, 9) AS INT)) AS p, count(*) AS draws, round(quantile_cont(nul, 0.025), 6) AS null_low, round(quantile_cont(nul, 0.975), 6) AS null_high FROM n, o GROUP BY att"
 )
 def did_placebo(spark, sf):  # noqa: ANN001, ANN201
+    """By window; the effect is null where under half of the shocks, or under three, have one, and p where that or a pool with fewer days leaves no draws."""
     panel, shocks = V.panel(spark, sf), shocks_of(spark, sf)
-    eff = WN.mean_effects(panel, "outcome", (7,), panel).where("e7 IS NOT NULL").select("d", F.lit(7).alias("w"), F.col("e7").alias("effect"))
-    hit = eff.join(F.broadcast(shocks.select("d")), "d", "left_semi")  # at most a row a day
-    pool = T.placebo_pool(eff, shocks, 7)
-    size = hit.agg(F.count("*").alias("a")).crossJoin(pool.agg(F.count("*").alias("b"))).select(F.least("a", "b").alias("m"))
-    out = T.mean_test(eff, T.hash_draws(pool, size, DRAWS, SEED + 7), hit.groupBy("w").agg(F.avg("effect").alias("effect")), ["w"])
-    return out.select(F.round("effect", 6).alias("att"), "p", "draws", *r6("null_low", "null_high"))
+    wide = WN.mean_effects(panel, "outcome", PLACEBO_WINDOWS, panel)
+    asked = shocks.agg(F.greatest(F.lit(3), F.floor(F.count("*") / 2)).alias("least"))
+    out = None
+    for w in PLACEBO_WINDOWS:
+        eff = wide.where(F.col(f"e{w}").isNotNull()).select("d", F.lit(w).alias("w"), F.col(f"e{w}").alias("effect"))
+        hit = eff.join(F.broadcast(shocks.select("d")), "d", "left_semi")  # at most a row a day
+        obs = hit.agg(F.count("*").alias("n"), F.avg("effect").alias("effect")).crossJoin(asked).select(F.lit(w).alias("w"), F.when(F.col("n") >= F.col("least"), F.col("effect")).alias("effect"), F.when(F.col("n") >= F.col("least"), F.col("n")).otherwise(0).alias("m"))
+        draws = T.hash_draws(T.placebo_pool(eff, shocks, 7), obs.select("m"), PLACEBOS, SEED + w)
+        one = T.mean_test(eff, draws, obs.select("w", "effect"), ["w"])
+        out = one if out is None else out.unionByName(one)
+    return out.select("w", F.round("effect", 6).alias("att"), F.when(F.col("draws") > 0, F.col("p")).alias("p"), "draws", *r6("null_low", "null_high"))
 
 
 BASE_SQL = "b AS (SELECT s.d, avg(CAST(p.outcome AS DOUBLE)) AS base FROM {days} s JOIN panel p ON p.d BETWEEN s.d - 21 AND s.d - 8 GROUP BY s.d HAVING count(*) >= 5), diff AS (SELECT b.d, CAST(k AS INT) AS k, p.outcome - base AS diff FROM b, range(-14, 15) AS r(k) JOIN panel p ON p.d = b.d + CAST(k AS INT))"
@@ -139,7 +148,8 @@ def event_study_peak(spark, sf):  # noqa: ANN001, ANN201
     panel, shocks = V.panel(spark, sf), shocks_of(spark, sf)
     diffs = WN.event_diffs(panel, "outcome", panel)
     curve = diffs.join(F.broadcast(shocks.select("d")), "d", "left_semi").where("k >= 1").groupBy("k").agg(F.round(F.avg("diff"), 6).alias("m"))  # at most a row a day
-    return T.peak_test(diffs, T.hash_draws(T.placebo_pool(panel, shocks, 14), 40, DRAWS, SEED), curve.agg(F.max("m").alias("peak")))
+    pool = T.placebo_pool(diffs.select("d").distinct(), shocks, 14)  # days with a baseline
+    return T.peak_test(diffs, T.hash_draws(pool, shocks.agg(F.count("*").alias("m")), PLACEBOS, SEED), curve.agg(F.max("m").alias("peak")))
 
 
 LAG_SQL = f"{DENSE_SQL}, c AS (SELECT CAST(k AS INT) AS lag, round(CASE WHEN count(*) >= 3 AND stddev_pop(a.crisis) > 0 AND stddev_pop(b.adj) > 0 THEN covar_pop(a.crisis, b.adj) / (stddev_pop(a.crisis) * stddev_pop(b.adj)) ELSE 0 END, 6) AS corr, count(*) AS n FROM dense a, range(-30, 31) AS r(k) JOIN dense b ON b.d = a.d + CAST(k AS INT) GROUP BY k)"
