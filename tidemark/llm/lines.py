@@ -16,7 +16,7 @@ MIN_SITES = 10
 #: An estimate within this share of the threshold is counted exactly: six standard errors at LG_K = 12.
 NEAR = 0.1
 LG_K = 12
-#: A document that would lose more is itself one of many copies, not a carrier of boilerplate, and is left whole.
+#: Of the SQL only, which leaves documents whole that would lose more. The operator has no such exemption.
 MAX_REMOVED_PERCENT = 50
 #: Parts into which each boilerplate hash is dealt, so that a line that a third of all documents hold isn't one task.
 SALTS = 16
@@ -40,10 +40,11 @@ def spread_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     return sure.unionByName(close)
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, max_removed_percent: int = MAX_REMOVED_PERCENT) -> DataFrame:
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` with ``text`` cleaned of boilerplate lines, and ``n_lines, n_lines_removed``.
 
-    Lines are compared exactly; blank lines are never boilerplate. A null site counts for no spread, though the lines
+    Every line on ``min_sites`` distinct sites goes, also where that leaves nothing of a document, as with texts that
+    are themselves copied to so many sites. Lines are compared exactly; blank lines are never boilerplate. A null site counts for no spread, though the lines
     of its documents are cut like others. A null text counts as empty and comes back empty, with one (blank) line.
     Repeated rows are cleaned alike, each site once; an empty table gives an empty result; other columns pass
     through, and columns of the names above are replaced.
@@ -54,10 +55,7 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site
     df = docs.withColumn("row_key", _row_key(doc_id, text)).join(cut, "row_key", "left").withColumn("_lines", F.split(text_of(text), "\n", -1))
     df = df.withColumn("_keep", F.when(F.col("_cut").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_cut")))
     df = df.withColumn("_clean", F.when(F.col("_cut").isNotNull(), F.array_join(F.transform("_keep", lambda i: F.get("_lines", i)), "\n")))
-    whole = F.length(F.translate(text_of(text), "\n", ""))
-    left = F.length(F.translate("_clean", "\n", ""))
-    df = df.withColumn("_take", F.coalesce(100 * (whole - left) <= max_removed_percent * whole, F.lit(False)))
-    return df.select(*[F.when(F.col("_take"), F.col("_clean")).otherwise(text_of(c)).alias(c) if c == text else F.col(c) for c in other], F.size("_lines").cast("long").alias("n_lines"), F.when(F.col("_take"), F.size("_lines") - F.size("_keep")).otherwise(0).cast("long").alias("n_lines_removed"))
+    return df.select(*[F.coalesce("_clean", text_of(c)).alias(c) if c == text else F.col(c) for c in other], F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_lines") - F.size("_keep"), F.lit(0)).cast("long").alias("n_lines_removed"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
