@@ -1,6 +1,8 @@
 """Operators where they once left a part of their job out."""
 
-from tidemark.llm import lines
+import pytest
+
+from tidemark.llm import extract, lines
 
 
 def test_line_dedup_of_documents_that_are_mostly_boilerplate(spark):
@@ -8,3 +10,21 @@ def test_line_dedup_of_documents_that_are_mostly_boilerplate(spark):
     rows = [(i, f"own {i}\n{notice}\n\nend {i}", f"site{i}") for i in range(12)] + [(20, notice, None), (21, f"{notice}\n{notice}\nx", "site0"), (22, "own text only", "site1")]
     got = {r.doc_id: (r.text, r.n_lines, r.n_lines_removed) for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got == {i: (f"own {i}\n\nend {i}", 4, 1) for i in range(12)} | {20: ("", 1, 1), 21: ("x", 3, 2), 22: ("own text only", 1, 0)}
+
+
+PROSE = "It was the first time that the people of the town had seen such a thing, and they said so to all who would listen to them in the days that came after it."
+
+
+@pytest.mark.parametrize("page", ["<div class='content has-sidebar'>{}</div>", "<div class='no-sidebar'>{}</div>", "<article class='post comments-open'>{}</article>", "<div id='page' class='nav-fixed'><article>{}</article></div>", "<div class='widget'><main class='search'>{}</main></div>"])
+def test_extraction_keeps_articles_in_named_wrappers(page):
+    assert extract.main_text(f"<html><body>{page.format(f'<p>{PROSE}</p>')}</body></html>")[0] == PROSE
+
+
+@pytest.mark.parametrize("name", ["entry-header", "post-header", "header"])
+def test_extraction_keeps_titles(name):
+    assert extract.main_text(f"<article><div class='{name}'><h1>The title</h1></div><p>{PROSE}</p></article>")[0] == f"The title\n\n{PROSE}"
+
+
+@pytest.mark.parametrize("other", ["<div class='ad'>{}</div>", "<div class='box sidebar'>{}</div>", "<nav><article>{}</article></nav>", "<div hidden><article>{}</article></div>"])
+def test_extraction_still_leaves_named_parts_out(other):
+    assert extract.main_text(f"<body>{other.format(f'<p>Not this: {PROSE}</p>')}<p>{PROSE}</p></body>")[0] == PROSE

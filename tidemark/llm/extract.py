@@ -21,8 +21,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 OUTSIDE = frozenset("nav footer aside form menu dialog button select option label fieldset head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words in class, id or role that mark a part of a page as no article.
-HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|side-?bar|menu|nav\w*|breadcrumbs?|footer|header|masthead|comments?|commentlist|disqus|respond|repl(?:y|ies)|reviews?|cookies?|consent|notices?|gdpr|alert|popup|pop-up|modal|overlay|newsletter|subscri\w*|signup|login|search|share|sharing|social|related|recommend\w*|widget|pagination|pager|toolbar|copyright|legal|disclaimer|contentinfo|complementary|navigation|hidden|skip\w*)(?:$|[\s_-])", re.I)
+#: Names in class, id or role, as wholes, that mark a part of a page as no article.
+HINT = re.compile(r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|side-?bar|menu|nav\w*|breadcrumbs?|footer|header|masthead|comments?|commentlist|disqus|respond|repl(?:y|ies)|reviews?|cookies?|consent|notices?|gdpr|alert|popup|pop-up|modal|overlay|newsletter|subscri\w*|signup|login|search|share|sharing|social|related|recommend\w*|widget|pagination|pager|toolbar|copyright|legal|disclaimer|contentinfo|complementary|navigation|hidden|skip\w*)", re.I)
+#: Left out with all they hold; left out by name only, but for articles inside.
+OUT, NAMED = 2, 1
 ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden|lang)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)""", re.S)
 WORD = re.compile(r"[^\W\d_]+")
@@ -39,13 +41,13 @@ LONG, SHORT, DENSE, SPARSE, LINKED = 200, 70, 0.3, 0.2, 0.35
 def blocks_of(html: str) -> list[tuple[str, int, str, int]]:
     """``(text, characters in links, tag, part)`` of each block outside menus, forms and the like. part: 0 outside any article, else the article's number."""
     out: list[tuple[str, int, str, int]] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, whether left out, part
+    stack: list[tuple[str, int, int]] = []  # tag, how it is left out, part
     buf: list[str] = []
     linked: list[int] = [0]
     parts, links, at, tag = 0, 0, 0, ""
 
-    def state() -> tuple[bool, int]:
-        return (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+    def state() -> tuple[int, int]:
+        return (stack[-1][1], stack[-1][2]) if stack else (0, 0)
 
     def flush() -> None:
         if buf:
@@ -107,12 +109,19 @@ def blocks_of(html: str) -> list[tuple[str, int, str, int]]:
         if tag in VOID:
             continue
         out_now, part = state()
-        if not out_now:
+        if out_now != OUT:
             attrs = {k.lower(): (v or "").strip("\"'") for k, v in ATTR.findall(m[3])} if m[3].strip() else {}
-            hint = " ".join(attrs.get(k, "") for k in ("class", "id", "role"))
+            names = " ".join(attrs.get(k, "") for k in ("class", "id", "role")).split()
             hidden = "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").lower().replace(" ", "")
-            out_now = tag in OUTSIDE or tag == "header" and not part or hidden or bool(hint.strip() and tag not in ("html", "body", "main") and HINT.search(hint))
-            if not out_now and tag in ("article", "main") and not part:
+            article = tag in ("article", "main")
+            named = not article and tag not in ("html", "body") and any(HINT.fullmatch(x) and not (part and x.lower() in ("header", "masthead")) for x in names)
+            if tag in OUTSIDE or tag == "header" and not part or hidden or named and part:
+                out_now = OUT
+            elif named:
+                out_now = NAMED
+            elif article:
+                out_now = 0
+            if not out_now and article and not part:
                 parts += 1
                 part = parts
         stack.append((tag, out_now, part))
