@@ -18,6 +18,8 @@ from ..sources.views import ITEMS_SQL
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 TODAY = "2024-04-15"
+#: Days between the two events of a pair, either way.
+PAIR_DAYS = 60
 
 
 def query(sql: str | None = None):  # noqa: ANN201
@@ -226,9 +228,12 @@ def _sides(spark, sf):  # noqa: ANN001, ANN202
 
 @query(f"WITH {EVT_SQL} SELECT cd, CAST(ud - cd AS INT) AS gap, count(*) AS n, sum(cid % 97 * (uid % 89)) AS checksum FROM cr JOIN ou ON ud - cd BETWEEN -1 AND 2 GROUP BY ALL")
 def temporal_pairs(spark, sf):  # noqa: ANN001, ANN201
+    """Events are summed by day before the join: the pairs of two days are the product of their sums."""
     c, u = _sides(spark, sf)
-    p = M.band_join(c, u, "cd", "ud", 1, 2)
-    return p.groupBy("cd", F.datediff("ud", "cd").alias("gap")).agg(F.count("*").alias("n"), F.sum(F.col("cid") % 97 * (F.col("uid") % 89)).alias("checksum"))
+    c = c.groupBy("cd").agg(F.count("*").alias("nc"), F.sum(F.col("cid") % 97).alias("sc"))
+    u = u.groupBy("ud").agg(F.count("*").alias("nu"), F.sum(F.col("uid") % 89).alias("su"))
+    p = M.band_join(c, u, "cd", "ud", PAIR_DAYS, PAIR_DAYS)
+    return p.select("cd", F.datediff("ud", "cd").alias("gap"), (F.col("nc") * F.col("nu")).alias("n"), (F.col("sc") * F.col("su")).alias("checksum"))
 
 
 @query()
