@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder that all executors see: ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets a temporary one; a cluster gets an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -42,14 +44,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Deletes tables of :func:`written` that no later step reads, and lets Spark delete the shuffle files behind them."""
+    """Deletes tables of :func:`written` that no later step reads."""
     for t in tables:
         sc = t.sparkSession.sparkContext
         at = sc._jvm.org.apache.hadoop.fs.Path(t._written_at)
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
-    gc.collect()
-    if tables:
-        sc._jvm.System.gc()
+    gc.collect()  # lets Spark delete the shuffle files behind them
 
 
 def text_of(name: str = "text") -> Column:
@@ -65,3 +65,15 @@ def words_of(text: Column) -> Column:
 def line_key(line: Column) -> Column:
     """128 bits of a string, as two independent hashes: no text is shuffled as a key."""
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b"))
+
+
+def one_text_each(base: DataFrame, id: str = "id", text: str = "_text") -> DataFrame:
+    """``base`` with one row for each id: that with the longest text, then the largest hash. Ids seen once, the rule, pass without a shuffle of texts."""
+    sizes = base.groupBy(id).agg(F.count("*").alias("_n")).where("_n > 1").select(id)
+    again = written(sizes, "repeated-ids")
+    if again.isEmpty():
+        return base
+    key = F.struct(F.octet_length(text).alias("n"), F.sha2(F.col(text).cast("binary"), 256).alias("sha"))
+    chosen = base.join(again, id, "left_semi").groupBy(id).agg(F.max(key).alias("_key"))
+    several = base.withColumn("_k", key).join(chosen, id).where("_k = _key").dropDuplicates([id]).drop("_k", "_key")
+    return base.join(again, id, "left_anti").unionByName(several)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
 CHUNK = 1 << 20
+#: Eight bytes each, of words hashed without a digest.
+LANES = 8
 _U = np.uint64
+_ALL = _U(0xFFFFFFFFFFFFFFFF)
 _IS_WHITE = np.zeros(256, bool)
 _IS_WHITE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -49,17 +54,34 @@ def word_spans(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(d == 1), np.flatnonzero(d == -1)
 
 
-def word_hashes(b: np.ndarray) -> np.ndarray:
-    """A hash of each word. Long texts go in pieces that end between words, so memory follows the piece, not the text."""
+def word_hashes(b: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word: eight bytes at a time go through the finalizer; words over LANES times eight bytes have a BLAKE2 digest.
+
+    Long texts go in pieces that end between words, so memory follows the piece, not the text.
+    """
     starts, ends = word_spans(b)
     out = np.empty(len(starts), _U)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK, "right")))
         lo, hi = starts[i], ends[j - 1]
-        p, inv = prefix_sums(b[lo:hi]), powers(hi - lo + 1)[1]
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = mix((p[e] - p[s]) * inv[s] + (e - s).astype(_U))
+        piece = np.zeros(hi - lo + 8, np.uint8)
+        piece[:-8] = b[lo:hi]
+        lanes = np.ndarray(len(piece) - 7, "<u8", piece, 0, (1,))
+        at, n = starts[i:j] - lo, ends[i:j] - starts[i:j]
+        h = mix(n.astype(_U) * _U(BASE) + _U(seed))
+        some = np.arange(len(at))
+        for k in range(LANES):
+            left = n[some] - 8 * k
+            some, left = some[left > 0], left[left > 0]
+            if not len(some):
+                break
+            x = lanes[at[some] + 8 * k] & (_ALL >> ((8 - np.minimum(left, 8)) * 8).astype(_U))
+            h[some] = mix((h[some] ^ x) * _U(BASE) + _U(k + 1))
+        for w in np.flatnonzero(n > 8 * LANES).tolist():
+            word = piece[at[w] : at[w] + n[w]].tobytes()
+            h[w] = int.from_bytes(hashlib.blake2b(word, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+        out[i:j] = h
         i = j
     return out
 
@@ -74,21 +96,3 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         out = mix(out * _U(3) + h[i : i + n] + _U(i + 1))
     return out
-
-
-_LOW = _U((1 << 17) - 1)
-
-
-def winnow(g: np.ndarray, span: int) -> np.ndarray:
-    """Places of the least value, the last of equals, of every ``span`` neighbours; of all where there are fewer. Values count without their 17 lowest bits."""
-    out = []
-    for c in range(0, max(min(1, len(g)), len(g) - span + 1), 1 << 16):
-        piece = g[c : c + (1 << 16) + span - 1]
-        v = (piece & ~_LOW) | (_LOW - np.arange(len(piece), dtype=_U))
-        n, done = min(span, len(piece)), 1
-        while 2 * done <= n:
-            v = np.minimum(v[:-done], v[done:])
-            done *= 2
-        v = np.minimum(v[: len(v) - (n - done)], v[n - done :])
-        out.append(np.unique(_LOW - (v & _LOW)).astype(np.int64) + c)
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)

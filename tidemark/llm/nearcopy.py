@@ -3,7 +3,8 @@
 Documents of one shingle set stand for one another from the start. Minima of many universal hash functions are banded
 into buckets; buckets give a graph of candidates, as stars, never as all pairs. Its components are dealt into blocks
 of bounded size, every block sharing some leaders of its component; a task compares signatures within its block and
-confirms links on full sets. What a large component's blocks left apart is then held against all its blocks.
+confirms links on full sets. What the blocks of a large component leave apart is compared by bucket, and where a
+bucket is crowded by the buckets of longer bands, so that the work follows the buckets and not the component.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of, written
+from .common import dropped, one_text_each, table, text_of, written
 from .components import components, salted_join
 from .hashing import mix, shingles, text_bytes, word_hashes
 
@@ -24,55 +25,64 @@ BANDS, ROWS = 36, 5
 BLOCK, LEADERS = 192, 24
 #: A pair whose signatures agree on less than the threshold by this share is no link: over five standard errors.
 SLACK = 0.16
+#: The bands of crowded buckets: a pair at 0.8 shares one with a probability of 1 - 2e-5.
+FINE_BANDS, FINE_ROWS = 60, 8
 _rng = np.random.default_rng(20240517)
 _A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-_BAND = _rng.integers(1, 1 << 63, (1, BANDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FINE_A = _rng.integers(1, 1 << 63, FINE_BANDS * FINE_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(shingles(word_hashes(text_bytes(text)), k))
 
 
-def signature(s: np.ndarray) -> np.ndarray:
+def signature(s: np.ndarray, a: np.ndarray = _A, c: np.ndarray = _B) -> np.ndarray:
     """The minima; in pieces, so that memory doesn't follow the text."""
-    out = np.full(len(_A), np.iinfo(np.uint64).max, np.uint64)
+    out = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(s), 2048):
-        np.minimum(out, (_A[:, None] * s[None, i : i + 2048] + _B[:, None]).min(axis=1), out=out)
+        np.minimum(out, (a[:, None] * s[None, i : i + 2048] + c[:, None]).min(axis=1), out=out)
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    x = sig.reshape(BANDS, ROWS)
-    h = _BAND[0].copy()
-    for i in range(ROWS):
-        h = (h ^ (x[:, i] >> np.uint64(17))) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
+def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """A hash of each band's minima, taken with the band's number."""
+    x = sig.reshape(-1, rows)
+    h = mix(np.arange(1, len(x) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for i in range(rows):
+        h = mix((h ^ x[:, i]) * np.uint64(0x9E3779B97F4A7C15))
     return h.view(np.int64)
 
 
-def set_key(s: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set."""
-    a, b = (int(mix(s ^ np.uint64(c)).sum(dtype=np.uint64).view(np.int64)) for c in (0x243F6A8885A308D3, 0x13198A2E03707344))
-    return a, b
+def set_key(text: str | None, k: int) -> tuple[np.ndarray, int, int]:
+    """The set of a text, and 128 bits of it from two independent hashes of its words."""
+    b = text_bytes(text)
+    s, at = np.unique(shingles(word_hashes(b), k), return_index=True)
+    other = shingles(word_hashes(b, 1), k)[at]
+    one, two = (int(mix(x).sum(dtype=np.uint64).view(np.int64)) for x in (s ^ np.uint64(0x243F6A8885A308D3), mix(s) ^ other))
+    return s, one, two
 
 
-def _sign(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+def _sign(frames: Iterator[pd.DataFrame], k: int, percent: int) -> Iterator[pd.DataFrame]:
+    """Sets so small that only an equal one reaches ``percent`` need no bands."""
     for df in frames:
         rows = []
         for i, text in zip(df["id"], df["_text"]):
-            s = shingle_set(text, k)
-            rows.append((i, len(s), *set_key(s), band_keys(signature(s)) if len(s) else None))
+            s, a, b = set_key(text, k)
+            rows.append((i, len(s), a, b, band_keys(signature(s)) if 100 * len(s) >= percent * (len(s) + 1) else None))
         yield pd.DataFrame(rows, columns=["id", "n_shingles", "set_a", "set_b", "bands"])
 
 
 def _with_sets(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    """The set of each row; rows of a repeated id that hold another text than the chosen one go."""
     for df in frames:
-        sets = [shingle_set(t, k) for t in df["_text"]]
-        df["_set"] = [s.tobytes() for s in sets]
-        chosen = [set_key(s) == key for s, key in zip(sets, zip(df["set_a"], df["set_b"]))]
-        yield df.loc[chosen, ["id", "group", "block", "n_blocks", "leader", "_set"]]
+        df["_set"] = [shingle_set(t, k).tobytes() for t in df["_text"]]
+        yield df[["id", "group", "size", "_set"]]
+
+
+def _fine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    none = np.zeros(len(_FINE_A), np.uint64)
+    for df in frames:
+        yield pd.DataFrame({"id": df["id"], "bands": [band_keys(signature(np.frombuffer(s, np.uint64), _FINE_A, none), FINE_ROWS) for s in df["_set"]]})
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -123,56 +133,96 @@ def _blocks(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFra
     yield pd.DataFrame([x for g in held for x in work(g)], columns=["u", "v"], dtype="int64")
 
 
-def _dealt(rows: DataFrame, percent: int) -> DataFrame:
+def _confirmed(rows: DataFrame, percent: int) -> DataFrame:
     """Confirmed links of the blocks in ``rows (key, id, comp, first, _set)``."""
     return rows.repartition("key").sortWithinPartitions("key").mapInPandas(lambda it: _blocks(it, percent), "u long, v long")
 
 
+def _part(seed: int):  # noqa: ANN202
+    return F.xxhash64(F.lit(seed), "id").bitwiseAND(F.lit((1 << 30) - 1))
+
+
+def _blocks_of(members: DataFrame) -> DataFrame:
+    """``members (group, size, id, comp, _set)`` dealt into blocks, of which each has the group's leaders too."""
+    n = F.ceil(F.col("size") / BLOCK).cast("long")
+    places = F.when(_part(5) * F.col("size") < F.lit(LEADERS << 30), F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array(F.pmod(_part(3), n).cast("long")))
+    return members.withColumn("b", F.explode(places)).select(F.xxhash64("group", "b").alias("key"), "id", "comp", F.lit(True).alias("first"), "_set")
+
+
+def _grid_of(members: DataFrame) -> DataFrame:
+    """Of each group, what is outside its most frequent component against all of it, block by block."""
+    by_comp = members.groupBy("group", "comp").agg(F.count("*").alias("c"))
+    giant = written(by_comp.groupBy("group").agg(F.max_by("comp", F.struct("c", "comp")).alias("giant"), (F.sum("c") - F.max("c")).alias("left_over")), "near-giants")
+    zero, n_b, own_q = F.lit(0).cast("long"), F.ceil(F.col("size") / BLOCK).cast("long"), F.pmod(_part(9), F.col("n_q")).cast("long")
+    wide = salted_join(members, giant, ["group"], "id").withColumn("n_q", F.ceil(F.col("left_over") / BLOCK).cast("long"))
+    apart = wide.where("comp <> giant").withColumn("q", own_q).withColumn("b", F.explode(F.sequence(zero, n_b - 1))).withColumn("first", F.lit(True))
+    held = wide.withColumn("q", F.explode(F.sequence(zero, F.col("n_q") - 1))).where((F.col("comp") == F.col("giant")) | (own_q != F.col("q"))).withColumn("b", F.pmod(_part(3), n_b).cast("long")).withColumn("first", F.lit(False))
+    cols = ["group", "q", "b", "id", "comp", "first", "_set"]
+    return apart.select(*cols).unionByName(held.select(*cols)).select(F.xxhash64("group", "q", "b").alias("key"), "id", "comp", "first", "_set")
+
+
+def _open(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """``group, size, id, comp`` of the buckets ``(id, bucket)`` that hold several components. Buckets of the same few documents count once."""
+    at = written(buckets.join(comps, "id"), "near-at")
+    stats = written(at.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "size"), "near-open")
+    rows = salted_join(at, stats, ["bucket"], "id")
+    few = rows.where(F.col("size") <= BLOCK).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("id", "comp"))).alias("m")).groupBy("m").agg(F.min("bucket").alias("group"))
+    few = few.select("group", F.size("m").cast("long").alias("size"), F.inline("m"))
+    out = written(few.unionByName(rows.where(F.col("size") > BLOCK).select(F.col("bucket").alias("group"), "size", "id", "comp")), "near-groups")
+    dropped(at, stats)
+    return out
+
+
+def _links(base: DataFrame, same: DataFrame, k: int, percent: int) -> DataFrame:
+    """Confirmed links between sets ``same (rep, bands)``, enough of them to join each component."""
+    buckets = same.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
+    shared = written(buckets.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"), "near-buckets")
+    stars = salted_join(buckets, shared, ["bucket"], "id").where("id <> head").select(F.col("id").alias("u"), F.col("head").alias("v"))
+    groups = components(stars, "near-candidates").toDF("id", "group")
+    sizes = written(groups.groupBy("group").agg(F.count("*").alias("size")), "near-sizes")
+    placed = salted_join(groups, sizes, ["group"], "id")
+    members = written(base.join(placed, "id").mapInPandas(lambda it: _with_sets(it, k), "id long, group long, size long, _set binary"), "near-members")
+    dropped(shared, sizes)
+    links = written(_confirmed(_blocks_of(members.withColumn("comp", F.col("id"))), percent), "near-links")
+    wide = members.where(F.col("size") > BLOCK).select("id", "_set")
+
+    def comps() -> DataFrame:
+        found = components(links, "near-linked").toDF("id", "component")
+        return written(wide.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("comp")), "near-comps")
+
+    def more(rows: DataFrame) -> DataFrame:
+        return links.unionByName(written(_confirmed(rows, percent), "near-links"))
+
+    if wide.isEmpty():
+        return links
+    groups = _open(buckets.join(wide.select("id"), "id", "left_semi"), comps())
+    links = more(_blocks_of(groups.join(wide, "id")))
+    crowd = groups.where(F.col("size") > BLOCK).select("id").distinct()
+    if crowd.isEmpty():
+        return links
+    fine = written(wide.join(crowd, "id", "left_semi").mapInPandas(_fine, "id long, bands array<long>"), "near-fine")
+    buckets = fine.select("id", F.explode("bands").alias("bucket"))
+    links = more(_blocks_of(_open(buckets, comps()).join(wide, "id")))
+    rest = _open(buckets, comps()).where(F.col("size") > BLOCK)
+    return links if rest.isEmpty() else more(_grid_of(rest.join(wide, "id")))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, a row per distinct non-null integer ``doc_id``.
 
     Words are lower-cased in A-Z only. Documents whose sets of distinct ``k``-word shingles (the whole text's words
     where there are fewer) share ``percent`` of their union are linked; every link is confirmed on full sets, and a
     pair at the very threshold is proposed with a probability of 1 - 7e-7. Null, empty and wordless texts have no
-    shingles and no links. Rows of one doc_id count as one document: that with the largest text. Other columns are ignored.
+    shingles and no links. Rows of one doc_id count as one document: that with the longest text, then the largest
+    SHA-256. An empty table gives an empty result. Other columns are ignored.
     """
-    base = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("_text"))
+    base = one_text_each(docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("_text")))
     keys = ["n_shingles", "set_a", "set_b"]
-    signed = written(base.mapInPandas(lambda it: _sign(it, k), "id long, n_shingles long, set_a long, set_b long, bands array<long>"), "near-signatures")
-    signed = signed.groupBy("id").agg(F.max_by(F.struct(*keys, "bands"), F.struct(*keys)).alias("s")).select("id", "s.*")
+    signed = written(base.mapInPandas(lambda it: _sign(it, k, percent), "id long, n_shingles long, set_a long, set_b long, bands array<long>"), "near-signatures")
     same = written(signed.where("n_shingles > 0").groupBy(*keys).agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands")), "near-sets")
-    # candidates: each bucket is a star around its least document
-    buckets = same.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
-    shared = written(buckets.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"), "near-buckets")
-    stars = salted_join(buckets, shared, ["bucket"], "id").where("id <> head").select(F.col("id").alias("u"), F.col("head").alias("v"))
-    groups = components(stars, "near-candidates").toDF("id", "group")
-    # blocks of the groups
-    part = lambda seed: F.xxhash64(F.lit(seed), "id").bitwiseAND(F.lit((1 << 30) - 1))
-    sizes = written(groups.groupBy("group").agg(F.count("*").alias("size")), "near-sizes")
-    placed = salted_join(groups, sizes, ["group"], "id").withColumn("n_blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
-    placed = placed.select("id", "group", "n_blocks", F.pmod(part(3), F.col("n_blocks")).cast("long").alias("block"), (part(5) * F.col("size") < F.lit(LEADERS << 30)).alias("leader"))
-    placed = placed.join(same.select(F.col("rep").alias("id"), "set_a", "set_b"), "id")
-    members = written(base.join(placed, "id").mapInPandas(lambda it: _with_sets(it, k), "id long, group long, block long, n_blocks long, leader boolean, _set binary"), "near-members")
-    zero = F.lit(0).cast("long")
-    places = F.when(F.col("leader"), F.sequence(zero, F.col("n_blocks") - 1)).otherwise(F.array("block"))
-    rows = members.withColumn("b", F.explode(places)).select(F.xxhash64("group", "b").alias("key"), "id", F.col("id").alias("comp"), F.lit(True).alias("first"), "_set")
-    links = written(_dealt(rows, percent), "near-links")
-    # what the blocks of a large group left apart from its largest component, against all its blocks
-    wide = members.where("n_blocks > 1")
-    if not wide.isEmpty():
-        comp = written(components(links, "near-linked").withColumnRenamed("u", "id"), "near-linked")
-        wide = wide.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        by_comp = wide.groupBy("group", "comp").agg(F.count("*").alias("c"))
-        giant = written(by_comp.groupBy("group").agg(F.max_by("comp", F.struct("c", "comp")).alias("giant"), (F.sum("c") - F.max("c")).alias("left_over")).where("left_over > 0"), "near-giants")
-        wide = written(salted_join(wide, giant, ["group"], "id").withColumn("n_q", F.ceil(F.col("left_over") / BLOCK).cast("long")), "near-wide")
-        own_q = F.pmod(part(9), F.col("n_q")).cast("long")
-        apart = wide.where("comp <> giant").withColumn("q", own_q).withColumn("b", F.explode(F.sequence(zero, F.col("n_blocks") - 1))).withColumn("first", F.lit(True))
-        held = wide.withColumn("q", F.explode(F.sequence(zero, F.col("n_q") - 1))).where((F.col("comp") == F.col("giant")) | (own_q != F.col("q"))).withColumn("b", F.col("block")).withColumn("first", F.lit(False))
-        cols = ["group", "q", "b", "id", "comp", "first", "_set"]
-        rows = apart.select(*cols).unionByName(held.select(*cols)).select(F.xxhash64("group", "q", "b").alias("key"), "id", "comp", "first", "_set")
-        links = links.unionByName(written(_dealt(rows, percent), "near-more-links"))
-    final = components(links, "near-final").toDF("rep", "component")
+    final = components(_links(base, same, k, percent), "near-final").toDF("rep", "component")
     reps = written(same.select(*keys, "rep").join(final, "rep", "left"), "near-reps")
+    dropped(same)
     out = salted_join(signed.select("id", *keys), reps, keys, "id", "left")
     out = out.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "rep", "id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
