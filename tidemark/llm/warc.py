@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, table, written
+from .common import dropped, fresh_dir, table, written
+from .components import salted_join
 
 #: Fixed values of the format.
 MAGIC = "WARC/1.0\r\n"
@@ -32,18 +33,19 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVI
 
     Of rows with equal payloads of at least ``min_revisit_bytes`` bytes, those with the largest page_id are responses
     and the others revisit it. A null html is an empty payload, a null url leaves its header out, and a row without
-    page_id is a response. Other columns are ignored.
+    page_id is a response with a record id of its own. Repeated rows give repeated records; an empty table gives no
+    records. Other columns are ignored.
     """
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", F.regexp_replace("url", r"[\r\n]+", "").alias("url"), body.alias("html"), F.sha1(body.cast("binary")).alias("digest"), F.octet_length(body).alias("n"))
     targets = rows.where(F.col("n") >= min_revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("target"), F.count("*").alias("copies")).where("copies > 1 AND target IS NOT NULL").drop("copies")
-    rows = rows.join(written(targets, "warc-targets"), "digest", "left")
+    rows = salted_join(rows, written(targets, "warc-targets"), ["digest"], "page_id", "left", merge=False)
     revisit = F.col("target").isNotNull() & (F.col("n") >= min_revisit_bytes) & F.coalesce(F.col("page_id") != F.col("target"), F.lit(False))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(END))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
     head = F.concat(
         F.lit(MAGIC + "WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
-        F.concat(F.lit("\r\nWARC-Record-ID: "), F.format_string(ID_FORM, F.coalesce(F.col("page_id").cast("string"), F.lit("")))),
+        F.concat(F.lit("\r\nWARC-Record-ID: "), F.format_string(ID_FORM, F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("none:"), F.uuid())))),
         F.coalesce(F.concat(F.lit("\r\nWARC-Target-URI: "), F.col("url")), F.lit("")),
         F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Payload-Digest: sha1:"), F.col("digest"),
         F.when(revisit, F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), F.format_string(ID_FORM, F.col("target").cast("string")))).otherwise(""),
@@ -88,12 +90,14 @@ def reachable_runs(heads: DataFrame) -> DataFrame:
     """Pointer jumping: of ``file, off, to`` (each run's start and where its last record leads), the ``file, off`` reached from offset 0."""
     rounds = math.ceil(math.log2(max(2, heads.groupBy("file").count().agg(F.max("count")).first()[0] or 0))) + 1
     hop = heads.where("to IS NOT NULL")
-    found = heads.where("off = 0").select("file", "off")
+    found, old = heads.where("off = 0").select("file", "off"), []
     for _ in range(rounds):
         further = found.join(hop, ["file", "off"]).select("file", F.col("to").alias("off"))
-        found = written(found.union(further).distinct(), "warc-reached")
+        now = written(found.union(further).distinct(), "warc-reached")
         far = hop.select("file", F.col("off").alias("to"), F.col("to").alias("far"))
-        hop = written(hop.join(far, ["file", "to"]).select("file", "off", F.col("far").alias("to")), "warc-hops")
+        then = written(hop.join(far, ["file", "to"]).select("file", "off", F.col("far").alias("to")), "warc-hops")
+        dropped(*old)
+        found, hop, old = now, then, [now, then]
     return found
 
 
@@ -104,7 +108,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     file that doesn't begin with a record has none; a chain that leads to no record's start ends there. Payloads may
     hold any bytes. No files, or empty ones, give an empty result.
     """
-    c = _record(_candidates(spark, path)).drop("value", "payload")
+    c = written(_record(_candidates(spark, path)).drop("value", "payload"), "warc-parsed")
     c = written(_offsets(c), "warc-candidates").withColumn("next", F.col("off") + len(MAGIC) + F.col("n")).withColumn("succ", F.col("off") + len(MAGIC) + F.col("claims"))
     whole = F.coalesce(F.col("succ") == F.col("next"), F.lit(False))
     breaks = c.where(~whole).select("file", "off", "next", "succ")
@@ -129,10 +133,13 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     marked = marked.withColumn("ok", F.last("ok", ignorenulls=True).over(in_block)).join(carry, ["file", "block"], "left").withColumn("ok", F.coalesce("ok", "carry", F.lit(False)))
     marked = written(marked.withColumn("whole", whole), "warc-marked")
     plain = marked.where("ok AND whole").select(*keys, *FIELDS)
-    # a record that holds magic is put together from its pieces
+    # a record that holds magic is put together from its pieces: files with such records are read again, and as splits
+    # may differ from those of the first reading, pieces are known by their offsets alone
     own = marked.where(~F.col("ok") | ~F.col("whole")).withColumn("owner", F.last(F.when(F.col("ok"), F.col("off")), ignorenulls=True).over(W.partitionBy("file").orderBy("off").rowsBetween(W.unboundedPreceding, 0)))
-    spans = own.join(marked.where("ok AND NOT whole").select("file", F.col("off").alias("owner"), F.col("succ").alias("end")), ["file", "owner"]).where("off < end").select("file", "seq", "off", "owner")
-    pieces = _candidates(spark, path).join(spans, ["file", "seq"]).groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("off", "value"))).alias("p"))
+    spans = own.join(marked.where("ok AND NOT whole").select("file", F.col("off").alias("owner"), F.col("succ").alias("end")), ["file", "owner"]).where("off < end").select("file", "off", "owner")
+    again = written(_candidates(spark, path).join(written(breaks.select("file").distinct(), "warc-broken"), "file", "left_semi"), "warc-again")
+    places = _offsets(again.drop("value")).join(spans, keys).select("file", "block", "seq", "off", "owner")
+    pieces = again.select("file", "block", "seq", "value").join(places, ["file", "block", "seq"]).groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("off", "value"))).alias("p"))
     parts = pieces.select("file", F.col("owner").alias("off"), F.array_join(F.transform("p", lambda x: x["value"]), MAGIC).alias("value"))
     return plain.unionByName(_record(parts).select(*keys, *FIELDS).where(F.col("payload_bytes").isNotNull()))
 
@@ -141,10 +148,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "warc")
     write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     page = lambda c: F.regexp_extract(c, r"(-?\d+)>$", 1).try_cast("long")
-    records = written(read_archive(spark, path).select(page("record_id").alias("page_id"), "record_type", page("refers_to_id").alias("refers_to"), "payload_bytes", "payload_digest"), "warc-records")
-    full = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d")).distinct()
-    out = records.join(full, "refers_to", "left")
-    return out.select("page_id", F.coalesce("b", "payload_bytes").alias("payload_bytes"), F.coalesce("d", "payload_digest").alias("payload_digest"), "record_type", "refers_to")
+    records = written(read_archive(spark, path).select(page("record_id").alias("page_id"), "record_type", page("refers_to_id").alias("refers_to"), "declared_digest", "payload_bytes", "payload_digest"), "warc-records")
+    full = records.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("declared_digest")).agg(F.max("payload_bytes").alias("b"))
+    out = salted_join(records, full, ["refers_to", "declared_digest"], "page_id", "left", merge=False)
+    return out.select("page_id", F.coalesce("b", "payload_bytes").alias("payload_bytes"), F.when(F.col("b").isNotNull(), F.col("declared_digest")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to")
 
 
 SQL = f"""
