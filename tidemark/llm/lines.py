@@ -16,8 +16,6 @@ MIN_SITES = 10
 #: An estimate within this share of the threshold is counted exactly: six standard errors at LG_K = 12.
 NEAR = 0.1
 LG_K = 12
-#: Of the SQL only, which leaves documents whole that would lose more. The operator has no such exemption.
-MAX_REMOVED_PERCENT = 50
 #: Parts into which each boilerplate hash is dealt, so that a line that a third of all documents hold isn't one task.
 SALTS = 16
 
@@ -67,10 +65,8 @@ SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, source FROM documents),
 l AS (SELECT rid, source, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d),
 b AS (SELECT line FROM l WHERE trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' GROUP BY line HAVING count(DISTINCT source) >= {MIN_SITES}),
-c AS (SELECT rid, count(*) AS n, count(*) FILTER (l.line IN (SELECT line FROM b)) AS cut, sum(length(l.line)) AS whole, coalesce(sum(length(l.line)) FILTER (l.line IN (SELECT line FROM b)), 0) AS gone, coalesce(string_agg(l.line, chr(10) ORDER BY pos) FILTER (l.line NOT IN (SELECT line FROM b)), '') AS clean FROM l GROUP BY rid),
-r AS (SELECT doc_id, n, cut, cut > 0 AND 100 * gone <= {MAX_REMOVED_PERCENT} * whole AS take, clean, t FROM c JOIN d USING (rid)),
-f AS (SELECT doc_id, n, CASE WHEN take THEN cut ELSE 0 END AS cut, CASE WHEN take THEN clean ELSE t END AS t FROM r)
-SELECT doc_id, CAST(n AS BIGINT) AS n_lines, CAST(cut AS BIGINT) AS n_lines_removed, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS text_md5 FROM f"""
+c AS (SELECT rid, count(*) AS n, count(*) FILTER (l.line IN (SELECT line FROM b)) AS cut, coalesce(string_agg(l.line, chr(10) ORDER BY pos) FILTER (l.line NOT IN (SELECT line FROM b)), '') AS clean FROM l GROUP BY rid)
+SELECT doc_id, CAST(n AS BIGINT) AS n_lines, CAST(cut AS BIGINT) AS n_lines_removed, CAST(length(clean) AS BIGINT) AS n_chars, md5(clean) AS text_md5 FROM c JOIN d USING (rid)"""
 
 QUERIES = {"op5_line_dedup": op5_line_dedup}
 ORACLES = {"op5_line_dedup": SQL}
