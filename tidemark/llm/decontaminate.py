@@ -1,14 +1,16 @@
 """Operator 6, benchmark decontamination: BM25 over test items, with block-max WAND.
 
-The items are the stated query set's other side: they are indexed in blocks of bounded size, each block's inverted
-index goes to all tasks, and every passage of every document is a query against it. Whatever scores at or above the
-threshold is retrieved, and kept if the passage holds enough of both the item's question and its answer.
+The items are the stated query set's other side. How many of them hold a term, their number and their mean length are
+aggregated over all items; tasks then build inverted indexes of blocks of items of like length, and every passage of
+every document is a query against each. Whatever scores at or above the threshold is retrieved, and kept if the passage
+holds enough of both the item's question and its answer. No result depends on how items are dealt into blocks.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -19,15 +21,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import dropped, table, text_of, written
+from .components import heavy_join
 
 #: A score is a share of what the item itself would score; from this on, an item is retrieved.
 THRESHOLD = 0.5
 #: Shares of the word pairs of question and answer that a passage must hold.
 QUESTION, ANSWER = 0.5, 0.5
-#: Items in an index that is sent to the tasks, and characters in them, at most; more items go in further blocks.
-ITEMS, CHARS = 20_000, 64_000_000
-#: Passages start every STRIDE words and are twice as long, or longer where an item is.
+#: Items in a block, and characters in them, at most, and bytes of indexes that are sent to the tasks together; the
+#: documents are read once for each such set.
+ITEMS, CHARS, BYTES = 20_000, 32_000_000, 64_000_000
+#: Passages start every so many words and are twice as long: STRIDE, or the next power of two that an item of the block has.
 STRIDE = 64
 K1, B = 1.2, 0.75
 POSTINGS = 64
@@ -77,15 +81,19 @@ class Index:
     bounds: np.ndarray
     question: list[Counter]
     answer: list[Counter]
-    longest: int
+    stride: int
 
 
-def build_index(items: list[tuple[int, str]]) -> Index:
-    """The index of ``(item id, text)``, with the largest impact of each term in each of at most SPANS spans of items."""
+def build_index(items: list[tuple[int, str]], df: dict[str, int] | None = None, n: int = 0, mean: float = 0.0, stride: int = STRIDE) -> Index:
+    """The index of ``(item id, text)``, with the largest impact of each term in each of at most SPANS spans of items.
+
+    ``df``, ``n`` and ``mean`` are those of all items: how many hold a term, their number and mean length. Without them the given items are all.
+    """
     bags = [Counter(words(t)) for _, t in items]
-    df = Counter(t for bag in bags for t in bag)
-    n, mean = len(items), sum(sum(bag.values()) for bag in bags) / max(1, len(items))
-    terms = {t: i for i, t in enumerate(sorted(df))}
+    if df is None:
+        df = Counter(t for bag in bags for t in bag)
+        n, mean = len(items), sum(sum(bag.values()) for bag in bags) / max(1, len(items))
+    terms = {t: i for i, t in enumerate(sorted({t for bag in bags for t in bag}))}
     impacts: list[dict[str, float]] = []
     for bag in bags:
         norm = K1 * (1 - B + B * sum(bag.values()) / mean) if mean else 1
@@ -97,13 +105,13 @@ def build_index(items: list[tuple[int, str]]) -> Index:
         for t, x in imp.items():
             lists[terms[t]][0].append(i)
             lists[terms[t]][1].append(x)
-    span = max(1, -(-n // min(SPANS, max(16, CELLS // max(1, len(terms))))))
-    bounds = np.zeros((len(terms), -(-n // span)), np.float32)
+    span = max(1, -(-len(items) // min(SPANS, max(16, CELLS // max(1, len(terms))))))
+    bounds = np.zeros((len(terms), -(-len(items) // span)), np.float32)
     for k, (at, x) in enumerate(lists):
         np.maximum.at(bounds[k], np.array(at) // span, x)
     block_max = [[max(x[j : j + POSTINGS]) for j in range(0, len(x), POSTINGS)] for _, x in lists]
     split = [halves(t) for _, t in items]
-    return Index([i for i, _ in items], terms, lists, block_max, np.array([max(b) for b in block_max] or [0.0]), bounds, [pairs(q) for q, _ in split], [pairs(a) for _, a in split], max((sum(b.values()) for b in bags), default=0))
+    return Index([i for i, _ in items], terms, lists, block_max, np.array([max(b) for b in block_max] or [0.0]), bounds, [pairs(q) for q, _ in split], [pairs(a) for _, a in split], stride)
 
 
 def block_max_wand(ix: Index, query: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -158,26 +166,27 @@ def block_max_wand(ix: Index, query: list[int], threshold: float) -> list[tuple[
     return out
 
 
-def search_texts(ix: Index, texts: list[str], threshold: float, stride: int = STRIDE) -> list[dict[int, tuple[float, float, float]]]:
-    """For each text, and each item retrieved for a passage of it: score, question and answer overlap of its best passage.
+def search_texts(indexes: list[Index], texts: list[str], threshold: float) -> list[dict[tuple[int, int], tuple[float, float, float]]]:
+    """For each text, and each item (index, number) retrieved for a passage of it: score, question and answer overlap of its best passage.
 
     Each passage is first held against the spans: only if its terms' largest impacts in some span add up to the
     threshold is it searched.
     """
-    found: list[dict[int, tuple[float, float, float]]] = [{} for _ in texts]
-    stride = max(stride, ix.longest)
+    found: list[dict[tuple[int, int], tuple[float, float, float]]] = [{} for _ in texts]
     held: list[tuple[int, list[str]]] = []
     size = 0
     for k, text in enumerate(texts):
         held.append((k, words(text)))
         size += len(held[-1][1])
         if size >= BATCH or k == len(texts) - 1:
-            _search_batch(ix, held, threshold, stride, found)
+            for i, ix in enumerate(indexes):
+                _search_batch(ix, i, held, threshold, found)
             held, size = [], 0
     return found
 
 
-def _search_batch(ix: Index, held: list[tuple[int, list[str]]], threshold: float, stride: int, found: list[dict[int, tuple[float, float, float]]]) -> None:
+def _search_batch(ix: Index, number: int, held: list[tuple[int, list[str]]], threshold: float, found: list[dict[tuple[int, int], tuple[float, float, float]]]) -> None:
+    stride = ix.stride
     flat = [x for _, w in held for x in w]
     ids = np.fromiter(map(ix.terms.get, flat, itertools.repeat(-1)), np.int64, len(flat))
     lengths = np.array([len(w) for _, w in held])
@@ -207,35 +216,73 @@ def _search_batch(ix: Index, held: list[tuple[int, list[str]]], threshold: float
             inside, alone, best = pairs(w), set(w), found[held[owner[p]][0]]
             for item, score in hits:
                 q, s = overlap(ix.question[item], inside, alone), overlap(ix.answer[item], inside, alone)
-                if item not in best or (min(q, s), score) > (min(best[item][1:]), best[item][0]):
-                    best[item] = (score, q, s)
+                had = best.get((number, item))
+                if had is None or (min(q, s), score) > (min(had[1:]), had[0]):
+                    best[number, item] = (score, q, s)
+
+
+def _bags(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for df in frames:
+        bags = [Counter(words(t)) for t in df["t"]]
+        yield df.assign(n=[sum(b.values()) for b in bags], terms=[sorted(b) for b in bags])
+
+
+def item_indexes(items: DataFrame) -> DataFrame:
+    """``stride, block, size, data``: the pickled index of each block of ``items (i, t)``, built in the tasks from statistics over all items."""
+    bags = written(items.distinct().withColumn("key", F.sha2(F.concat_ws("|", "i", "t"), 256)).mapInPandas(_bags, "i long, t string, key string, n long, terms array<string>"), "item-bags")
+    n, mean = bags.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(0.0))).first()
+    seen = bags.select("key", F.explode("terms").alias("term"))
+    df = written(seen.groupBy("term").agg(F.count("*").alias("c")).withColumn("df", F.col("c")), "item-terms")
+    known = heavy_join(seen, df, ["term"], "key").groupBy("key").agg(F.collect_list("term").alias("terms"), F.collect_list("df").alias("dfs"))
+    placed = bags.drop("terms").withColumn("stride", F.greatest(F.lit(STRIDE), F.pow(F.lit(2), F.ceil(F.log2("n"))).cast("long")))
+    sizes = placed.groupBy("stride").agg(F.greatest(F.ceil(F.count("*") / ITEMS), F.ceil(F.sum(F.length("t")) / CHARS)).alias("blocks"))
+    rows = placed.join(F.broadcast(sizes), "stride").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))).join(known, "key")  # sizes: a row for each power of two
+
+    def build(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("key")
+        dfs = {t: c for ts, cs in zip(df["terms"], df["dfs"]) for t, c in zip(ts, cs)}
+        data = pickle.dumps(build_index(list(zip(df["i"].tolist(), df["t"])), dfs, n, mean, int(key[0])))
+        return pd.DataFrame({"stride": [int(key[0])], "block": [int(key[1])], "size": [len(data)], "data": [data]})
+
+    out = written(rows.groupBy("stride", "block").applyInPandas(build, "stride long, block long, size long, data binary"), "item-indexes")
+    dropped(bags, df)
+    return out
 
 
 def retrieve(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER) -> DataFrame:
     """``doc_id, item_id, score, question_overlap, answer_overlap, contaminated``: a row for each document and item that one of its passages retrieves.
 
     Null and empty texts and items, and items without an id, match nothing; repeated rows of documents give repeated
-    rows; items of one id count as different items and may give several rows. No text is cut short: passages cover
-    each document, overlapping by half, and are lengthened to hold the longest item. Other columns are ignored.
+    rows; of equal rows of items one counts, and items of one id with different texts are different items that may give
+    several rows. No text is cut short: passages cover each document, overlapping by half, and for each item there are
+    some that are long enough to hold it. Empty tables give an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     items = items.select(F.col(item_id).cast("long").alias("i"), text_of(item_text).alias("t")).where(F.col("i").isNotNull() & F.col("t").rlike(r"[^\W_]"))
-    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
-    blocks = max(1, math.ceil(n / ITEMS), math.ceil(chars / CHARS))
+    indexes = item_indexes(items)
+    sets: list[list[tuple[int, int]]] = [[]]
+    size = 0
+    for r in indexes.select("stride", "block", "size").orderBy("stride", "block").collect():  # a row for each block of ITEMS
+        if sets[-1] and size + r["size"] > BYTES:
+            sets.append([])
+            size = 0
+        sets[-1].append((r["stride"], r["block"]))
+        size += r["size"]
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("_text"))
     out = None
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else items
-        index = spark.sparkContext.broadcast(build_index([(r.i, r.t) for r in block.collect()]))  # a block of bounded size
+    for chosen in sets:
+        part = indexes.where(F.struct("stride", "block").isin([F.struct(F.lit(a).cast("long"), F.lit(b).cast("long")) for a, b in chosen])) if chosen else indexes
+        shipped = spark.sparkContext.broadcast([bytes(r["data"]) for r in part.orderBy("stride", "block").select("data").collect()])  # BYTES at most
 
-        def search(frames: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            ix = index.value
+        def search(frames: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
+            ixs = [pickle.loads(x) for x in shipped.value]
             for df in frames:
-                rows = [(d, ix.ids[item], *map(float, found)) for d, hits in zip(df["doc_id"], search_texts(ix, list(df["_text"]), threshold)) for item, found in sorted(hits.items())]
+                rows = [(d, ixs[x].ids[item], *map(float, found)) for d, hits in zip(df["doc_id"], search_texts(ixs, list(df["_text"]), threshold)) for (x, item), found in sorted(hits.items())]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]).astype({"item_id": "int64", "score": "float64", "question_overlap": "float64", "answer_overlap": "float64"})
 
         part = base.mapInPandas(search, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
         out = part if out is None else out.unionByName(part)
+    dropped(indexes)
     return out.withColumn("contaminated", (F.col("question_overlap") >= question) & (F.col("answer_overlap") >= answer))
 
 
