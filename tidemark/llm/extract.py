@@ -1,12 +1,14 @@
 """Operator 7, HTML extraction by two-pass block rules.
 
 A helper cuts each page into blocks. Pass one labels a block by stop-word density, length and link density; pass two
-gives ambiguous short blocks the label of their nearest decided neighbours in the same part of the page.
+gives ambiguous blocks the label of their nearest decided neighbours in the same part of the page. Where the page's
+prose isn't in a language of the stop words, length and link density decide alone.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import unescape
 
 import pandas as pd
@@ -18,11 +20,18 @@ from .common import table
 #: Elements of HTML by role.
 RAW = frozenset("script style noscript template textarea title svg iframe object canvas math xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 OUTSIDE = frozenset("nav footer aside form menu dialog button select option label fieldset head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Names in class, id or role, as wholes, that mark a part of a page as no article.
-HINT = re.compile(r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|side-?bar|menu|nav\w*|breadcrumbs?|footer|header|masthead|comments?|commentlist|disqus|respond|repl(?:y|ies)|reviews?|cookies?|consent|notices?|gdpr|alert|popup|pop-up|modal|overlay|newsletter|subscri\w*|signup|login|search|share|sharing|social|related|recommend\w*|widget|pagination|pager|toolbar|copyright|legal|disclaimer|contentinfo|complementary|navigation|hidden|skip\w*)", re.I)
+#: Open blocks that the start of another ends; a paragraph is ended by any.
+ENDED_BY = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"td", "th", "tr", "p"}}
+#: Words of names in class, id and role that mark a part of a page as no article, and words that may stand beside them.
+ADS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners".split())
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+HEADS = frozenset("header masthead".split())
+MARKS = ADS | COMMENTS | HEADS | frozenset("sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent notice notices gdpr alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations widget widgets pagination pager toolbar copyright legal disclaimer contentinfo complementary hidden skip".split())
+BESIDE = frozenset("area articles bar bottom box block body bottom button buttons card col column container content form group head holder inner item items left link links list main mobile outer page panel post posts primary right row secondary section site slot stories text title top unit wrap wrapper".split())
+OWN_HEADS = frozenset("article blog content entry news page post section story title".split())
 #: Left out with all they hold; left out by name only, but for articles inside.
 OUT, NAMED = 2, 1
 ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden|lang)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -36,37 +45,76 @@ STOP = frozenset(
     "al como con del desde donde el ella ellos era es esta este fue ha hasta hay las lo los me mi muy más no nos o para pero por porque quien se sin sobre su sus también te tiene todo un una y ya".split()
 )
 LONG, SHORT, DENSE, SPARSE, LINKED = 200, 70, 0.3, 0.2, 0.35
+#: Shares of a block's text in links beyond which it is no text of an article: paragraphs, and others such as list items.
+LINKED_PARAGRAPH, LINKED_ITEM = 0.9, 0.8
+#: Share of stop words in a page's prose from which on the word list fits its language.
+FITS = 0.15
+#: Characters that say as much as three letters.
+WIDE = re.compile(r"[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff]")
+ENDS = re.compile(r"[.!?…。！？।][\"'”’»)\]]*$")
+RIGHTS = re.compile(r"^(?:©|\(c\)|copyright\b)|\ball rights reserved\b", re.I)
 
 
-def blocks_of(html: str) -> list[tuple[str, int, str, int]]:
-    """``(text, characters in links, tag, part)`` of each block outside menus, forms and the like. part: 0 outside any article, else the article's number."""
+@lru_cache(maxsize=65536)
+def mark(name: str) -> frozenset[str]:
+    """The marks in a name such as ``cookie-banner``, if it has only marks and words that may stand beside them (``has-sidebar`` has not)."""
+    parts = [w for w in re.split(r"[-_]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w and not w.isdigit()]
+    parts = [w for w in ("".join(parts),) if w in MARKS] or parts
+    found = frozenset(w for w in parts if w in MARKS)
+    if not found or any(w not in MARKS and w not in BESIDE and w not in OWN_HEADS for w in parts):
+        return frozenset()
+    return found - HEADS if found & HEADS and any(w in OWN_HEADS for w in parts) else found
+
+
+def _left_out(tag: str, attrs: dict[str, str], part: int) -> int:
+    """Whether an element is left out: OUT, NAMED, or 0."""
+    hidden = "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").lower().replace(" ", "")
+    if tag in OUTSIDE or tag == "header" and not part or hidden:
+        return OUT
+    if tag in ("html", "body", "main"):
+        return 0
+    found = frozenset().union(*(mark(x) for k in ("class", "id", "role") for x in attrs.get(k, "").split()))
+    if part:  # an article's headings and paragraphs are its own, whatever they are called, and so is its header
+        found = found & ADS if tag == "p" else frozenset() if tag in HEADINGS else found - HEADS
+    if found & COMMENTS:
+        return OUT
+    if not found or tag == "article":
+        return 0
+    return OUT if part else NAMED
+
+
+def blocks_of(html: str, names: bool = True) -> list[tuple[str, int, str, int]]:
+    """``(text, characters in links, tag, part)`` of each block outside menus, forms and the like. part: 0 outside any article, else the article's number.
+
+    Without ``names``, what is left out by name only comes along. Every step looks at the top of its stack only, so
+    work follows the page's length however deep it is nested.
+    """
     out: list[tuple[str, int, str, int]] = []
-    stack: list[tuple[str, int, int]] = []  # tag, how it is left out, part
+    stack: list[tuple[str, int, int, str]] = [("", 0, 0, "")]  # tag, how it is left out, part, tag of the block or heading around
+    opened: list[int] = []  # places of blocks in the stack
+    count: dict[str, int] = {}
     buf: list[str] = []
     linked: list[int] = [0]
-    parts, links, at, tag = 0, 0, 0, ""
-
-    def state() -> tuple[int, int]:
-        return (stack[-1][1], stack[-1][2]) if stack else (0, 0)
+    parts, at = 0, 0
 
     def flush() -> None:
         if buf:
             text = " ".join(unescape("".join(buf)).split())
             if text:
-                heading = next((t for t, _, _ in reversed(stack) if t in HEADINGS), "")
-                out.append((text, linked[0], heading, state()[1]))
+                out.append((text, linked[0], stack[-1][3], stack[-1][2]))
             buf.clear()
         linked[0] = 0
 
     def close(i: int) -> None:
-        nonlocal links
-        links -= sum(t == "a" for t, _, _ in stack[i:])
-        del stack[i:]
+        while len(stack) > i:
+            count[stack.pop()[0]] -= 1
+        while opened and opened[-1] >= i:
+            opened.pop()
 
     def add(text: str) -> None:
-        if text and not state()[0]:
+        if text and not stack[-1][1]:
             buf.append(text)
-            if links:
+            if count.get("a"):
                 linked[0] += len(text.strip())
 
     n = len(html)
@@ -83,13 +131,19 @@ def blocks_of(html: str) -> list[tuple[str, int, str, int]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             if tag in BLOCK:
                 flush()
-            elif tag in ("td", "th"):
-                add(" ")
-            if found >= 0:
-                close(found)
+                while count.get(tag):
+                    found = stack[opened[-1]][0]
+                    close(opened[-1])
+                    if found == tag:
+                        break
+            elif count.get(tag):  # an inline element ends, and those in it, but no block around it
+                i, floor = len(stack) - 1, opened[-1] if opened else 0
+                while i > floor and stack[i][0] != tag:
+                    i -= 1
+                if i > floor:
+                    close(i)
             continue
         if tag in RAW:
             if not m[3].rstrip().endswith("/"):
@@ -98,68 +152,103 @@ def blocks_of(html: str) -> list[tuple[str, int, str, int]]:
             continue
         if tag in BLOCK:
             flush()
-            for i in range(len(stack) - 1, -1, -1):  # an open paragraph, or item in an item's place, ends here
-                if stack[i][0] == "p" or stack[i][0] == tag and tag in ("li", "dt", "dd", "tr"):
-                    close(i)
-                    break
-                if stack[i][0] in BLOCK:
-                    break
-        elif tag in ("br", "td", "th", "img"):
+            ended = ENDED_BY.get(tag, {"p"})
+            while opened and stack[opened[-1]][0] in ended:
+                close(opened[-1])
+        elif tag in ("br", "img"):
             add(" ")
         if tag in VOID:
             continue
-        out_now, part = state()
+        _, out_now, part, around = stack[-1]
         if out_now != OUT:
             attrs = {k.lower(): (v or "").strip("\"'") for k, v in ATTR.findall(m[3])} if m[3].strip() else {}
-            names = " ".join(attrs.get(k, "") for k in ("class", "id", "role")).split()
-            hidden = "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").lower().replace(" ", "")
+            left = _left_out(tag, attrs, part)
             article = tag in ("article", "main")
-            named = not article and tag not in ("html", "body") and any(HINT.fullmatch(x) and not (part and x.lower() in ("header", "masthead")) for x in names)
-            if tag in OUTSIDE or tag == "header" and not part or hidden or named and part:
-                out_now = OUT
-            elif named:
-                out_now = NAMED
+            if left == OUT or left == NAMED and names:
+                out_now = left
             elif article:
                 out_now = 0
             if not out_now and article and not part:
                 parts += 1
                 part = parts
-        stack.append((tag, out_now, part))
-        links += tag == "a"
+        stack.append((tag, out_now, part, tag if tag in BLOCK and around not in HEADINGS else around))
+        count[tag] = count.get(tag, 0) + 1
+        if tag in BLOCK:
+            opened.append(len(stack) - 1)
     flush()
     return out
 
 
-def label(text: str, linked: int, part: int) -> str:
-    """Pass one: good, bad, or short for an ambiguous block. Inside an article, few stop words alone leave it ambiguous."""
-    if linked > LINKED * len(text):
-        return "bad"
-    if len(text) < SHORT:
-        return "short" if part or not linked else "bad"
+def size_of(text: str) -> int:
+    return len(text) if text.isascii() else len(text) + 2 * len(WIDE.findall(text))
+
+
+def stop_words(text: str) -> tuple[int, int]:
     words = WORD.findall(text.lower())
-    density = sum(w in STOP for w in words) / max(1, len(words))
-    if density >= DENSE or density >= SPARSE and len(text) >= LONG:
+    return sum(w in STOP for w in words), len(words)
+
+
+def label(text: str, linked: int, tag: str, part: int, fits: bool) -> str:
+    """Pass one: good, bad, or short for an ambiguous block. Inside an article only links make a block bad."""
+    share, size = linked / len(text), size_of(text)
+    if part:
+        limit = 1.0 if tag in HEADINGS else LINKED_PARAGRAPH if tag in ("p", "blockquote") else LINKED_ITEM
+        return "bad" if share > limit else "good" if size >= SHORT else "short"
+    if share > LINKED or size < LONG and RIGHTS.search(text):
+        return "bad"
+    if size < SHORT:
+        return "short" if tag in HEADINGS or not linked else "bad"
+    sentence = bool(ENDS.search(text))
+    if not fits:
+        return "good" if size >= LONG or sentence else "short"
+    stops, words = stop_words(text)
+    density = stops / max(1, words)
+    if density >= DENSE or density >= SPARSE and size >= LONG:
         return "good"
-    return "short" if part or density >= SPARSE else "bad"
+    return "short" if sentence or density >= SPARSE else "bad"
+
+
+def _labelled(blocks: list[tuple[str, int, str, int]]) -> list[str]:
+    prose = [stop_words(t) for t, linked, _, _ in blocks if size_of(t) >= SHORT and linked <= LINKED * len(t)]
+    fits = sum(s for s, _ in prose) >= FITS * sum(w for _, w in prose)
+    return [label(*b, fits) for b in blocks]
+
+
+def _with_article(blocks: list[tuple[str, int, str, int]]) -> list[tuple[str, int, str, int]]:
+    """The blocks of the page's articles and a title in front of them; all blocks where articles are but a small part of the page's prose."""
+    inside = [b for b in blocks if b[3]]
+    if not inside:
+        return blocks
+    around = [b for b in blocks if not b[3]]
+    prose = sum(size_of(b[0]) for b, x in zip(around, _labelled(around)) if x == "good")
+    if prose > 3 * sum(size_of(b[0]) for b in inside):
+        return [(*b[:3], 0) for b in blocks]
+    if not any(b[2] == "h1" for b in inside):
+        title = [b for b in blocks[: blocks.index(inside[0])] if b[2] == "h1"]
+        inside = [(*b[:3], inside[0][3]) for b in title[-1:]] + inside
+    return inside
 
 
 def main_text(html: str) -> tuple[str, int, int]:
     """The text of a page's article, the number of its blocks and of those kept."""
-    blocks = blocks_of(html)
-    if any(part for _, _, _, part in blocks):
-        blocks = [b for b in blocks if b[3]]
-    labels = [label(t, linked, part) for t, linked, _, part in blocks]
+    found = _kept(html, True)
+    return found if found[2] else _kept(html, False)
+
+
+def _kept(html: str, names: bool) -> tuple[str, int, int]:
+    blocks = _with_article(blocks_of(html, names))
+    labels = _labelled(blocks)
     n = len(blocks)
     after: list[int] = [n] * n
     for i in range(n - 2, -1, -1):
         after[i] = i + 1 if labels[i + 1] != "short" else after[i + 1]
     kept, last = [], -1
-    for i, (text, _, heading, part) in enumerate(blocks):
+    for i, (text, _, tag, part) in enumerate(blocks):
         if labels[i] != "short":
             last = i
         verdict = labels[i]
         if verdict == "short":  # pass two; a neighbour in another part decides nothing, a heading looks ahead
-            before = last if last >= 0 and blocks[last][3] == part and not heading else -1
+            before = last if last >= 0 and blocks[last][3] == part and tag not in HEADINGS else -1
             next_ = after[i] if after[i] < n and blocks[after[i]][3] == part else -1
             near = [j for j in (before, next_) if j >= 0]
             best = min((abs(j - i) for j in near), default=0)
@@ -177,7 +266,8 @@ def _extract(html: pd.Series) -> pd.DataFrame:
 def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """``pages`` without ``html`` and with ``text, n_chars, n_blocks, n_kept``.
 
-    A null or empty page gives an empty text. Broken or cut-off markup is read as far as it goes. Pages are worked on
+    A null or empty page gives an empty text. Broken or cut-off markup is read as far as it goes, nesting of any depth
+    and texts of any length whole. Pages are worked on
     one by one, whole, in no shuffle; repeated rows come out alike and an empty table gives an empty result. Other
     columns pass through, and columns of the names above are replaced.
     """
