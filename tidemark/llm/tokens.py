@@ -105,8 +105,12 @@ def put(t: np.ndarray, leaf: int, value: int) -> None:
         node //= 2
 
 
-def edit(text: str, chars: np.ndarray, tokens: np.ndarray, start: int, end: int, new: str, counter: Counter) -> tuple[str, int]:
-    """Applies one edit to text and trees; returns the new text and the number of pre-tokens encoded again."""
+def edit(text: str, chars: np.ndarray, tokens: np.ndarray, start: int, end: int, new: str, counter: Counter) -> tuple[str, int, np.ndarray, np.ndarray]:
+    """Applies one edit to text and trees; returns the new text, the number of pre-tokens encoded again and the trees.
+
+    What is encoded again goes into the leaves it came from. Where it would overfill them it is cut into runs of LEAF,
+    so that later edits there stay small, and if those don't fit, the trees are built anew around them.
+    """
     out = text[:start] + new + text[end:]
     first, begins = leaf_at(chars, max(0, start - LOOK))
     size = len(chars) // 2
@@ -115,7 +119,7 @@ def edit(text: str, chars: np.ndarray, tokens: np.ndarray, start: int, end: int,
         old += int(chars[size + last])
         last += 1
     n = n_chars = n_tokens = 0
-    place = begins
+    place, cuts = begins, [(0, 0)]  # characters and tokens so far, at every LEAF pre-tokens
     while place < len(out):
         while last < size and old + shift < place:
             old += int(chars[size + last])
@@ -125,18 +129,31 @@ def edit(text: str, chars: np.ndarray, tokens: np.ndarray, start: int, end: int,
         piece = counter.pattern.match(out, place)[0]
         n, n_tokens, place = n + 1, n_tokens + counter.count(piece), place + len(piece)
         n_chars += len(piece)
+        if n % LEAF == 0:
+            cuts.append((n_chars, n_tokens))
     if place >= len(out) and not (last < size and place == old + shift and old >= end):
         last = size
     if last == first:  # new text in front of the first leaf, which stays
         n_chars, n_tokens, last = n_chars + int(chars[size + first]), n_tokens + int(tokens[size + first]), first + 1
+        cuts[-1] = (n_chars, n_tokens) if len(cuts) > 1 else cuts[-1]
+    if n <= 2 * LEAF:
+        runs = [(n_chars, n_tokens)]
+    else:
+        cuts += [(n_chars, n_tokens)] * (cuts[-1] != (n_chars, n_tokens))
+        runs = [(b[0] - a[0], b[1] - a[1]) for a, b in zip(cuts, cuts[1:])]
+    if len(runs) > last - first:
+        old_chars, old_tokens = chars[size:], tokens[size:]
+        keep = np.flatnonzero(old_chars[:first]), last + np.flatnonzero(old_chars[last:])
+        chars, tokens = (tree(np.concatenate((t[keep[0]], [r[k] for r in runs], t[keep[1]]))) for k, t in enumerate((old_chars, old_tokens)))
+        return out, n, chars, tokens
     for leaf in range(first, last):
-        if leaf == first or chars[size + leaf] or tokens[size + leaf]:
-            put(chars, leaf, n_chars if leaf == first else 0)
-            put(tokens, leaf, n_tokens if leaf == first else 0)
-    return out, n
+        c, t = runs[leaf - first] if leaf - first < len(runs) else (0, 0)
+        put(chars, leaf, c)
+        put(tokens, leaf, t)
+    return out, n, chars, tokens
 
 
-def apply_edits(text: str, chars: np.ndarray, tokens: np.ndarray, edits: list[tuple[int, int, str]], counter: Counter) -> tuple[str, int]:
+def apply_edits(text: str, chars: np.ndarray, tokens: np.ndarray, edits: list[tuple[int, int, str]], counter: Counter) -> tuple[str, int, np.ndarray, np.ndarray]:
     """Edits are in the places of the first text, by start; what overlaps an earlier one is clipped, and they go in from the back."""
     clean, upto = [], 0
     for s, e, new in sorted(edits, key=lambda x: (x[0], x[1])):
@@ -145,9 +162,9 @@ def apply_edits(text: str, chars: np.ndarray, tokens: np.ndarray, edits: list[tu
         upto = e
     n = 0
     for s, e, new in reversed(clean):
-        text, k = edit(text, chars, tokens, s, e, new, counter)
+        text, k, chars, tokens = edit(text, chars, tokens, s, e, new, counter)
         n += k
-    return text, n
+    return text, n, chars, tokens
 
 
 _counters: dict[int, Counter] = {}
@@ -206,7 +223,7 @@ def edited_counts(docs: DataFrame, edits: str = "edits", text: str = "text", voc
             for t, c, k, e in zip(texts, chars, tokens, changes):
                 c, k = np.array(c, np.int64), np.array(k, np.int64)
                 done = [(int(x["start"] or 0), int(x["end"] or 0), x["new"] or "") for x in e] if e is not None else []
-                t, n = apply_edits(t, c, k, done, counter)
+                t, n, c, k = apply_edits(t, c, k, done, counter)
                 rows.append((t, c, k, int(k[1]), n))
             yield pd.DataFrame(rows, columns=["text", "tree_chars", "tree_tokens", "n_tokens_after", "n_reencoded"])
 
