@@ -20,6 +20,8 @@ LEVELS = ("domain", "lang", "source")
 WEIGHTS = {"domain": {"domain0": 4, "domain1": 3, "domain2": 2}, "lang": {"en": 6, "fr": 2, "de": 2}, "source": {}}
 BUDGET_PERCENT = 60
 MAX_EPOCHS = 3
+#: Ratios of capacity to weight are compared in these parts; weights up to a million keep them exact.
+SCALE = 10**12
 SEED = 20240517
 #: Documents in one part of a leaf's order, about: only the part that holds a prefix's end is put in order.
 PART = 8192
@@ -40,8 +42,9 @@ def share_out(nodes: DataFrame, parent: list[str], budget: str, capacity: str, w
     """Adds ``out``: each node's part of its parent's ``budget``, by weight, at most its capacity, shortages going to its siblings.
 
     Nodes in ascending order of capacity to weight fill up first; the first that doesn't sets the rate for the rest.
+    The ratio is an integer in parts of SCALE, which tells all fractions apart whose weights have a product of at most SCALE.
     """
-    ratio = F.col(capacity) / F.col(weight)
+    ratio = F.expr(f"floor(cast({capacity} as decimal(38,0)) * {SCALE} / cast({weight} as decimal(18,0)))")
     by = W.partitionBy(*parent).orderBy(ratio, *order)
     before = by.rowsBetween(W.unboundedPreceding, -1)
     rest = by.rowsBetween(0, W.unboundedFollowing)
@@ -77,7 +80,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", tokens: Column | None = None, l
     ``tokens`` defaults to the words of ``text``. The budget is a share of all tokens. A leaf's last epoch ends before
     the first document that doesn't fit. Nulls in a level are a branch of their own; null texts have no tokens and
     come along with any prefix that reaches their place; a null doc_id has one place per epoch. Rows of one place are
-    taken or left together. An empty table gives an empty result; other columns pass through.
+    taken or left together. The budget is a table of one row that meets one row per domain in a nested loop. An empty table gives an empty result; other columns pass through.
     """
     weights = WEIGHTS if weights is None else weights
     other = [c for c in docs.columns if c not in ("n_tokens", "times")]
