@@ -6,6 +6,7 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,12 +57,27 @@ def test_suffix_dedup(docs, texts):
     assert sum(w[1] for w in want.values()) > 3000
 
 
-def test_suffix_dedup_of_crowded_grams(docs, texts, monkeypatch):
+@pytest.mark.parametrize("crowd", [1, 2, 7])
+def test_suffix_dedup_in_small_blocks(docs, texts, monkeypatch, crowd):
     plain = {r.doc_id: bytes(r.kept) for r in suffixes.substring_dedup(docs).collect()}
-    monkeypatch.setattr(suffixes, "CROWD", 2)
+    monkeypatch.setattr(suffixes, "CROWD", crowd)
     assert {r.doc_id: bytes(r.kept) for r in suffixes.substring_dedup(docs).collect()} == plain
 
 
+def test_previous_factors():
+    rng = random.Random(8)
+    for _ in range(60):
+        text = bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 300)))
+        text += b"\x00" * suffixes.LIMIT  # every suffix has LIMIT bytes
+        n = len(text) - suffixes.LIMIT
+        starts = np.arange(n)
+        words = suffixes.window_words(np.frombuffer(text, np.uint8), starts)
+        order = np.lexsort((starts, *words.T[::-1]))
+        got = suffixes.previous_factors(starts[order], suffixes.common_prefixes(np.zeros(n), words[order]))
+        common = lambda i, j: next((k for k in range(suffixes.LIMIT) if text[i + k] != text[j + k]), suffixes.LIMIT)  # noqa: B023, E731
+        assert got.tolist() == [max((common(i, j) for j in range(i)), default=0) for i in order.tolist()]
+
+
 @pytest.mark.parametrize("k", [2, 5])
 def test_near_duplicates(docs, texts, k):
     sets = {}
@@ -116,7 +132,7 @@ def test_line_dedup(spark):
     rows += [(20 + i, f"more text {i} on one site, also longer than the line\nOne site only.", "site0") for i in range(15)] + [(50, None, None), (51, notice, None), (51, notice, None)]
     got = {r.doc_id: r.text for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     for i, t, _ in rows:
-        assert got[i] == ((t or "").replace(f"{notice}\n", "") if i < 12 else t or "")
+        assert got[i] == ("" if i == 51 else (t or "").replace(f"{notice}\n", "") if i < 12 else t or "")
 
 
 def test_warc_round_trip(spark, tmp_path):
@@ -185,6 +201,21 @@ def test_wand_retrieves_what_a_full_scan_does():
             assert {i for i, _ in got} == {i for i, s in scores.items() if s >= threshold - 1e-9}
 
 
+def test_decontamination_does_not_depend_on_blocks(spark, monkeypatch):
+    rng = random.Random(12)
+    items = [(i, f"{sentence(rng, rng.randrange(3, 40), 300)}? {sentence(rng, rng.randrange(2, 30), 300)}.") for i in range(60)]
+    items += [(70, f"{sentence(rng, 300, 300)}? {sentence(rng, 200, 300)}."), (5, sentence(rng, 20)), items[3], (None, "x y"), (9, None)]
+    docs = [(i, f"{sentence(rng, 90, 300)} {items[i % 60][1][: rng.randrange(20, 200)]} {sentence(rng, 60, 300)}") for i in range(80)] + [(99, items[60][1])]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = []
+    for n, size in ((20_000, 64_000_000), (10, 64_000_000), (10, 1)):
+        monkeypatch.setattr(decontaminate, "ITEMS", n)
+        monkeypatch.setattr(decontaminate, "BYTES", size)
+        found.append(sorted((r.doc_id, r.item_id, round(r.score, 6), r.question_overlap, r.answer_overlap) for r in decontaminate.retrieve(d, b).collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 20
+    assert (99, 70) in {x[:2] for x in found[0]}
+
+
 def test_decontamination(spark):
     rng = random.Random(2)
     items = [(i, f"{sentence(rng, 20)}? {sentence(rng, 20)}.") for i in range(40)] + [(99, None)]
