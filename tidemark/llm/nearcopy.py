@@ -27,6 +27,8 @@ BLOCK, LEADERS = 192, 24
 SLACK = 0.16
 #: The bands of crowded buckets: a pair at 0.8 shares one with a probability of 1 - 2e-5.
 FINE_BANDS, FINE_ROWS = 60, 8
+#: Shingles of a set that counts as small, and blocks of left-over documents that a group may hold against all of it.
+FEW, LEFT = 16, 4
 _rng = np.random.default_rng(20240517)
 _A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -55,10 +57,10 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def set_key(text: str | None, k: int) -> tuple[np.ndarray, int, int]:
-    """The set of a text, and 128 bits of it from two independent hashes of its words."""
+    """The set of a text, and 128 bits of it; of few shingles from two independent hashes of its words, as there a clash of one hash would matter."""
     b = text_bytes(text)
     s, at = np.unique(shingles(word_hashes(b), k), return_index=True)
-    other = shingles(word_hashes(b, 1), k)[at]
+    other = shingles(word_hashes(b, 1), k)[at] if len(s) < FEW else s
     one, two = (int(mix(x).sum(dtype=np.uint64).view(np.int64)) for x in (s ^ np.uint64(0x243F6A8885A308D3), mix(s) ^ other))
     return s, one, two
 
@@ -193,6 +195,18 @@ def _links(base: DataFrame, same: DataFrame, k: int, percent: int) -> DataFrame:
     def more(rows: DataFrame) -> DataFrame:
         return links.unionByName(written(_confirmed(rows, percent), "near-links"))
 
+    if wide.isEmpty():
+        return links
+    # what the blocks left apart: little of a group is held against all of it, else documents meet by bucket
+    now = written(members.where(F.col("size") > BLOCK).select("group", "size", "id").join(comps(), "id"), "near-apart")
+    left = now.groupBy("group", "comp").agg(F.count("*").alias("c")).groupBy("group").agg((F.sum("c") - F.max("c")).alias("left")).where("left > 0")
+    left = written(left.withColumn("little", F.col("left") <= LEFT * BLOCK), "near-left")
+    some = written(salted_join(now, left, ["group"], "id"), "near-some")
+    dropped(now, left)
+    if some.isEmpty():
+        return links
+    links = more(_grid_of(some.where("little").select("group", "size", "id", "comp").join(wide, "id")))
+    wide = wide.join(some.where("NOT little").select("id"), "id", "left_semi")
     if wide.isEmpty():
         return links
     groups = _open(buckets.join(wide.select("id"), "id", "left_semi"), comps())
