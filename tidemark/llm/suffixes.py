@@ -26,7 +26,7 @@ SPAN = LIMIT - GRAM + 1
 CHUNK = 1 << 16
 _LOW = np.uint64((1 << 17) - 1)
 #: Regions in a block, about.
-CROWD = 1500
+CROWD = 8000
 #: Suffixes that are worked on at once, of one or more blocks.
 WINDOWS = 1 << 18
 
