@@ -44,6 +44,24 @@ def keyword_hits(text: Column, keywords: list[str]) -> Column:
     return F.array_compact(F.array(*[F.when(has_keyword(text, k), F.lit(k)) for k in keywords])) if keywords else F.array().cast("array<string>")
 
 
+def found_keywords(text: Column, keywords: list[str]) -> Column:
+    """Those of ``keywords`` that a text holds, from one pass that cuts it into words and a search for each of the others; :func:`hits_of` and :func:`any_of` look lists up in it."""
+    distinct = list(dict.fromkeys(keywords))
+    words = [k for k in distinct if k.isascii() and k.isalnum() and k == k.lower()]
+    rest = [F.when(text.contains(k), F.lit(k)) for k in distinct if k not in words]
+    hits = F.array_intersect(F.array(*map(F.lit, words)), F.regexp_extract_all(text, F.lit("([a-z0-9]+)"), 1))
+    return F.concat(hits, F.array_compact(F.array(*rest))) if rest else hits
+
+
+def hits_of(found: Column, keywords: list[str]) -> Column:
+    """The keywords among those found, in the list's order."""
+    return F.array_intersect(F.array(*map(F.lit, keywords)), found)
+
+
+def any_of(found: Column, keywords: list[str]) -> Column:
+    return F.coalesce(F.arrays_overlap(F.array(*map(F.lit, keywords)), found), F.lit(False))
+
+
 def is_aggregator(source: Column) -> Column:
     return F.lower(F.coalesce(source, F.lit(""))).contains(C.AGGREGATOR_HINTS[0])
 
@@ -52,14 +70,14 @@ def is_official(source: Column) -> Column:
     return F.lower(F.coalesce(source, F.lit(""))).rlike("|".join(C.OFFICIAL_HINTS)) & ~is_aggregator(source)
 
 
-def immigration_context(text: Column) -> Column:
-    return any_keyword(text, ["alien", "aliens"]) & ~any_keyword(text, C.ALIEN_ANCHORS) & any_keyword(text, C.IMMIGRATION_CONTEXT)
+def immigration_context(text: Column, has=any_keyword) -> Column:  # noqa: ANN001
+    """``text`` may be what :func:`found_keywords` found, with ``has`` as :func:`any_of`."""
+    return has(text, ["alien", "aliens"]) & ~has(text, C.ALIEN_ANCHORS) & has(text, C.IMMIGRATION_CONTEXT)
 
 
-def context_hits(text: Column, keywords: list[str]) -> Column:
+def without_migrants(hits: Column, immigration: Column) -> Column:
     """Keyword hits without aliens where these are migrants."""
-    hits = keyword_hits(text, keywords)
-    return F.when(immigration_context(text), F.filter(hits, lambda h: ~h.isin("alien", "aliens"))).otherwise(hits)
+    return F.when(immigration, F.filter(hits, lambda h: ~h.isin("alien", "aliens"))).otherwise(hits)
 
 
 def spammy(title: Column) -> Column:
@@ -84,16 +102,20 @@ def confidence(score: Column) -> Column:
     return F.when(score >= 80, "HIGH").when(score >= 60, "MEDIUM").otherwise("LOW")
 
 
-def action_tag(text: Column) -> Column:
+def action_tag(text: Column, has=any_keyword) -> Column:  # noqa: ANN001
     out = F.lit("na")
     for tag, words in reversed(C.ACTIONS.items()):
-        out = F.when(any_keyword(text, words), tag).otherwise(out)
+        out = F.when(has(text, words), tag).otherwise(out)
     return out
 
 
-def topic_tag(text: Column) -> Column:
-    nhi = any_keyword(text, C.TOPIC_NHI) & (any_keyword(text, C.TOPIC_NHI_ANCHORS) | ~immigration_context(text))
-    return F.when(any_keyword(text, C.TOPIC_UFO), "ufo_uap").when(nhi, "alien_nhi").when(any_keyword(text, C.TOPIC_RETRIEVAL), "retrieval_claim").when(any_keyword(text, ["aaro"]), "aaro").otherwise("na")
+def topic_tag(text: Column, has=any_keyword) -> Column:  # noqa: ANN001
+    nhi = has(text, C.TOPIC_NHI) & (has(text, C.TOPIC_NHI_ANCHORS) | ~immigration_context(text, has))
+    return F.when(has(text, C.TOPIC_UFO), "ufo_uap").when(nhi, "alien_nhi").when(has(text, C.TOPIC_RETRIEVAL), "retrieval_claim").when(has(text, ["aaro"]), "aaro").otherwise("na")
+
+
+#: All that :func:`action_tag`, :func:`topic_tag` and the actors look for.
+TAG_KEYWORDS = [k for words in [*C.ACTIONS.values(), C.TOPIC_NHI, C.TOPIC_NHI_ANCHORS, C.TOPIC_UFO, C.TOPIC_RETRIEVAL, ["aaro", "alien", "aliens"], C.ALIEN_ANCHORS, C.IMMIGRATION_CONTEXT, C.ACTOR_KEYWORDS] for k in words]
 
 
 def first_anchor(text: Column, keywords: list[str]) -> Column:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import shared_table
 
 
 def rank_of(order: str = "ord") -> Column:
@@ -19,14 +21,30 @@ def timeline(entries: str, most: int = 24) -> Column:
     return F.slice(F.transform(F.array_sort(F.transform(F.col(entries), key)), lambda k: k["h"]), 1, most)
 
 
-def collapse_claims(items: DataFrame, most_urls: int = 12) -> DataFrame:
+#: The columns of a report.
+REPORT = ("source", "date", "published_at", "url", "weight", "source_type")
+
+
+def first_of(rows: DataFrame, keys: list[str], order: list, most: int) -> DataFrame:
+    """The first rows of each key. Every task keeps that many at most before the shuffle, so a hot key stays small."""
+    return rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= most).drop("_r")
+
+
+def collapse_claims(items: DataFrame, most_urls: int = 12, most_reports: int = 24) -> DataFrame:
     """An event per claim: its best item, all its sources and domains sorted, the earliest URLs, the timeline.
 
-    Sets are combined in the map tasks; an event's evidence is bounded by its distinct reports.
+    Sources and domains are made distinct by aggregation before they are listed, and of URLs and reports only those
+    listed are gathered, so a claim that a third of all items make is no task of its own.
     """
-    report = F.struct("source", "date", "published_at", "url", "weight", "source_type")
-    g = items.groupBy("category", "fingerprint").agg(F.max_by(F.struct("ord", "source", "title", "date", "final_score", "url", "description"), rank_of()).alias("best"), F.array_sort(F.collect_set("source")).alias("sources"), F.array_sort(F.collect_set("domain")).alias("domains"), F.array_sort(F.collect_set(F.nullif(F.coalesce("url", F.lit("")), F.lit("")))).alias("urls"), F.collect_set(report).alias("reports"), F.count("*").alias("cluster_size"))
-    return g.select("category", "fingerprint", "best.*", "sources", "domains", F.slice("urls", 1, most_urls).alias("evidence_urls"), timeline("reports").alias("timeline"), "cluster_size", (F.size("sources") > 1).alias("multi_source"))
+    keys = ["category", "fingerprint"]
+    items = shared_table(items, "claim-items")
+    g = items.groupBy(*keys).agg(F.max_by(F.struct("ord", "source", "title", "date", "final_score", "url", "description"), rank_of()).alias("best"), F.count("*").alias("cluster_size"))
+    listed = lambda c, name, most=None: (lambda d: (first_of(d, keys, [c], most) if most else d).groupBy(*keys).agg(F.array_sort(F.collect_list(c)).alias(name)))(items.where(F.coalesce(F.col(c), F.lit("")) != "").select(*keys, c).distinct())
+    order = [F.col("published_at").isNull(), F.col("published_at"), F.col("date").isNull(), F.col("date"), -F.col("weight"), F.col("source"), F.col("url"), F.col("source_type")]
+    reports = first_of(items.select(*keys, *REPORT).distinct(), keys, order, most_reports).groupBy(*keys).agg(F.collect_list(F.struct(*REPORT)).alias("reports"))
+    out = g.join(listed("source", "sources"), keys, "left").join(listed("domain", "domains"), keys, "left").join(listed("url", "urls", most_urls), keys, "left").join(reports, keys, "left")
+    empty = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c)
+    return out.select(*keys, "best.*", empty("sources"), empty("domains"), F.coalesce("urls", F.array().cast("array<string>")).alias("evidence_urls"), timeline("reports", most_reports).alias("timeline"), "cluster_size", (F.size(F.coalesce("sources", F.array().cast("array<string>"))) > 1).alias("multi_source"))
 
 
 def lag_metrics(events: DataFrame) -> DataFrame:
@@ -48,6 +66,20 @@ def lead_reason(event: None = None) -> Column:
     return F.when((F.col("official_reports") == 0) & (F.col("media_reports") == 0), "no_reports").when(F.col("official_reports") == 0, "no_official_report").when(F.col("media_reports") == 0, "no_media_report").when(lag.isNull(), "missing_dates").when(hours > 0, "strict_official_lead").when(hours == 0, "same_time").when(hours < 0, "media_lead").when(lag > 0, "official_lead_by_date").when(lag == 0, "same_day").otherwise("media_lead")
 
 
+def lead_diagnostics(events: DataFrame) -> DataFrame:
+    """``events`` with lags, as from :func:`lag_metrics`, with ``reason, lead_day, lead_strict`` and ``place``: their order, strict leads first, then leads by day, longer lags, larger claims and earlier dates."""
+    lag, hours = F.col("lag_days"), F.col("lag_hours")
+    day, strict = F.coalesce(lag >= 0, F.lit(False)), F.coalesce((lag > 0) | ((lag == 0) & (hours > 0)), F.lit(False))
+    df = events.withColumns({"reason": lead_reason(), "lead_day": day, "lead_strict": strict})
+    order = F.struct((~F.col("lead_strict")).alias("a"), (~F.col("lead_day")).alias("b"), F.coalesce(-lag, F.lit(999)).alias("c"), (-F.col("cluster_size")).alias("d"), F.coalesce(F.col("date").cast("string"), F.lit("")).alias("e"), F.col("fingerprint").alias("f"))
+    return df.withColumn("place", order)
+
+
+def lead_summary(diagnostics: DataFrame) -> DataFrame:
+    """One row: events, those with official and media reports, with lags in days and hours, and leads by day and strictly."""
+    return diagnostics.agg(F.count("*").alias("events"), F.count_if(F.col("official_reports") > 0).alias("with_official"), F.count_if(F.col("media_reports") > 0).alias("with_media"), F.count("lag_days").alias("with_lag_days"), F.count("lag_hours").alias("with_lag_hours"), F.count_if("lead_day").alias("lead_day"), F.count_if("lead_strict").alias("lead_strict"))
+
+
 def merge_by_signature(events: DataFrame, signature: Column, most_urls: int, most_reports: int) -> DataFrame:
     """Events of one signature as one: the best of them, their lists in order of first sight, sums of sizes. Events without a signature stay alone."""
     df = events.withColumn("sig", F.coalesce(signature, F.concat(F.lit("solo:"), F.col("fingerprint"))))

@@ -36,9 +36,13 @@ def evaluate(items: DataFrame, policy: Policy, today: Column, lookback: int = 12
     title = T.normalize(F.col("title"))
     df = items.withColumns({"_title": title, "_low_title": F.lower(title)}).withColumn("_text", F.lower(F.concat_ws(" ", "_title", T.strip_html(F.col("description")))))
     df = once(df)
-    text, low = F.col("_text"), F.col("_low_title")
     core = [k for k in C.UFO_KEYWORDS if k not in C.AMBIGUOUS_KEYWORDS]
-    df = df.withColumns({"_core": T.context_hits(text, core), "_amb": T.keyword_hits(text, C.AMBIGUOUS_KEYWORDS), "_crisis": T.keyword_hits(text, C.CRISIS_KEYWORDS), "_hard": T.keyword_hits(text, C.CRISIS_HARD_KEYWORDS), "_act": T.keyword_hits(text, C.OFFICIAL_ACTIONS), "_pol": T.keyword_hits(text, C.POLITICAL_KEYWORDS), "official": T.is_official(F.col("source")), "aggregator": T.is_aggregator(F.col("source"))})
+    lists = {"core": core, "amb": C.AMBIGUOUS_KEYWORDS, "crisis": C.CRISIS_KEYWORDS, "hard": C.CRISIS_HARD_KEYWORDS, "act": C.OFFICIAL_ACTIONS, "pol": C.POLITICAL_KEYWORDS}
+    others = [C.NATIONAL_KEYWORDS, C.STRONG_KEYWORDS, C.GOVERNANCE_KEYWORDS, C.GOVERNANCE_HARD_KEYWORDS, C.ALIEN_ANCHORS, C.IMMIGRATION_CONTEXT, ["alien", "aliens"]]
+    df = once(df.withColumn("_found", T.found_keywords(F.col("_text"), [k for words in [*lists.values(), *others] for k in words])))
+    found, low = F.col("_found"), F.col("_low_title")
+    df = df.withColumns({f"_{c}": T.hits_of(found, words) for c, words in lists.items()} | {"_migrants": T.immigration_context(found, T.any_of), "official": T.is_official(F.col("source")), "aggregator": T.is_aggregator(F.col("source"))})
+    df = df.withColumn("_core", T.without_migrants(F.col("_core"), F.col("_migrants")))
     n = {c: F.size(f"_{c}") for c in ("core", "amb", "crisis", "hard", "act", "pol")}
     df = df.withColumn("_signal", F.when(n["core"] > 0, n["core"] + n["amb"]).otherwise(0)).withColumn("_strength", n["crisis"] + n["hard"] + n["act"])
     df = once(df)
@@ -77,18 +81,18 @@ def evaluate(items: DataFrame, policy: Policy, today: Column, lookback: int = 12
         "future_dated_item": late,
         "stale_item_outside_lookback": early,
         "crisis_without_political_context": crisis & (n["pol"] == 0),
-        "crisis_without_national_context": F.lit(policy.crisis_national_context) & crisis & ~hit(text, C.NATIONAL_KEYWORDS),
+        "crisis_without_national_context": F.lit(policy.crisis_national_context) & crisis & ~T.any_of(found, C.NATIONAL_KEYWORDS),
         "crisis_without_hard_signal": F.lit(policy.crisis_hard_signal) & crisis & (n["hard"] == 0) & (n["act"] == 0),
         "crisis_title_without_national_actor": F.lit(policy.crisis_title_actor) & crisis & ~hit(low, C.TITLE_NATIONAL_KEYWORDS),
         "crisis_signal_only_in_description": crisis & ~title_signal,
         "crisis_hard_signal_only_in_description": F.lit(policy.crisis_title_hard_signal) & crisis & ~hit(low, C.CRISIS_HARD_KEYWORDS) & ~hit(low, C.OFFICIAL_ACTIONS),
         "ufo_signal_only_in_description": F.lit(policy.ufo_title_signal) & ufo & ~hit(low, C.STRONG_KEYWORDS),
-        "ufo_without_strong_signal": F.lit(policy.ufo_strong_signal) & ufo & outside & ~hit(text, C.STRONG_KEYWORDS),
-        "ufo_without_government_context": F.lit(policy.ufo_government_context) & ufo & outside & ~hit(text, C.GOVERNANCE_KEYWORDS),
-        "ufo_without_hard_government_context": F.lit(policy.ufo_government_context) & ufo & outside & ~hit(text, C.GOVERNANCE_HARD_KEYWORDS),
+        "ufo_without_strong_signal": F.lit(policy.ufo_strong_signal) & ufo & outside & ~T.any_of(found, C.STRONG_KEYWORDS),
+        "ufo_without_government_context": F.lit(policy.ufo_government_context) & ufo & outside & ~T.any_of(found, C.GOVERNANCE_KEYWORDS),
+        "ufo_without_hard_government_context": F.lit(policy.ufo_government_context) & ufo & outside & ~T.any_of(found, C.GOVERNANCE_HARD_KEYWORDS),
     }
     reasons = F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()])))
-    flags = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in {"alien_term_immigration_context": T.immigration_context(text), "community_source": F.col("source_type") == "reddit", "aggregator_source": F.col("aggregator"), "spammy_title_pattern": T.spammy(F.col("_title")), "official_missing_published_at": F.col("official") & F.col("published_at").isNull()}.items()]))
+    flags = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in {"alien_term_immigration_context": F.col("_migrants"), "community_source": F.col("source_type") == "reddit", "aggregator_source": F.col("aggregator"), "spammy_title_pattern": T.spammy(F.col("_title")), "official_missing_published_at": F.col("official") & F.col("published_at").isNull()}.items()]))
     out = df.withColumns({"base_score": F.greatest(F.lit(0), score), "reasons": reasons, "flags": flags})
     return once(out.select(*items.columns, "official", "aggregator", "base_score", "reasons", "flags", F.col("_signal").alias("ufo_relevance"), F.size("_crisis").alias("crisis_relevance")))
 

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import text as T
 from ..functions.once import once
+from ..sources.shared import shared_table
 
 
-def band_join(left: DataFrame, right: DataFrame, on_left: str, on_right: str, before: int, after: int) -> DataFrame:
-    """Pairs with ``-before <= right day - left day <= after``, through an equi-join on spans of days instead of a nested loop.
+def band_join(left: DataFrame, right: DataFrame, on_left: str, on_right: str, before: int, after: int, keys: list[str] | None = None) -> DataFrame:
+    """Pairs with ``-before <= right day - left day <= after`` (and equal ``keys``), through an equi-join on spans of days instead of a nested loop.
 
     The right side goes to its own span, the left to all that its band touches, so each pair meets once. Column names must differ.
     """
@@ -19,7 +21,7 @@ def band_join(left: DataFrame, right: DataFrame, on_left: str, on_right: str, be
     span = lambda d: F.floor(F.unix_date(d) / width)
     l2 = left.withColumn("_span", F.explode(F.sequence(span(F.date_sub(F.col(on_left), before)), span(F.date_add(F.col(on_left), after)))))
     r2 = right.withColumn("_span", span(F.col(on_right)))
-    return l2.join(r2, "_span").where(F.datediff(on_right, on_left).between(-before, after)).drop("_span")
+    return l2.join(r2, [*(keys or []), "_span"]).where(F.datediff(on_right, on_left).between(-before, after)).drop("_span")
 
 
 def profile(items: DataFrame) -> DataFrame:
@@ -28,13 +30,10 @@ def profile(items: DataFrame) -> DataFrame:
     df = once(items.withColumn("_text", text))
     tokens = T.claim_tokens(F.col("title"))
     tokens = F.when(F.size(tokens) < 3, F.array_union(tokens, T.claim_tokens(F.col("_text")))).otherwise(tokens)
-    return once(df.withColumns({"action": T.action_tag(F.col("_text")), "topic": T.topic_tag(F.col("_text")), "actor": T.actor_group(T.first_anchor(F.col("_text"), C.ACTOR_KEYWORDS)), "tokens": tokens}).drop("_text"))
-
-
-def semantic_score(a: str = "o_", b: str = "m_") -> Column:
-    same = lambda c, n: F.when((F.col(a + c) != "na") & (F.col(a + c) == F.col(b + c)), n).otherwise(0)
-    shared = F.size(F.array_intersect(a + "tokens", b + "tokens"))
-    return same("action", 2) + same("topic", 2) + same("actor", 1) + F.when(shared >= 3, 2).when(shared >= 2, 1).otherwise(0)
+    df = once(df.withColumns({"_found": T.found_keywords(F.col("_text"), T.TAG_KEYWORDS), "tokens": tokens}).drop("_text"))
+    found = F.col("_found")
+    actor = F.coalesce(F.try_element_at(T.hits_of(found, C.ACTOR_KEYWORDS), F.lit(1)), F.lit("na"))
+    return once(df.withColumns({"action": T.action_tag(found, T.any_of), "topic": T.topic_tag(found, T.any_of), "actor": T.actor_group(actor)}).drop("_found"))
 
 
 def pair_tier() -> Column:
@@ -44,16 +43,58 @@ def pair_tier() -> Column:
     return F.when(rss & direct & (F.col("m_weight") >= 2) & (s >= 3), "strict").when(rss & proxy & timed & (s >= 3), F.when(F.col("m_mirrored"), "strict").otherwise("proxy_strict")).when(rss & (direct | proxy) & (s >= 2), "balanced").otherwise("exploratory")
 
 
+def _keys(tokens: str, size: int) -> Column:
+    """Hashes of the pairs or triples of an item's sorted tokens."""
+    t = F.col(tokens)
+    tail = lambda x, i: F.filter(t, lambda y, j: j > i)
+    pairs = F.flatten(F.transform(t, lambda x, i: F.transform(tail(x, i), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    if size == 2:
+        return F.transform(pairs, lambda p: F.xxhash64(p["a"], p["b"]))
+    return F.flatten(F.transform(pairs, lambda p: F.transform(F.filter(t, lambda z: z > p["b"]), lambda z: F.xxhash64(p["a"], p["b"], z))))
+
+
 def official_media_pairs(items: DataFrame, max_lag: int = 30, min_semantic: int = 2, min_base: int = 50) -> DataFrame:
-    """Pairs of an official and a later media item of like content: a banded join, then the semantic score; the best pair of each media item."""
-    good = profile(items.where((F.col("category") == "ufo") & (F.col("base_score") >= min_base) & F.col("date").isNotNull()))
-    cols = ["ord", "source", "source_type", "weight", "date", "published_at", "url", "aggregator", "publisher", "domain", "action", "topic", "actor", "tokens"]
-    side = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in cols])
-    official, media = side(good.where("official"), "o_"), side(good.where("NOT official"), "m_")
-    direct = media.where("NOT m_aggregator").select(F.col("m_domain").alias("m_publisher")).where("m_publisher <> ''").distinct().withColumn("_m", F.lit(True))
-    media = media.join(direct, "m_publisher", "left").withColumn("m_mirrored", F.coalesce("_m", F.lit(False))).drop("_m")
-    pairs = band_join(official, media, "o_date", "m_date", 0, max_lag).withColumns({"semantic": semantic_score(), "lag_days": F.datediff("m_date", "o_date")}).where(F.col("semantic") >= min_semantic).withColumn("tier", pair_tier())
-    return best_pair(pairs)
+    """``m_ord, o_ord, lag_days, semantic, tier, m_published_at, m_publisher``: the best earlier official item of like content for each media item.
+
+    What a pair scores hangs on its actions, topics and actors, and on whether it shares two or three tokens. So official
+    items are summed up: by day, action, topic and actor the first one, over all and for each pair and triple of tokens.
+    Media items look up their own pairs and triples, and media items of one day, action, topic and actor look up the
+    sum over all together. No official item meets a media item as such, and a summed-up item scores at most what it
+    does under a key of its own, so the best stays the best.
+    """
+    good = shared_table(profile(items.where((F.col("category") == "ufo") & (F.col("base_score") >= min_base) & F.col("date").isNotNull())).withColumn("tokens", F.sort_array("tokens")), "profiled-items")
+    tags = ["action", "topic", "actor"]
+    official = good.where("official").select("ord", "date", *tags, "tokens")
+    media = good.where("NOT official").select("ord", "source_type", "weight", "date", "published_at", "aggregator", "publisher", "domain", *tags, "tokens")
+    direct = media.where("NOT aggregator AND domain <> ''").select(F.col("domain").alias("publisher")).distinct().withColumn("mirrored", F.lit(True))
+    media = media.join(direct, "publisher", "left").select(*[F.col(c).alias(f"m_{c}") for c in media.columns], F.coalesce("mirrored", F.lit(False)).alias("m_mirrored"))
+
+    def shared(df: DataFrame, tokens: str) -> DataFrame:
+        worth = lambda keys, n: F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(n).alias("worth")))
+        return df.select("*", F.inline(F.concat(worth(_keys(tokens, 2), 1), worth(_keys(tokens, 3), 2)))).drop(tokens)
+
+    sums = lambda df, *keys: df.groupBy("date", *tags, *keys).agg(F.min("ord").alias("ord")).select(*keys, *[F.col(c).alias(f"o_{c}") for c in ("ord", "date", *tags)])
+    by_token = band_join(shared(media, "m_tokens"), sums(shared(official, "tokens"), "key", "worth"), "m_date", "o_date", max_lag, 0, ["key", "worth"]).drop("key")
+    kinds = media.groupBy("m_date", *[f"m_{c}" for c in tags]).agg(F.count("*").alias("_n")).drop("_n")
+    by_tag = band_join(kinds, sums(official), "m_date", "o_date", max_lag, 0).withColumn("worth", F.lit(0))
+    by_tag = by_tag.where(_tag_score() >= min_semantic)
+    known = media.drop("m_tokens").join(_best_of_kind(by_tag), ["m_date", *[f"m_{c}" for c in tags]])
+    pairs = by_token.select(*known.columns).unionByName(known).withColumn("semantic", _tag_score() + F.col("worth")).where(F.col("semantic") >= min_semantic)
+    pairs = pairs.withColumns({"lag_days": F.datediff("m_date", "o_date"), "tier": pair_tier()})
+    return best_pair(pairs.select("m_ord", "o_ord", "lag_days", "semantic", "tier", "m_published_at", "m_publisher"))
+
+
+def _tag_score() -> Column:
+    same = lambda c, n: F.when((F.col("o_" + c) != "na") & (F.col("o_" + c) == F.col("m_" + c)), n).otherwise(0)
+    return same("action", 2) + same("topic", 2) + same("actor", 1)
+
+
+def _best_of_kind(by_tag: DataFrame) -> DataFrame:
+    """Of media items of one day and tags, the candidates that could be best for any: the tier follows the score, so for each score the first by lag and order."""
+    lag = F.datediff("m_date", "o_date")
+    keys = ["m_date", "m_action", "m_topic", "m_actor"]
+    best = by_tag.groupBy(*keys, _tag_score().alias("_s")).agg(F.min_by(F.struct("o_ord", "o_date", "o_action", "o_topic", "o_actor", "worth"), F.struct(F.when(lag == 0, 9999).otherwise(lag), "o_ord")).alias("b"))
+    return best.select(*keys, "b.*")
 
 
 def tier_rank(tier: Column) -> Column:
@@ -68,18 +109,30 @@ def best_pair(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("m_ord").agg(F.min_by(F.struct(*rest), order).alias("p")).select("m_ord", "p.*")
 
 
-def quota_match(pairs: DataFrame, left_quota: int = 3, right_quota: int = 2, group: str | None = None) -> DataFrame:
-    """``pairs (l, r, gap, score)`` taken in order (later first, smaller gaps, higher scores), each side at most its quota of times.
+def quota_match(pairs: DataFrame, left_quota: int = 3, right_quota: int = 2) -> DataFrame:
+    """``pairs (l, r, gap, score)`` that are taken in order (later first, smaller gaps, higher scores, then l and r), each pair once and each side at most its quota of times.
 
-    The choice is sequential: a fold over the sorted candidates of a group.
+    In rounds: a pair among the first that either side can still take is taken, whatever lies between, so a round takes
+    many pairs at once and the choice is that of one pair after another. No group of pairs is collected.
     """
-    df = pairs if group else pairs.withColumn("_all", F.lit("all"))
-    key = group or "_all"
-    items = F.array_sort(F.collect_list(F.struct((F.col("gap") < 0).alias("a"), F.abs("gap").alias("b"), (-F.col("score")).alias("c"), "l", "r", "gap", "score")))
-    fold = F.aggregate(
-        items,
-        F.array().cast("array<struct<l:bigint,r:bigint,gap:int,score:int>>"),
-        lambda acc, x: F.when((F.size(F.filter(acc, lambda y: y["l"] == x["l"])) >= left_quota) | (F.size(F.filter(acc, lambda y: y["r"] == x["r"])) >= right_quota), acc).otherwise(F.concat(acc, F.array(F.struct(x["l"].cast("bigint").alias("l"), x["r"].cast("bigint").alias("r"), x["gap"].cast("int").alias("gap"), x["score"].cast("int").alias("score"))))),
-    )
-    out = df.groupBy(key).agg(fold.alias("k")).select(key, F.explode("k").alias("x")).select(key, "x.*")
-    return out if group else out.drop("_all")
+    first = F.struct((F.col("gap") < 0).alias("a"), F.abs("gap").alias("b"), (-F.col("score")).alias("c"), F.col("l").alias("d"), F.col("r").alias("e"))
+    best = pairs.groupBy("l", "r").agg(F.min(F.struct(first.alias("o"), "gap", "score")).alias("x")).select("l", "r", "x.*")
+    left = shared_table(best.withColumns({"lq": F.lit(left_quota), "rq": F.lit(right_quota)}), "quota-pairs")
+    taken = None
+    while not left.isEmpty():
+        rank = lambda side: F.row_number().over(W.partitionBy(side).orderBy("o"))
+        now = left.withColumns({"_l": rank("l"), "_r": rank("r")}).where((F.col("_l") <= F.col("lq")) & (F.col("_r") <= F.col("rq"))).select("l", "r", "gap", "score")
+        now = shared_table(now, "quota-taken")
+        taken = now if taken is None else taken.unionByName(now)
+        used = lambda side: now.groupBy(side).agg(F.count("*").cast("int").alias(f"_{side}"))  # noqa: B023, E731
+        rest = left.join(now.select("l", "r"), ["l", "r"], "left_anti").join(used("l"), "l", "left").join(used("r"), "r", "left")
+        rest = rest.withColumns({f"{s}q": F.col(f"{s}q") - F.coalesce(f"_{s}", F.lit(0)) for s in ("l", "r")}).drop("_l", "_r")
+        left = shared_table(rest.where("lq > 0 AND rq > 0"), "quota-pairs")
+    return best.select("l", "r", "gap", "score").limit(0) if taken is None else taken
+
+
+def temporal_correlations(crises: DataFrame, outcomes: DataFrame, days: int = 60) -> DataFrame:
+    """Crises and outcomes ``(id, date, score)`` within ``days`` either way, matched under quotas: ``l, r, gap, score``, the sum of scores. Events of one id count once for their quotas."""
+    c = crises.select(F.col("id").alias("l"), F.col("date").alias("l_date"), F.col("score").alias("l_score")).where("l_date IS NOT NULL")
+    o = outcomes.select(F.col("id").alias("r"), F.col("date").alias("r_date"), F.col("score").alias("r_score")).where("r_date IS NOT NULL")
+    return quota_match(band_join(c, o, "l_date", "r_date", days, days).select("l", "r", F.datediff("r_date", "l_date").alias("gap"), (F.col("l_score") + F.col("r_score")).cast("long").alias("score")))
