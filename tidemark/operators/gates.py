@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def gate_array(gates: dict[str, Column]) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("name"), F.coalesce(c, F.lit(False)).alias("passed")) for k, c in gates.items()])
@@ -19,37 +21,121 @@ def gate(gates: str, prefix: str) -> Column:
     return F.coalesce(F.try_element_at(F.filter(gates, lambda g: g["name"].startswith(prefix)), F.lit(1))["passed"], F.lit(False))
 
 
-def verdict(metrics: DataFrame, tie: float = 0.08) -> DataFrame:
-    """Per window of ``metrics (w, raw, adj, p_adj, reverse, placebo)``, whether the effect stands: significant, positive, above the reverse and the placebo."""
-    ok = (F.col("p_adj") < 0.05) & (F.col("adj") > 0) & (F.col("raw") > F.col("reverse")) & (F.abs("placebo") < F.greatest(F.lit(1e-9), F.abs("raw")))
-    return metrics.withColumn("stands", ok)
+#: How near same-day correlation may come to the best lead, the least of catalog dates, and placebo limits.
+TIE, CATALOG_LEAST, PLACEBO_EFFECT, PLACEBO_P = 0.08, 5, 0.05, 0.1
+APPROVAL_WINDOWS = (3, 7, 10)
+
+
+def panel_state(metrics: DataFrame, windows: tuple[int, ...] = APPROVAL_WINDOWS) -> DataFrame:
+    """One row of what :func:`approval` and :func:`verdict` ask of ``metrics (w, adj, raw, reverse, control, placebo, p_adj, p_placebo)`` in the short windows."""
+    on = metrics.where(F.col("w").isin(*windows))
+    known = F.col("p_placebo").isNotNull()
+    stands = (F.coalesce("p_adj", F.lit(1.0)) < 0.05) & (F.col("adj") > 0)
+    above = (F.col("raw") > F.col("reverse")) & (F.abs("control") < F.greatest(F.lit(1e-9), F.abs("raw")))
+    return on.agg(
+        F.count_if(stands & (F.col("raw") > 0)).alias("significant_windows"),
+        F.count_if(stands & above).alias("standing_windows"),
+        F.count_if((F.col("reverse") > F.col("raw")) & (F.col("reverse") > 0)).alias("reverse_violations"),
+        F.count_if(known).alias("placebo_estimated"),
+        F.count_if(known & (F.col("placebo") > PLACEBO_EFFECT) & (F.col("p_placebo") < PLACEBO_P)).alias("placebo_violations"),
+        F.count_if(known & (F.col("raw") > 0) & (F.col("placebo") >= F.col("raw"))).alias("placebo_dominant"),
+    )
+
+
+def _placebo_ok() -> Column:
+    return (F.col("placebo_estimated") > 0) & (F.col("placebo_violations") == 0) & (F.col("placebo_dominant") == 0)
+
 
+def _same_day_dominates() -> Column:
+    return F.col("corr0") >= F.col("best_positive_corr") - TIE
 
-def approval(state: DataFrame) -> DataFrame:
-    """Status and level from ``observed_days, shock_days, observed_ratio, max_missing_streak, windows_standing, best_positive_corr, corr0``."""
+
+def sufficient(min_days: int = 180, min_shocks: int = 12, min_ratio: float = 0.8) -> Column:
+    """Enough observed days, shocks (of a catalog fewer) and coverage."""
+    least = F.when(F.col("catalog"), CATALOG_LEAST).otherwise(min_shocks)
+    return (F.col("observed_days") >= min_days) & (F.col("shock_days") >= least) & (F.col("observed_ratio") >= min_ratio)
+
+
+def approval(state: DataFrame, min_days: int = 180, min_shocks: int = 12, min_ratio: float = 0.8) -> DataFrame:
+    """Eight gates, status and level, from the columns of :func:`panel_state` and ``observed_days, shock_days, observed_ratio, catalog, best_positive_lag, best_positive_corr, corr0``."""
+    least = F.when(F.col("catalog"), CATALOG_LEAST).otherwise(min_shocks)
     gates = {
-        "panel_days>=180": F.col("observed_days") >= 180,
-        "shock_days>=12": F.col("shock_days") >= 12,
-        "observed_ratio>=0.85": F.col("observed_ratio") >= 0.85,
-        "max_missing_streak<=30": F.col("max_missing_streak") <= 30,
-        "windows_standing>=1": F.col("windows_standing") >= 1,
-        "lead_corr>=0.1": F.col("best_positive_corr") >= 0.1,
-        "lead_not_same_day": F.col("corr0") <= F.col("best_positive_corr") + 0.08,
+        "panel_sufficient": sufficient(min_days, min_shocks, min_ratio),
+        f"observed_days>={min_days}": F.col("observed_days") >= min_days,
+        "shock_days": F.col("shock_days") >= least,
+        f"observed_ratio>={min_ratio:.2f}": F.col("observed_ratio") >= min_ratio,
+        "significant_windows>=2": F.col("significant_windows") >= 2,
+        "lead_lag_positive": F.col("best_positive_lag").between(1, 30) & (F.col("best_positive_corr") >= 0.1) & ~_same_day_dominates(),
+        "reverse_not_dominant": F.col("reverse_violations") <= 1,
+        "placebo_not_dominant": _placebo_ok(),
     }
     df = state.withColumn("gates", gate_array(gates))
     return df.withColumns({"status": F.when(all_passed(), "APPROVED").otherwise("REJECTED"), "level": F.when(all_passed(), "CAUSAL_SIGNAL").when(~F.forall(F.slice("gates", 1, 4), lambda g: g["passed"]), "INSUFFICIENT_EVIDENCE").otherwise("WEAK_SIGNAL")})
 
 
-def inference(core: Column, falsification: Column, reproduced: Column, external: Column) -> Column:
-    """The level of evidence, each on top of the one before."""
-    return F.when(core & falsification & reproduced & external, "L4").when(core & falsification & reproduced, "L3").when(core & falsification, "L2").when(core, "L1").otherwise("L0")
+def verdict(state: DataFrame) -> DataFrame:
+    """``state`` with ``verdict``: how far the windows, the lead and the placebo carry."""
+    lead = F.col("best_positive_lag").between(1, 30) & (F.col("best_positive_corr") > 0.1) & ~_same_day_dominates()
+    two = F.col("standing_windows") >= 2
+    out = F.when(~sufficient(), "temporal_correlation_only").when(two & lead & _placebo_ok(), "causal_signal").when(two & lead, "windows_but_placebo_fails").when(two, "windows_without_clear_lead").when(F.col("standing_windows") >= 1, "weak_signal").otherwise("correlation_or_weak")
+    return state.withColumn("verdict", out)
+
+
+def mechanism(events: DataFrame, history: DataFrame, pairs: DataFrame, min_events: int = 3, min_share: float = 0.3, min_lead: int = 1) -> DataFrame:
+    """One row: who takes part in and leads events, with its gates.
+
+    ``events (primary_source, sources, lag_days)``, ``history (total, official)`` and ``pairs`` as summed up by
+    :func:`pair_summary`. Lead events are those of lags where any is known, else of strict pairs, else of official primary sources that media follow.
+    """
+    primary = T.is_official(F.col("primary_source"))
+    listed = F.array_distinct(F.array_compact(F.concat(F.array("primary_source"), F.coalesce("sources", F.array().cast("array<string>")))))
+    official, other = F.exists(listed, T.is_official), F.exists(listed, lambda s: ~T.is_official(s))
+    lag = F.col("lag_days")
+    e = events.agg(F.count("*").alias("events"), F.count_if(official).alias("official_involved"), F.count_if(primary).alias("official_primary"), F.count_if(primary & other).alias("official_primary_followed"), F.count_if(~primary & official).alias("media_primary_official_second"), F.count(lag).alias("lags_known"), F.count_if(lag >= 0).alias("lag_leads"), F.round(F.avg(lag), 6).alias("lag_mean"), F.round(F.percentile(lag, 0.5), 6).alias("lag_q50"))
+    df = e.join(F.broadcast(history.toDF("history_events", "history_official"))).join(F.broadcast(pairs))  # a row each
+    total = F.col("events") + F.col("history_events")
+    pair_lead = F.when(F.col("strict_positive") > 0, F.col("strict_positive")).otherwise(F.col("strict_nonnegative"))
+    df = df.withColumns({"effective_events": total, "effective_share": F.round(F.when(total > 0, (F.col("official_involved") + F.col("history_official")) / total).otherwise(0.0), 6), "lead_events": F.when(F.col("lags_known") > 0, F.col("lag_leads")).when(pair_lead > 0, pair_lead).otherwise(F.col("official_primary_followed")), "lead_basis": F.when(F.col("lags_known") > 0, "lag").when(pair_lead > 0, "pair_strict_lag").otherwise("source_order")})
+    return df.withColumn("passed", (F.col("effective_events") >= min_events) & (F.col("effective_share") >= min_share) & (F.col("lead_events") >= min_lead))
+
+
+def historical_mechanism(cases: DataFrame) -> DataFrame:
+    """One row of ``cases (region, government_action, gap_days)`` in the USA: how many hold an official action, how many follow the crisis, and both."""
+    usa = cases.where(F.upper(F.trim(F.coalesce("region", F.lit("USA")))).isin("USA", "US"))
+    act, after = F.coalesce("government_action", F.lit(False)), F.coalesce(F.col("gap_days") >= 0, F.lit(False))
+    share = lambda c: F.round(F.coalesce(F.avg(c.cast("double")), F.lit(0.0)), 6)
+    return usa.agg(F.count("*").alias("events"), F.count_if(act).alias("government_action"), share(act).alias("government_action_share"), F.count_if(after).alias("positive_gap"), share(after).alias("positive_gap_share"), F.count_if(act & after).alias("both"))
+
+
+def pair_summary(pairs: DataFrame) -> DataFrame:
+    """One row of ``pairs (m_ord, o_ord, lag_days, tier, m_published_at, m_publisher)``: pairs by tier, lags of strict ones, official items that strict pairs follow."""
+    tier = lambda t: F.col("tier") == t
+    strict = tier("strict")
+    return pairs.agg(F.count("*").alias("pairs"), F.count_if(strict).alias("strict"), F.count_if(tier("proxy_strict")).alias("proxy_strict"), F.count_if(tier("balanced")).alias("balanced"), F.count_if(strict & (F.col("lag_days") >= 0)).alias("strict_nonnegative"), F.count_if(strict & (F.col("lag_days") > 0)).alias("strict_positive"), F.count_if(tier("proxy_strict") & (F.col("lag_days") > 0)).alias("proxy_positive"), F.count_if(strict & F.col("m_published_at").isNotNull()).alias("strict_timed"), F.count_if(F.coalesce("m_publisher", F.lit("")) != "").alias("with_publisher"), F.count_distinct(F.when(strict, F.col("o_ord"))).alias("followed_officials"))
+
+
+#: Profiles by name: how far below the asked events and share they go and at least, and which evidence of a lead they take.
+PROFILES = {"strict_primary": (0, 0, 0.0, 0.0, 1), "balanced_proxy": (2, 4, 0.10, 0.20, 2), "exploratory_proxy": (4, 3, 0.20, 0.10, 3)}
+
+
+def sensitivity(metrics: DataFrame, min_events: int = 3, min_share: float = 0.3, min_lead: int = 1) -> DataFrame:
+    """The profiles' thresholds relative to the asked ones, their lead events and results, and what they say of the strict one.
+
+    ``metrics`` has ``effective_events, effective_share, lead_events, proxy_positive, official_primary_followed`` as from :func:`mechanism`.
+    """
+    rows = [(name, max(least_n, min_events - n) if n else min_events, round(max(least_s, round(min_share - s, 2)), 2) if n else min_share, modes) for name, (n, least_n, s, least_s, modes) in PROFILES.items()]
+    profiles = F.explode(F.array(*[F.struct(F.lit(n).alias("profile"), F.lit(e).alias("least_events"), F.lit(s).alias("least_share"), F.lit(m).alias("_modes")) for n, e, s, m in rows]))
+    lead = F.greatest("lead_events", F.when(F.col("_modes") >= 2, F.col("proxy_positive")).otherwise(0), F.when(F.col("_modes") >= 3, F.col("official_primary_followed")).otherwise(0))
+    df = metrics.select("*", profiles.alias("x")).select(*metrics.columns, "x.*").withColumn("profile_leads", lead)
+    df = df.withColumn("profile_passed", (F.col("effective_events") >= F.col("least_events")) & (F.col("effective_share") >= F.col("least_share")) & (F.col("profile_leads") >= min_lead)).drop("_modes")
+    other = [c for c in metrics.columns]
+    each = df.groupBy(*other).agg(F.bool_or(F.when(F.col("profile") == "strict_primary", F.col("profile_passed"))).alias("_s"), F.bool_or(F.when(F.col("profile") != "strict_primary", F.col("profile_passed"))).alias("_r"), F.collect_list(F.struct("profile", "least_events", "least_share", "profile_leads", "profile_passed")).alias("_p"))  # three profiles
+    return each.select(*other, F.when(F.col("_s"), "not_over_strict").when(F.col("_r"), "conservative_but_not_excessive").otherwise("evidence_limited").alias("judgement"), F.inline("_p"))
 
 
-def sensitivity(metrics: DataFrame) -> DataFrame:
-    """A mechanism's ``events, share, lead_events`` under three profiles of minimum events and share."""
-    profiles = F.explode(F.array(*[F.struct(F.lit(n).alias("profile"), F.lit(e).alias("min_events"), F.lit(s).alias("min_share")) for n, e, s in (("strict", 8, 0.30), ("balanced", 6, 0.20), ("exploratory", 4, 0.10))]))
-    df = metrics.select("*", profiles.alias("x")).select(*metrics.columns, "x.*")
-    return df.withColumn("passed", (F.col("events") >= F.col("min_events")) & (F.col("share") >= F.col("min_share")) & (F.col("lead_events") >= 1))
+def inference(temporal: Column, core: Column, falsification: Column, mechanism_passed: Column) -> Column:
+    """The level of evidence: association in time, then identification, then a mechanism, each only on top of the one before."""
+    return F.when(~temporal, "NO_TEMPORAL_SIGNAL").when(~(core & falsification), "TEMPORAL_ASSOCIATION_ONLY").when(~mechanism_passed, "CAUSAL_SIGNAL_WITHOUT_STRATEGIC_MECHANISM").otherwise("STRATEGIC_COMMUNICATION_INDICATION")
 
 
 def reproducibility(runs: DataFrame, now: DataFrame) -> DataFrame:

@@ -61,3 +61,56 @@ def pairing_test(pairs: DataFrame, draws: int, seed: int) -> DataFrame:
     shuffled = n.select("id", "b").crossJoin(F.broadcast(k)).withColumn("r", F.row_number().over(W.partitionBy("draw").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "draw", "id")), "id")))  # the draws asked for
     null = shuffled.drop("id").join(n.select("a", "r"), "r").groupBy("draw").agg(*gap("n"))
     return obs.join(null).groupBy("n", "mean_gap", "after", "oabs", "o30", "o60").agg(F.avg((F.round("nabs", 9) <= F.round("oabs", 9)).cast("double")).alias("p_abs"), F.avg((F.col("n30") >= F.col("o30")).cast("double")).alias("p_30"), F.avg((F.col("n60") >= F.col("o60")).cast("double")).alias("p_60"))
+
+
+def null_table(days: DataFrame, columns: list[str], pool: DataFrame, size: int, draws: int, seed: int, peak: int | None = None) -> DataFrame:
+    """``draw`` and, for each of ``columns`` of ``days (d, ...)``, its mean over the draw's ``size`` days of ``pool``, nulls left out: the draws of :func:`hash_draws`, ranked and averaged in the tasks.
+
+    The series go to the tasks as one array, a row a day. No rows for a size of 0 or over the pool's. With ``peak``, means are rounded to so
+    many places and the largest of them comes back as ``peak`` instead.
+    """
+    import hashlib
+
+    import numpy as np
+    import pandas as pd
+
+    wanted = pool.select("d").distinct().withColumn("_in", F.lit(True))
+    rows = days.select("d", *[F.col(c).cast("double").alias(c) for c in columns]).join(wanted, "d").orderBy("d").collect()  # a row a day
+    names = [str(r["d"]).encode() for r in rows]
+    values = np.array([[np.nan if r[c] is None else r[c] for c in columns] for r in rows], float).reshape(len(rows), len(columns))
+    known = ~np.isnan(values)
+    filled = np.where(known, values, 0.0)
+    out = ["peak"] if peak is not None else list(columns)
+    schema = "draw long, " + ", ".join(f"`{c}` double" for c in out)
+    if not 0 < size <= len(rows):
+        return days.sparkSession.createDataFrame([], schema)
+
+    def run(frames):  # noqa: ANN001, ANN202
+        for df in frames:
+            result = []
+            for draw in df["id"].tolist():
+                start = hashlib.md5(f"{seed}|{draw}|".encode())
+                keys = bytearray()
+                for name in names:
+                    h = start.copy()
+                    h.update(name)
+                    keys += h.digest()[:8]
+                at = np.argsort(np.frombuffer(bytes(keys), ">u8"), kind="stable")[:size]
+                n = known[at].sum(axis=0)
+                means = np.where(n > 0, filled[at].sum(axis=0) / np.maximum(n, 1), np.nan)
+                if peak is not None:
+                    means = np.round(means, peak)
+                    means = [np.nanmax(means) if (n > 0).any() else np.nan]
+                result.append((draw, *[None if np.isnan(x) else float(x) for x in means]))
+            yield pd.DataFrame(result, columns=["draw", *out])
+
+    return days.sparkSession.range(draws).repartition(max(1, min(draws, days.sparkSession.sparkContext.defaultParallelism))).mapInPandas(run, schema)
+
+
+def p_of(null: DataFrame, observed: dict[str, float | None]) -> DataFrame:
+    """``name, p, p_negative, draws, null_low, null_high`` for each observed value: the shares of draws at least as large, and at most as large; p is null without draws."""
+    cells = []
+    for c, x in observed.items():
+        v, o = F.round(c, 9), F.lit(None if x is None else round(x, 9)).cast("double")
+        cells.append(F.struct(F.lit(c).alias("name"), F.avg(F.when(v.isNotNull(), (v >= o).cast("double"))).alias("p"), F.avg(F.when(v.isNotNull(), (v <= o).cast("double"))).alias("p_negative"), F.count(c).alias("draws"), F.percentile(c, 0.025).alias("null_low"), F.percentile(c, 0.975).alias("null_high")))
+    return null.agg(F.array(*cells).alias("x")).select(F.inline("x"))

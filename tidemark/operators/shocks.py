@@ -24,6 +24,12 @@ def shock_ladder(series: DataFrame, catalog: DataFrame | None = None, value: str
     return known.unionByName(by_value.join(F.broadcast(enough.where("NOT _ok"))).drop("_ok"))
 
 
+def shock_days(series: DataFrame, value: str, q: float) -> DataFrame:
+    """``d`` of the days at or above the threshold of a series' own values."""
+    thr = series.agg(shock_threshold(F.col(value), q).alias("threshold"))
+    return series.join(F.broadcast(thr)).where(F.col(value) >= F.col("threshold")).select("d")  # one row
+
+
 def min_distance(days: DataFrame, shocks: DataFrame) -> DataFrame:
     """``d, distance``: days to the nearest shock on either side, 10**9 without any. Two windows, not a product."""
     marked = days.select("d").join(F.broadcast(shocks.select("d", F.col("d").alias("s"))), "d", "full")  # at most a row a day

@@ -172,7 +172,15 @@ def claim_collapse(spark, sf):  # noqa: ANN001, ANN201
     return e.select("category", "fingerprint", "ord", "final_score", "cluster_size", F.array_join("sources", ",").alias("sources"), F.array_join("evidence_urls", " ").alias("urls"), "multi_source")
 
 
-@query()
+LAG_SQL = f"""{CLAIM_SQL},
+tl AS (SELECT * FROM (SELECT DISTINCT category, fingerprint, source, date, published_at, url, weight, source_type FROM corr) QUALIFY row_number() OVER (PARTITION BY category, fingerprint ORDER BY published_at IS NULL, published_at, date IS NULL, date, -weight, source, url, source_type) <= 24),
+tw AS (SELECT *, {official_sql('source')} AS off, coalesce(bool_or(NOT {official_sql('source')} AND source_type = 'rss') OVER (PARTITION BY category, fingerprint), false) AS has_rss FROM tl),
+lg AS (SELECT category, fingerprint, min(date) FILTER (off) AS official_day, min(date) FILTER (NOT off AND (NOT has_rss OR source_type = 'rss')) AS media_day, min(published_at) FILTER (off) AS oa, min(published_at) FILTER (NOT off AND (NOT has_rss OR source_type = 'rss')) AS ma, count(*) FILTER (off) AS n_off, count(*) FILTER (NOT off AND (NOT has_rss OR source_type = 'rss')) AS n_med, count(*) AS n_reports FROM tw GROUP BY ALL),
+lags AS (SELECT lg.*, CAST(media_day - official_day AS INT) AS lag_days, CASE WHEN oa IS NOT NULL AND ma IS NOT NULL THEN round((epoch(ma) - epoch(oa)) / 3600, 3) END AS lag_hours, CASE WHEN oa IS NOT NULL AND ma IS NOT NULL THEN 'timestamp' WHEN media_day - official_day IS NOT NULL THEN 'date' ELSE 'none' END AS lag_basis FROM lg),
+why AS (SELECT *, CASE WHEN n_off = 0 AND n_med = 0 THEN 'no_reports' WHEN n_off = 0 THEN 'no_official_report' WHEN n_med = 0 THEN 'no_media_report' WHEN lag_days IS NULL THEN 'missing_dates' WHEN lag_hours > 0 THEN 'strict_official_lead' WHEN lag_hours = 0 THEN 'same_time' WHEN lag_hours < 0 THEN 'media_lead' WHEN lag_days > 0 THEN 'official_lead_by_date' WHEN lag_days = 0 THEN 'same_day' ELSE 'media_lead' END AS reason FROM lags)"""
+
+
+@query(f"WITH {LAG_SQL} SELECT category, fingerprint, official_day, media_day, lag_days, lag_hours, lag_basis, reason, n_reports FROM why")
 def event_lags(spark, sf):  # noqa: ANN001, ANN201
     e = EV.lag_metrics(EV.collapse_claims(corroborated(spark, sf)))
     return e.select("category", "fingerprint", "official_day", "media_day", "lag_days", "lag_hours", "lag_basis", EV.lead_reason().alias("reason"), F.size("timeline").alias("n_reports"))
@@ -226,7 +234,7 @@ def _sides(spark, sf):  # noqa: ANN001, ANN202
     return e.where("event_type = 'error'").select(F.col("event_id").alias("cid"), F.col("d").alias("cd")), e.where("event_type = 'purchase'").select(F.col("event_id").alias("uid"), F.col("d").alias("ud"))
 
 
-@query(f"WITH {EVT_SQL} SELECT cd, CAST(ud - cd AS INT) AS gap, count(*) AS n, sum(cid % 97 * (uid % 89)) AS checksum FROM cr JOIN ou ON ud - cd BETWEEN -1 AND 2 GROUP BY ALL")
+@query(f"WITH {EVT_SQL} SELECT cd, CAST(ud - cd AS INT) AS gap, count(*) AS n, sum(cid % 97 * (uid % 89)) AS checksum FROM cr JOIN ou ON ud - cd BETWEEN -60 AND 60 GROUP BY ALL")
 def temporal_pairs(spark, sf):  # noqa: ANN001, ANN201
     """Events are summed by day before the join: the pairs of two days are the product of their sums."""
     c, u = _sides(spark, sf)
@@ -236,16 +244,6 @@ def temporal_pairs(spark, sf):  # noqa: ANN001, ANN201
     return p.select("cd", F.datediff("ud", "cd").alias("gap"), (F.col("nc") * F.col("nu")).alias("n"), (F.col("sc") * F.col("su")).alias("checksum"))
 
 
-@query()
-def quota_matches(spark, sf):  # noqa: ANN001, ANN201
-    """Within each user's events."""
-    e = V.table(spark, sf, "events").select("event_id", F.col("ts").cast("date").alias("d"), "event_type", "user_id")
-    c = e.where("event_type = 'error'").select(F.col("user_id").alias("user"), F.col("event_id").alias("cid"), F.col("d").alias("cd"))
-    u = e.where("event_type = 'purchase'").select(F.col("user_id").alias("user2"), F.col("event_id").alias("uid"), F.col("d").alias("ud"))
-    p = M.band_join(c, u, "cd", "ud", 1, 3).where("user = user2").select("user", F.col("cid").alias("l"), F.col("uid").alias("r"), F.datediff("ud", "cd").alias("gap"), (F.col("cid") % 7 + F.col("uid") % 5).cast("int").alias("score"))
-    return M.quota_match(p, group="user")
-
-
 PAIR_SQL = f"""{SCORE_SQL}, pr AS (SELECT *, {action_sql('txt')} AS action, {topic_sql('txt')} AS topic, {first_sql('txt', C.ACTOR_KEYWORDS)} AS a0, {tokens_sql('title')} AS tk, {tokens_sql('txt')} AS tk2 FROM scored WHERE category = 'ufo' AND base_score >= 50 AND date IS NOT NULL),
 pf AS (SELECT * EXCLUDE (a0, tk), {chain_sql([(f"a0 = '{k}'", f"'{v}'") for k, v in C.ACTOR_GROUPS.items()], 'a0')} AS actor, CASE WHEN len(tk) < 3 THEN list_distinct(tk || tk2) ELSE tk END AS tk FROM pr),
 dm AS (SELECT DISTINCT domain FROM pf WHERE NOT official AND NOT aggregator AND domain <> ''),
@@ -290,7 +288,7 @@ def pairing_permutation(spark, sf):  # noqa: ANN001, ANN201
     return pairing_test(o, 200, C.SEED)
 
 
-@query()
+@query("SELECT page_id, page_id || ' title' AS title, DATE '2002-10-02' AS date, url, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www\\.', '') AS domain, 'text' AS description FROM pages")
 def feed_scan(spark, sf):  # noqa: ANN001, ANN201
     p = V.table(spark, sf, "pages").select("page_id", F.concat(F.lit("<rss><channel><item><title>"), F.col("page_id").cast("string"), F.lit(" title</title><link>"), F.regexp_replace("url", "&", "&amp;"), F.lit("</link><pubDate>Wed, 02 Oct 2002 13:00:00 GMT</pubDate><description>text</description></item></channel></rss>")).alias("payload"))
     return R.feed_items(p).select("page_id", "title", "date", "url", "domain", "description")

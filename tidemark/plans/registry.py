@@ -1,6 +1,7 @@
 """All queries of the library and their SQL counterparts."""
 
-from . import records, series
+from . import models, records, review, series
 
-QUERIES = series.QUERIES | records.QUERIES
-ORACLES = series.ORACLES | records.ORACLES
+MODULES = (series, models, records, review)
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLES = {k: sql for m in MODULES for k, sql in m.ORACLES.items()}

@@ -18,8 +18,6 @@ from ..sources import sinks as K
 from ..sources import views as V
 from ..sources.views import DENSE_SQL, PANEL_SQL, SHOCKS_SQL
 
-#: The draws of the SQL, which would take too long with those of the queries.
-DRAWS = 50
 #: The draws of the window test and of the placebo tests, and the windows of the latter.
 PERMUTATIONS, PLACEBOS, PLACEBO_WINDOWS = 20_000, 2_000, (7, 14, 30)
 QUERIES: dict = {}
@@ -93,42 +91,37 @@ def window_effect_mean(spark, sf):  # noqa: ANN001, ANN201
     return WN.mean_effects(V.panel(spark, sf), "outcome", MEAN_WINDOWS, shocks_of(spark, sf)).select("d", *r6(*[f"e{w}" for w in MEAN_WINDOWS]))
 
 
-def _draws_sql(pool: str, size: str, seed: int, draws: int = DRAWS) -> str:
-    return f"draws AS (SELECT draw, d FROM (SELECT draw, d, row_number() OVER (PARTITION BY draw ORDER BY md5('{seed}|' || draw || '|' || d), d) AS r FROM {pool}, range({draws}) AS k(draw)) WHERE r <= ({size}))"
-
-
-@query(
-    f"WITH {DENSE_SQL}, {SHOCKS_SQL}, e AS ({_sum_sql('adj', (7, 30))}), {_draws_sql('dense', 'SELECT count(*) FROM shocks', SEED)}, "
-    "l AS (SELECT d, 7 AS w, e7 AS effect FROM e UNION ALL SELECT d, 30, e30 FROM e), o AS (SELECT w, avg(effect) AS effect FROM l WHERE d IN (SELECT d FROM shocks) GROUP BY w), "
-    "n AS (SELECT w, draw, avg(effect) AS nul FROM l JOIN draws USING (d) GROUP BY w, draw) SELECT w, round(effect, 6) AS effect, avg(CAST(round(nul, 9) >= round(effect, 9) AS INT)) AS p, count(*) AS draws FROM n JOIN o USING (w) GROUP BY w, effect"
-)
+@query()
 def window_effect_permutation(spark, sf):  # noqa: ANN001, ANN201
+    """Too many draws for SQL; tests hold it against a plain version."""
     dense, shocks = V.dense(spark, sf), shocks_of(spark, sf)
-    effects = WN.long_effects(WN.sum_effects(dense, "adj", WINDOWS), WINDOWS)
-    obs = WN.window_effect(dense, shocks, "adj", WINDOWS).select("w", "effect")
-    draws = T.hash_draws(dense, shocks.agg(F.count("*").alias("m")), PERMUTATIONS, SEED)
-    return T.mean_test(effects, draws, obs, ["w"]).select("w", F.round("effect", 6).alias("effect"), "p", "draws")
+    wide = WN.sum_effects(dense, "adj", WINDOWS).select("d", *[f"e{w}" for w in WINDOWS])
+    hit = wide.join(F.broadcast(shocks.select("d")), "d", "left_semi")  # at most a row a day
+    seen = hit.agg(F.count("*").alias("n"), *[F.avg(f"e{w}").alias(f"e{w}") for w in WINDOWS]).first()
+    null = T.null_table(wide, [f"e{w}" for w in WINDOWS], dense, seen["n"], PERMUTATIONS, SEED)
+    tested = T.p_of(null, {f"e{w}": seen[f"e{w}"] for w in WINDOWS})
+    effects = spark.createDataFrame([(w, f"e{w}", seen[f"e{w}"]) for w in WINDOWS], "w int, name string, effect double")
+    return effects.join(F.broadcast(tested), "name").select("w", F.round("effect", 6).alias("effect"), F.coalesce("p", F.lit(1.0)).alias("p"), "draws")  # a row per window
 
 
-@query(
-    f"WITH {PANEL_SQL}, {SHOCKS_SQL}, e AS ({_mean_sql((7,))}), near AS (SELECT DISTINCT d + CAST(k AS INT) AS d FROM shocks, range(-7, 8) AS r(k)), "
-    f"pool AS (SELECT d FROM e WHERE e7 IS NOT NULL AND d NOT IN (SELECT d FROM near)), s AS (SELECT d, e7 FROM e WHERE e7 IS NOT NULL AND d IN (SELECT d FROM shocks)), {_draws_sql('pool', 'SELECT least((SELECT count(*) FROM s), (SELECT count(*) FROM pool))', SEED + 7)}, "
-    "n AS (SELECT draw, avg(e7) AS nul FROM draws JOIN e USING (d) GROUP BY draw), o AS (SELECT avg(e7) AS att FROM s) SELECT round(att, 6) AS att, avg(CAST(round(nul, 9) >= round(att, 9) AS INT)) AS p, count(*) AS draws, round(quantile_cont(nul, 0.025), 6) AS null_low, round(quantile_cont(nul, 0.975), 6) AS null_high FROM n, o GROUP BY att"
-)
+@query()
 def did_placebo(spark, sf):  # noqa: ANN001, ANN201
-    """By window; the effect is null where under half of the shocks, or under three, have one, and p where that or a pool with fewer days leaves no draws."""
+    """By window; the effect is null where under half of the shocks, or under three, have one, and p where that or a pool with fewer days leaves no draws. Too many draws for SQL; tests hold it against a plain version."""
     panel, shocks = V.panel(spark, sf), shocks_of(spark, sf)
     wide = WN.mean_effects(panel, "outcome", PLACEBO_WINDOWS, panel)
-    asked = shocks.agg(F.greatest(F.lit(3), F.floor(F.count("*") / 2)).alias("least"))
+    hit = wide.join(F.broadcast(shocks.select("d")), "d", "left_semi")  # at most a row a day
+    seen = hit.agg(F.count("*").alias("n"), *[x for w in PLACEBO_WINDOWS for x in (F.count(f"e{w}").alias(f"n{w}"), F.avg(f"e{w}").alias(f"e{w}"))]).first()
+    asked = shocks.count()
+    pool = T.placebo_pool(panel, shocks, 7)
     out = None
     for w in PLACEBO_WINDOWS:
-        eff = wide.where(F.col(f"e{w}").isNotNull()).select("d", F.lit(w).alias("w"), F.col(f"e{w}").alias("effect"))
-        hit = eff.join(F.broadcast(shocks.select("d")), "d", "left_semi")  # at most a row a day
-        obs = hit.agg(F.count("*").alias("n"), F.avg("effect").alias("effect")).crossJoin(asked).select(F.lit(w).alias("w"), F.when(F.col("n") >= F.col("least"), F.col("effect")).alias("effect"), F.when(F.col("n") >= F.col("least"), F.col("n")).otherwise(0).alias("m"))
-        draws = T.hash_draws(T.placebo_pool(eff, shocks, 7), obs.select("m"), PLACEBOS, SEED + w)
-        one = T.mean_test(eff, draws, obs.select("w", "effect"), ["w"])
+        enough = seen[f"n{w}"] >= max(3, asked // 2)
+        att = seen[f"e{w}"] if enough else None
+        known = wide.where(F.col(f"e{w}").isNotNull()).select("d", F.col(f"e{w}").alias("e"))
+        one = T.p_of(T.null_table(known, ["e"], pool, seen[f"n{w}"] if enough else 0, PLACEBOS, SEED + w), {"e": att})
+        one = one.select(F.lit(w).alias("w"), F.round(F.lit(att).cast("double"), 6).alias("att"), "p", "draws", *r6("null_low", "null_high"))
         out = one if out is None else out.unionByName(one)
-    return out.select("w", F.round("effect", 6).alias("att"), F.when(F.col("draws") > 0, F.col("p")).alias("p"), "draws", *r6("null_low", "null_high"))
+    return out
 
 
 BASE_SQL = "b AS (SELECT s.d, avg(CAST(p.outcome AS DOUBLE)) AS base FROM {days} s JOIN panel p ON p.d BETWEEN s.d - 21 AND s.d - 8 GROUP BY s.d HAVING count(*) >= 5), diff AS (SELECT b.d, CAST(k AS INT) AS k, p.outcome - base AS diff FROM b, range(-14, 15) AS r(k) JOIN panel p ON p.d = b.d + CAST(k AS INT))"
@@ -139,12 +132,9 @@ def event_study_curve(spark, sf):  # noqa: ANN001, ANN201
     return WN.event_curve(V.panel(spark, sf), "outcome", shocks_of(spark, sf))
 
 
-@query(
-    f"WITH {PANEL_SQL}, {SHOCKS_SQL}, near AS (SELECT DISTINCT d + CAST(k AS INT) AS d FROM shocks, range(-14, 15) AS r(k)), pool AS (SELECT d FROM panel WHERE d NOT IN (SELECT d FROM near)), {_draws_sql('pool', 'SELECT least(40, (SELECT count(*) FROM pool))', SEED)}, "
-    f"{BASE_SQL.format(days='panel')}, o AS (SELECT max(m) AS peak FROM (SELECT k, round(avg(diff), 6) AS m FROM diff WHERE k >= 1 AND d IN (SELECT d FROM shocks) GROUP BY k)), n AS (SELECT draw, max(m) AS nul FROM (SELECT draw, k, round(avg(diff), 6) AS m FROM diff JOIN draws USING (d) WHERE k >= 1 GROUP BY draw, k) GROUP BY draw) "
-    "SELECT peak, avg(CAST(nul >= peak AS INT)) AS p, count(*) AS draws FROM n, o GROUP BY peak"
-)
+@query()
 def event_study_peak(spark, sf):  # noqa: ANN001, ANN201
+    """Too many draws for SQL; tests hold it against a plain version."""
     panel, shocks = V.panel(spark, sf), shocks_of(spark, sf)
     diffs = WN.event_diffs(panel, "outcome", panel)
     curve = diffs.join(F.broadcast(shocks.select("d")), "d", "left_semi").where("k >= 1").groupBy("k").agg(F.round(F.avg("diff"), 6).alias("m"))  # at most a row a day
@@ -245,7 +235,7 @@ def country_panel(spark, sf):  # noqa: ANN001, ANN201
     return P.cross_fill(c, P.grid(c), "unit", "v").select("d", "unit", "v")
 
 
-SYNTH_SQL = f"""{PANEL_SQL}, {SHOCKS_SQL}, {COUNTRY_SQL}, tr AS (SELECT d, v FROM c WHERE unit = 0), dn AS (SELECT * FROM c WHERE unit <> 0), top AS (SELECT d FROM shocks ORDER BY d LIMIT 20),
+SYNTH_SQL = f"""{PANEL_SQL}, {SHOCKS_SQL}, {COUNTRY_SQL}, tr AS (SELECT d, v FROM c WHERE unit = 0), dn AS (SELECT * FROM c WHERE unit <> 0), top AS (SELECT d FROM shocks),
 post AS (SELECT DISTINCT top.d + CAST(k AS INT) AS d FROM top, range(1, 8) AS r(k)), ph AS (SELECT d, CASE WHEN d IN (SELECT d FROM post) THEN 'post' ELSE 'pre' END AS phase FROM tr WHERE d IN (SELECT d FROM post) OR d NOT IN (SELECT d FROM top)),
 m AS (SELECT unit, avg((tr.v - dn.v) * (tr.v - dn.v)) AS mse FROM dn JOIN tr USING (d) JOIN ph USING (d) WHERE phase = 'pre' GROUP BY unit), w AS (SELECT u.unit, coalesce(mse, 1e6) AS mse, 1 / (coalesce(mse, 1e6) + 1e-6) AS w FROM (SELECT DISTINCT unit FROM dn) u LEFT JOIN m USING (unit)), ww AS (SELECT unit, mse, w / (SELECT sum(w) FROM w) AS weight FROM w),
 s AS (SELECT d, sum(weight * v) / sum(weight) AS synth FROM dn JOIN ww USING (unit) GROUP BY d), gap AS (SELECT d, tr.v - synth AS gap FROM tr JOIN s USING (d))"""
@@ -405,9 +395,3 @@ def reproducibility(spark, sf):  # noqa: ANN001, ANN201
     runs = o.select((F.col("o_custkey") % 300).cast("string").alias("signature"), F.expr("o_orderdate + make_dt_interval(0, cast(o_orderkey % 24 AS int), 0, 0)").alias("at"), (F.col("o_orderstatus") == "F").alias("passed"))
     out = G.reproducibility(runs, runs.groupBy("signature").agg(F.max("at").alias("at")))
     return out.withColumn("at", F.date_format("at", "yyyy-MM-dd HH"))
-
-
-@query(f"WITH {PROGRESS_SQL}, {LAG_SQL[LAG_SQL.index('g AS'):]}, bp AS (SELECT max(corr) FILTER (lag >= 1) AS bpc, max(corr) FILTER (lag = 0) AS c0 FROM c), a AS (SELECT [observed_days >= 180, shock_days >= 12, observed_ratio >= 0.85, max_missing_streak <= 30, false, bpc >= 0.1, c0 <= bpc + 0.08] AS g FROM progress, bp) SELECT CASE WHEN list_bool_and(g) THEN 'APPROVED' ELSE 'REJECTED' END AS status, CASE WHEN list_bool_and(g) THEN 'CAUSAL_SIGNAL' WHEN NOT list_bool_and(g[1:4]) THEN 'INSUFFICIENT_EVIDENCE' ELSE 'WEAK_SIGNAL' END AS level, len(list_filter(g, lambda x: x)) AS n_passed FROM a".replace("list_bool_and", "list_bool_and"))
-def approval_gates(spark, sf):  # noqa: ANN001, ANN201
-    state = P.progress(V.panel(spark, sf)).crossJoin(lead_lag_best(spark, sf)).withColumn("windows_standing", F.lit(0))
-    return G.approval(state).select("status", "level", F.size(F.filter("gates", lambda g: g["passed"])).cast("long").alias("n_passed"))
