@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .catalogs import in_region
 
 
 def gate_array(gates: dict[str, Column]) -> Column:
@@ -101,7 +102,7 @@ def mechanism(events: DataFrame, history: DataFrame, pairs: DataFrame, min_event
 
 def historical_mechanism(cases: DataFrame) -> DataFrame:
     """One row of ``cases (region, government_action, gap_days)`` in the USA: how many hold an official action, how many follow the crisis, and both."""
-    usa = cases.where(F.upper(F.trim(F.coalesce("region", F.lit("USA")))).isin("USA", "US"))
+    usa = cases.where(in_region(F.col("region")))
     act, after = F.coalesce("government_action", F.lit(False)), F.coalesce(F.col("gap_days") >= 0, F.lit(False))
     share = lambda c: F.round(F.coalesce(F.avg(c.cast("double")), F.lit(0.0)), 6)
     return usa.agg(F.count("*").alias("events"), F.count_if(act).alias("government_action"), share(act).alias("government_action_share"), F.count_if(after).alias("positive_gap"), share(after).alias("positive_gap_share"), F.count_if(act & after).alias("both"))

@@ -65,7 +65,7 @@ def spaced(candidates: DataFrame, gap: int, order: list[Column], most: int | Non
         lambda kept, x: F.when(F.exists(kept, lambda k: F.abs(F.datediff(k, x["d"])) <= gap) | (F.size(kept) >= (most or 1 << 30)), kept).otherwise(F.concat(kept, F.array(x["d"]))),
     )
     kept = keyed.groupBy(*group).agg(fold.alias("_k"))
-    flagged = keyed.join(F.broadcast(kept), group) if group else keyed.join(F.broadcast(kept))  # a row per group
+    flagged = keyed.join(kept, group) if group else keyed.join(F.broadcast(kept))  # one row without groups
     return flagged.withColumn("kept", F.array_contains("_k", F.col("d"))).drop("_k", "_r")
 
 

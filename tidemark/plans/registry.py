@@ -1,7 +1,7 @@
 """All queries of the library and their SQL counterparts."""
 
-from . import models, records, review, series
+from . import catalog, models, records, review, series
 
-MODULES = (series, models, records, review)
+MODULES = (series, models, records, review, catalog)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: sql for m in MODULES for k, sql in m.ORACLES.items()}

@@ -123,11 +123,16 @@ def feed_timestamp(text: Column) -> Column:
 FEED = "title string, link string, id string, pubDate string, published string, updated string, description string, summary string, content string, source string"
 
 
+ATOM = "title string, link array<struct<_href: string, _rel: string>>, id string, published string, updated string, summary string, content string"
+
+
 def feed_items(payloads: DataFrame, payload: str = "payload", most: int = 30) -> DataFrame:
-    """Entries of RSS payloads, one row each; other columns of ``payloads`` describe the source. Entries without a title go."""
+    """Entries of RSS payloads, or else of Atom ones, one row each; other columns of ``payloads`` describe the source. Entries without a title go."""
     other = [c for c in payloads.columns if c != payload]
-    parsed = F.from_xml(F.col(payload), f"channel struct<item: array<struct<{_fields(FEED)}>>>, item array<struct<{_fields(FEED)}>>")
-    rows = payloads.select(*other, parsed.alias("x")).select(*other, F.posexplode(F.slice(F.coalesce("x.channel.item", "x.item"), 1, most)).alias("ord", "e"))
+    parsed = F.from_xml(F.col(payload), f"channel struct<item: array<struct<{_fields(FEED)}>>>, item array<struct<{_fields(FEED)}>>, entry array<struct<{ATOM}>>")
+    text = F.lit(None).cast("string")
+    atom = F.transform("x.entry", lambda e: F.struct(e["title"].alias("title"), F.coalesce(F.try_element_at(F.filter(e["link"], lambda k: F.coalesce(k["_rel"], F.lit("alternate")) == "alternate"), F.lit(1))["_href"], F.try_element_at(e["link"], F.lit(1))["_href"]).alias("link"), e["id"].alias("id"), text.alias("pubDate"), e["published"].alias("published"), e["updated"].alias("updated"), text.alias("description"), e["summary"].alias("summary"), e["content"].alias("content"), text.alias("source")))
+    rows = payloads.select(*other, parsed.alias("x")).select(*other, F.posexplode(F.slice(F.coalesce("x.channel.item", "x.item", atom), 1, most)).alias("ord", "e"))
     raw = F.coalesce("e.pubDate", "e.published", "e.updated")
     link = F.coalesce(F.nullif("e.link", F.lit("")), "e.id")
     ts = feed_timestamp(raw)
