@@ -47,7 +47,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     joined = salted_join(near, least, ["u"], "v")
     moved = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")) if large else joined.select("v", "m").union(least.select("u", "m")).toDF("u", "v")
-    return moved.where("u <> v").distinct()
+    return moved.where("u <> v")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -66,5 +66,5 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         at, got = table, seen_by.get
         if not got.get("n") or got == seen:
             break
-        seen, now = got, _star(_star(at, True), False)
+        seen, now = got, _star(_star(at, True), False).distinct()
     return at.select("u", F.col("v").alias("component")).union(at.select(F.col("v").alias("u"), F.col("v").alias("component")).distinct())

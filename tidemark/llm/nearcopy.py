@@ -198,27 +198,30 @@ def _links(base: DataFrame, same: DataFrame, k: int, percent: int) -> DataFrame:
     if wide.isEmpty():
         return links
     # what the blocks left apart: little of a group is held against all of it, else documents meet by bucket
-    now = written(members.where(F.col("size") > BLOCK).select("group", "size", "id").join(comps(), "id"), "near-apart")
+    comp = comps()
+    now = written(members.where(F.col("size") > BLOCK).select("group", "size", "id").join(comp, "id"), "near-apart")
     left = now.groupBy("group", "comp").agg(F.count("*").alias("c")).groupBy("group").agg((F.sum("c") - F.max("c")).alias("left")).where("left > 0")
     left = written(left.withColumn("little", F.col("left") <= LEFT * BLOCK), "near-left")
     some = written(salted_join(now, left, ["group"], "id"), "near-some")
     dropped(now, left)
     if some.isEmpty():
         return links
-    links = more(_grid_of(some.where("little").select("group", "size", "id", "comp").join(wide, "id")))
-    wide = wide.join(some.where("NOT little").select("id"), "id", "left_semi")
+    rows = _grid_of(some.where("little").select("group", "size", "id", "comp").join(wide, "id"))
+    wide = written(wide.join(some.where("NOT little").select("id"), "id", "left_semi"), "near-wide")
     if wide.isEmpty():
-        return links
-    groups = _open(buckets.join(wide.select("id"), "id", "left_semi"), comps())
-    links = more(_blocks_of(groups.join(wide, "id")))
+        return more(rows)
+    groups = _open(buckets.join(wide.select("id"), "id", "left_semi"), comp)
+    links = more(rows.unionByName(_blocks_of(groups.join(wide, "id"))))
     crowd = groups.where(F.col("size") > BLOCK).select("id").distinct()
     if crowd.isEmpty():
         return links
+    # of crowded buckets, the buckets of longer bands: small ones whole, crowded ones block by block
     fine = written(wide.join(crowd, "id", "left_semi").mapInPandas(_fine, "id long, bands array<long>"), "near-fine")
-    buckets = fine.select("id", F.explode("bands").alias("bucket"))
-    links = more(_blocks_of(_open(buckets, comps()).join(wide, "id")))
-    rest = _open(buckets, comps()).where(F.col("size") > BLOCK)
-    return links if rest.isEmpty() else more(_grid_of(rest.join(wide, "id")))
+    groups = _open(fine.select("id", F.explode("bands").alias("bucket")), comps())
+    if groups.isEmpty():
+        return links
+    rows = groups.join(wide, "id")
+    return more(_blocks_of(rows.where(F.col("size") <= BLOCK)).unionByName(_grid_of(rows.where(F.col("size") > BLOCK))))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
