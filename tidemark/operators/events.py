@@ -25,6 +25,11 @@ def timeline(entries: str, most: int = 24) -> Column:
 REPORT = ("source", "date", "published_at", "url", "weight", "source_type")
 
 
+def report_order() -> list[Column]:
+    """The order of a timeline."""
+    return [F.col("published_at").isNull(), F.col("published_at"), F.col("date").isNull(), F.col("date"), -F.col("weight"), F.col("source"), F.col("url"), F.col("source_type")]
+
+
 def first_of(rows: DataFrame, keys: list[str], order: list, most: int) -> DataFrame:
     """The first rows of each key. Every task keeps that many at most before the shuffle, so a hot key stays small."""
     return rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= most).drop("_r")
@@ -40,8 +45,7 @@ def collapse_claims(items: DataFrame, most_urls: int = 12, most_reports: int = 2
     items = shared_table(items, "claim-items")
     g = items.groupBy(*keys).agg(F.max_by(F.struct("ord", "source", "title", "date", "final_score", "url", "description"), rank_of()).alias("best"), F.count("*").alias("cluster_size"))
     listed = lambda c, name, most=None: (lambda d: (first_of(d, keys, [c], most) if most else d).groupBy(*keys).agg(F.array_sort(F.collect_list(c)).alias(name)))(items.where(F.coalesce(F.col(c), F.lit("")) != "").select(*keys, c).distinct())
-    order = [F.col("published_at").isNull(), F.col("published_at"), F.col("date").isNull(), F.col("date"), -F.col("weight"), F.col("source"), F.col("url"), F.col("source_type")]
-    reports = first_of(items.select(*keys, *REPORT).distinct(), keys, order, most_reports).groupBy(*keys).agg(F.collect_list(F.struct(*REPORT)).alias("reports"))
+    reports = first_of(items.select(*keys, *REPORT).distinct(), keys, report_order(), most_reports).groupBy(*keys).agg(F.collect_list(F.struct(*REPORT)).alias("reports"))
     out = g.join(listed("source", "sources"), keys, "left").join(listed("domain", "domains"), keys, "left").join(listed("url", "urls", most_urls), keys, "left").join(reports, keys, "left")
     empty = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c)
     return out.select(*keys, "best.*", empty("sources"), empty("domains"), F.coalesce("urls", F.array().cast("array<string>")).alias("evidence_urls"), timeline("reports", most_reports).alias("timeline"), "cluster_size", (F.size(F.coalesce("sources", F.array().cast("array<string>"))) > 1).alias("multi_source"))
@@ -81,8 +85,20 @@ def lead_summary(diagnostics: DataFrame) -> DataFrame:
 
 
 def merge_by_signature(events: DataFrame, signature: Column, most_urls: int, most_reports: int) -> DataFrame:
-    """Events of one signature as one: the best of them, their lists in order of first sight, sums of sizes. Events without a signature stay alone."""
-    df = events.withColumn("sig", F.coalesce(signature, F.concat(F.lit("solo:"), F.col("fingerprint"))))
-    listed = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col(c).alias("x")))), lambda s: s["x"])))
-    g = df.groupBy("sig").agg(F.max_by(F.struct("ord", "title", "date", "final_score"), F.struct("final_score", "cluster_size", -F.col("ord"))).alias("best"), listed("sources").alias("sources"), listed("evidence_urls").alias("urls"), listed("timeline").alias("reports"), F.count("*").alias("merged_claims"), F.sum("cluster_size").alias("cluster_size"))
-    return g.select("sig", "best.*", "sources", F.slice("urls", 1, most_urls).alias("evidence_urls"), timeline("reports", most_reports).alias("timeline"), "merged_claims", "cluster_size")
+    """Events of one signature as one: the best of them, their lists in order of first sight, sums of sizes. Events without a signature stay alone.
+
+    Values are made distinct by aggregation before they are listed, and of URLs and reports only those listed are gathered.
+    """
+    df = shared_table(events.withColumn("sig", F.coalesce(signature, F.concat(F.lit("solo:"), F.col("fingerprint")))), "signed-events")
+    g = df.groupBy("sig").agg(F.max_by(F.struct("ord", "title", "date", "final_score"), F.struct("final_score", "cluster_size", -F.col("ord"))).alias("best"), F.count("*").alias("merged_claims"), F.sum("cluster_size").alias("cluster_size"))
+
+    def listed(c: str, most: int | None = None) -> DataFrame:
+        seen = df.select("sig", "ord", F.posexplode(c).alias("p", "x")).groupBy("sig", "x").agg(F.min(F.struct("ord", "p")).alias("at"))
+        seen = first_of(seen, ["sig"], [F.col("at")], most) if most else seen
+        return seen.groupBy("sig").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias(c))
+
+    reports = first_of(df.select("sig", F.explode("timeline").alias("r")).select("sig", "r.*").distinct(), ["sig"], report_order(), most_reports)
+    reports = reports.groupBy("sig").agg(F.collect_list(F.struct(*REPORT)).alias("reports"))
+    out = g.join(listed("sources"), "sig", "left").join(listed("evidence_urls", most_urls), "sig", "left").join(reports, "sig", "left")
+    empty = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c)
+    return out.select("sig", "best.*", empty("sources"), empty("evidence_urls"), timeline("reports", most_reports).alias("timeline"), "merged_claims", "cluster_size")

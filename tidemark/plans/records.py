@@ -186,7 +186,18 @@ def event_lags(spark, sf):  # noqa: ANN001, ANN201
     return e.select("category", "fingerprint", "official_day", "media_day", "lag_days", "lag_hours", "lag_basis", EV.lead_reason().alias("reason"), F.size("timeline").alias("n_reports"))
 
 
-@query()
+CRISIS_SIG = f"coalesce(CAST(date AS VARCHAR), 'na') || '|act:' || {longest_sql('txt', C.OFFICIAL_ACTIONS + C.CRISIS_HARD_KEYWORDS)} || '|topic:' || {longest_sql('txt', C.CRISIS_TOPICS)} || '|actor:' || {longest_sql('low', C.CRISIS_ACTORS)}"
+UFO_SIG = f"CASE WHEN {action_sql('txt')} <> 'na' OR {first_sql('txt', C.ACTOR_KEYWORDS)} <> 'na' THEN coalesce(CAST(CAST(date_trunc('week', date) AS DATE) AS VARCHAR), 'na') || '|act:' || {action_sql('txt')} || '|topic:' || {topic_sql('txt')} || '|actor:' || {first_sql('txt', C.ACTOR_KEYWORDS)} END"
+MERGE_SQL = f"""{LAG_SQL},
+sg AS (SELECT best.category, fingerprint, ord, final_score, cluster_size, CASE WHEN best.category = 'crisis' THEN {CRISIS_SIG} ELSE coalesce({UFO_SIG}, 'solo:' || fingerprint) END AS sig FROM best JOIN agg USING (category, fingerprint)),
+s1 AS (SELECT category, sig, source, min(ord * 100000 + p) AS place FROM sg JOIN (SELECT *, row_number() OVER (PARTITION BY category, fingerprint ORDER BY source) AS p FROM (SELECT DISTINCT category, fingerprint, source FROM corr)) USING (category, fingerprint) GROUP BY ALL),
+s2 AS (SELECT category, sig, string_agg(source, ',' ORDER BY place) AS sources FROM s1 GROUP BY ALL),
+u1 AS (SELECT category, sig, count(DISTINCT url) AS nu FROM sg JOIN (SELECT * FROM (SELECT DISTINCT category, fingerprint, url FROM corr) QUALIFY row_number() OVER (PARTITION BY category, fingerprint ORDER BY url) <= 12) USING (category, fingerprint) GROUP BY ALL),
+r1 AS (SELECT category, sig, count(*) AS nr FROM (SELECT DISTINCT category, sig, tl.source, tl.date, tl.published_at, tl.url, tl.weight, tl.source_type FROM sg JOIN tl USING (category, fingerprint)) GROUP BY ALL),
+b1 AS (SELECT category, sig, arg_max(ord, (final_score, cluster_size, -ord)) AS ord, count(*) AS merged_claims, CAST(sum(cluster_size) AS BIGINT) AS cluster_size FROM sg GROUP BY ALL)"""
+
+
+@query(f"WITH {MERGE_SQL} SELECT sig, ord, sources, CAST(least(nu, CASE category WHEN 'crisis' THEN 16 ELSE 20 END) AS INT) AS n_urls, CAST(least(nr, CASE category WHEN 'crisis' THEN 24 ELSE 32 END) AS INT) AS n_reports, merged_claims, cluster_size FROM b1 JOIN s2 USING (category, sig) JOIN u1 USING (category, sig) JOIN r1 USING (category, sig)")
 def event_merges(spark, sf):  # noqa: ANN001, ANN201
     e = EV.collapse_claims(corroborated(spark, sf))
     low, txt = F.lower(T.normalize(F.col("title"))), F.lower(F.concat_ws(" ", T.normalize(F.col("title")), T.normalize(F.col("description"))))
