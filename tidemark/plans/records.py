@@ -98,7 +98,7 @@ h3 AS (SELECT *, greatest(0, CASE WHEN weight >= 3 THEN 40 WHEN weight = 2 THEN
   + CASE WHEN length(nt) BETWEEN 25 AND 180 THEN 6 ELSE -6 END - CASE WHEN regexp_matches(nt, '!{{3,}}|\\?{{3,}}') OR regexp_full_match(nt, '[^a-z]{{16,}}') THEN 10 ELSE 0 END + CASE WHEN date_parsed_ok THEN 8 ELSE -12 END + CASE WHEN published_at IS NOT NULL THEN CASE WHEN official THEN 6 ELSE 2 END WHEN official THEN -5 ELSE 0 END
   + CASE WHEN date IS NOT NULL AND NOT late AND NOT early THEN 6 ELSE 0 END + least(sig + crisis, 8) + least(act, 4) + CASE WHEN category = 'crisis' THEN least(pol, 4) ELSE 0 END) AS base_score,
   category = 'crisis' AS cr, category = 'ufo' AND NOT official AS uf FROM h2),
-scored AS (SELECT *, list_sort(list_filter([CASE WHEN nt = '' THEN 'empty_title' END, CASE WHEN sig = 0 AND strength = 0 THEN 'no_relevance_keywords' END,
+scored AS MATERIALIZED (SELECT *, list_sort(list_filter([CASE WHEN nt = '' THEN 'empty_title' END, CASE WHEN sig = 0 AND strength = 0 THEN 'no_relevance_keywords' END,
   CASE WHEN {' OR '.join(f"contains(low, '{h}')" for h in C.OPINION_HINTS)} OR contains(nt, ' | ') THEN 'opinion_or_commentary' END, CASE WHEN {' OR '.join(f"contains(low, '{h}')" for h in C.ROUNDUP_HINTS)} THEN 'roundup_or_mixed_headline' END,
   CASE WHEN NOT date_parsed_ok THEN 'date_parse_failed' END, CASE WHEN date IS NULL THEN 'invalid_date' END, CASE WHEN late THEN 'future_dated_item' END, CASE WHEN early THEN 'stale_item_outside_lookback' END,
   CASE WHEN cr AND pol = 0 THEN 'crisis_without_political_context' END, CASE WHEN cr AND NOT {any_sql('txt', C.NATIONAL_KEYWORDS)} THEN 'crisis_without_national_context' END,
@@ -107,7 +107,7 @@ scored AS (SELECT *, list_sort(list_filter([CASE WHEN nt = '' THEN 'empty_title'
 CORR_SQL = f"""{SCORE_SQL},
 f0 AS (SELECT *, substr(sha1(category || '-' || array_to_string({tokens_sql('title')}, ' ')), 1, 16) AS fingerprint, NOT aggregator AND source_type = 'rss' AND weight >= 2 AS trusted FROM scored WHERE len(reasons) = 0),
 f1 AS (SELECT category, fingerprint, count(DISTINCT source) AS corroboration, count(DISTINCT source) FILTER (trusted) AS trusted_corroboration FROM f0 GROUP BY ALL),
-corr AS (SELECT f0.*, corroboration, trusted_corroboration, least(100, base_score + CASE WHEN trusted_corroboration >= 3 THEN 22 WHEN trusted_corroboration = 2 THEN 13 WHEN trusted_corroboration = 1 THEN 5 ELSE 0 END + CASE WHEN corroboration >= 5 THEN 5 WHEN corroboration >= 3 THEN 2 ELSE 0 END) AS final_score FROM f0 JOIN f1 USING (category, fingerprint))"""
+corr AS MATERIALIZED (SELECT f0.*, corroboration, trusted_corroboration, least(100, base_score + CASE WHEN trusted_corroboration >= 3 THEN 22 WHEN trusted_corroboration = 2 THEN 13 WHEN trusted_corroboration = 1 THEN 5 ELSE 0 END + CASE WHEN corroboration >= 5 THEN 5 WHEN corroboration >= 3 THEN 2 ELSE 0 END) AS final_score FROM f0 JOIN f1 USING (category, fingerprint))"""
 
 
 def scored(spark, sf):  # noqa: ANN001, ANN201
@@ -255,8 +255,8 @@ def temporal_pairs(spark, sf):  # noqa: ANN001, ANN201
     return p.select("cd", F.datediff("ud", "cd").alias("gap"), (F.col("nc") * F.col("nu")).alias("n"), (F.col("sc") * F.col("su")).alias("checksum"))
 
 
-PAIR_SQL = f"""{SCORE_SQL}, pr AS (SELECT *, {action_sql('txt')} AS action, {topic_sql('txt')} AS topic, {first_sql('txt', C.ACTOR_KEYWORDS)} AS a0, {tokens_sql('title')} AS tk, {tokens_sql('txt')} AS tk2 FROM scored WHERE category = 'ufo' AND base_score >= 50 AND date IS NOT NULL),
-pf AS (SELECT * EXCLUDE (a0, tk), {chain_sql([(f"a0 = '{k}'", f"'{v}'") for k, v in C.ACTOR_GROUPS.items()], 'a0')} AS actor, CASE WHEN len(tk) < 3 THEN list_distinct(tk || tk2) ELSE tk END AS tk FROM pr),
+PAIR_SQL = f"""{SCORE_SQL}, pr AS (SELECT *, {action_sql('txt')} AS action, {topic_sql('txt')} AS topic, {first_sql('txt', C.ACTOR_KEYWORDS)} AS a0, {tokens_sql('title')} AS tk, CASE WHEN len({tokens_sql('title')}) < 3 THEN {tokens_sql('txt')} ELSE [] END AS tk2 FROM scored WHERE category = 'ufo' AND base_score >= 50 AND date IS NOT NULL),
+pf AS MATERIALIZED (SELECT * EXCLUDE (a0, tk), {chain_sql([(f"a0 = '{k}'", f"'{v}'") for k, v in C.ACTOR_GROUPS.items()], 'a0')} AS actor, CASE WHEN len(tk) < 3 THEN list_distinct(tk || tk2) ELSE tk END AS tk FROM pr),
 dm AS (SELECT DISTINCT domain FROM pf WHERE NOT official AND NOT aggregator AND domain <> ''),
 pp AS (SELECT m.ord AS m_ord, o.ord AS o_ord, CAST(m.date - o.date AS INT) AS lag_days, m.source_type AS st, m.weight AS w, m.aggregator AS ag, m.publisher AS pub, m.published_at AS pa, m.publisher IN (SELECT domain FROM dm) AS mir,
   CASE WHEN o.action <> 'na' AND o.action = m.action THEN 2 ELSE 0 END + CASE WHEN o.topic <> 'na' AND o.topic = m.topic THEN 2 ELSE 0 END + CASE WHEN o.actor <> 'na' AND o.actor = m.actor THEN 1 ELSE 0 END + CASE WHEN len(list_intersect(o.tk, m.tk)) >= 3 THEN 2 WHEN len(list_intersect(o.tk, m.tk)) >= 2 THEN 1 ELSE 0 END AS semantic
