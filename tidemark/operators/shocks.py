@@ -51,22 +51,40 @@ def downsample(days: DataFrame, most: int) -> DataFrame:
     return r.where(F.col("n") <= most).select("d").union(r.where(F.col("n") > most).join(F.broadcast(wanted), "i", "left_semi").select("d"))  # `most` rows
 
 
-def spaced(candidates: DataFrame, gap: int, order: list[Column], most: int | None = None, group: list[str] | None = None) -> DataFrame:
-    """``d, kept`` of ``candidates``: taken in order, each unless one within ``gap`` days was kept before.
+def _greedy(candidates: DataFrame, keys: list[str], gap: Column, order: list[Column]) -> DataFrame:
+    """``candidates`` with ``kept`` and ``nearest``, by ``keys``: taken in order, each unless one within ``gap`` days was kept before; for the others the nearest kept day, the earlier of two.
 
-    The choice is sequential, so each group is one fold over its sorted candidates: peaks above a high percentile, or
-    a catalog's entries, at most one a day.
+    Runs of days with at most ``gap`` days from one to the next are clusters, and no choice in one touches another. So
+    a fold goes over a cluster, whose kept days are further apart than the gap, and not over all days; the nearest kept
+    day lies in the same cluster, and follows by two windows.
     """
-    group = group or []
-    keyed = candidates.withColumn("_r", F.row_number().over(W.partitionBy(*group).orderBy(*order)))
+    by_day_ = W.partitionBy(*keys).orderBy("d")
+    apart = F.coalesce(F.datediff("d", F.lag("d").over(by_day_)) > gap, F.lit(True))
+    clustered = candidates.withColumn("_new", apart.cast("int")).withColumn("_c", F.sum("_new").over(by_day_.rangeBetween(W.unboundedPreceding, W.currentRow))).drop("_new")
+    ranked = clustered.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_c").orderBy(*order)))
+    far = lambda kept, x: ~F.exists(kept, lambda k: F.abs(F.datediff(k["d"], x["d"])) <= x["gap"])
     fold = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("_r", "d"))),
-        F.array().cast("array<date>"),
-        lambda kept, x: F.when(F.exists(kept, lambda k: F.abs(F.datediff(k, x["d"])) <= gap) | (F.size(kept) >= (most or 1 << 30)), kept).otherwise(F.concat(kept, F.array(x["d"]))),
+        F.array_sort(F.collect_list(F.struct("_r", "d", gap.alias("gap")))),
+        F.array().cast("array<struct<_r: int, d: date, gap: int>>"),
+        lambda kept, x: F.when(far(kept, x), F.concat(kept, F.array(x))).otherwise(kept),
     )
-    kept = keyed.groupBy(*group).agg(fold.alias("_k"))
-    flagged = keyed.join(kept, group) if group else keyed.join(F.broadcast(kept))  # one row without groups
-    return flagged.withColumn("kept", F.array_contains("_k", F.col("d"))).drop("_k", "_r")
+    kept = ranked.groupBy(*keys, "_c").agg(F.transform(fold, lambda k: k["_r"]).alias("_k"))
+    flagged = ranked.join(kept, [*keys, "_c"]).withColumn("kept", F.array_contains("_k", F.col("_r")))
+    in_cluster, mark = W.partitionBy(*keys, "_c").orderBy("d"), F.when(F.col("kept"), F.col("d"))
+    flagged = flagged.withColumns({"_a": F.max(mark).over(in_cluster.rangeBetween(W.unboundedPreceding, W.currentRow)), "_b": F.min(mark).over(in_cluster.rangeBetween(W.currentRow, W.unboundedFollowing))})
+    back_first = F.col("_b").isNull() | (F.datediff("d", "_a") <= F.datediff("_b", "d"))
+    return flagged.withColumn("nearest", F.when(~F.col("kept"), F.when(back_first, F.col("_a")).otherwise(F.col("_b")))).drop("_c", "_r", "_k", "_a", "_b")
+
+
+def spaced(candidates: DataFrame, gap: int, order: list[Column], most: int | None = None, group: list[str] | None = None) -> DataFrame:
+    """``candidates`` with ``kept``: taken in order, each unless one within ``gap`` days was kept before, ``most`` at most in a group. Of several rows of a day the first in order stands for it."""
+    keys = group or []
+    out = _greedy(candidates, keys, F.lit(gap), order).drop("nearest")
+    if most is None:
+        return out
+    # what comes after the last one allowed changes nothing before it, so the limit cuts the full choice
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(F.col("kept").desc(), *order))
+    return out.withColumn("_n", place).withColumn("kept", F.col("kept") & (F.col("_n") <= most)).drop("_n")
 
 
 def auto_candidates(dense: DataFrame, manual: DataFrame, value: str = "crisis", q: float = 0.99, gap: int = 21, radius: int = 14, most: int = 80) -> DataFrame:
@@ -80,15 +98,10 @@ def auto_candidates(dense: DataFrame, manual: DataFrame, value: str = "crisis",
 
 
 def non_overlapping(entries: DataFrame, gaps: list[int]) -> DataFrame:
-    """``gap, d, priority, score, kept, nearest``: for each gap the entries that stay, by priority, score and date, and for the others the nearest that did."""
-    spread = None
-    for g in gaps:
-        one = spaced(entries, g, [F.col("priority").desc(), F.col("score").desc(), F.col("d").desc()]).withColumn("gap", F.lit(g))
-        spread = one if spread is None else spread.unionByName(one)
-    kept = spread.where("kept").select("gap", F.col("d").alias("k"))
-    dist = F.abs(F.datediff("d", "k"))
-    gone = spread.where("NOT kept").join(kept, "gap").groupBy("gap", "d", "priority").agg(F.min_by("k", F.struct(dist, "k")).alias("nearest"))  # catalog entries only
-    return spread.join(gone, ["gap", "d", "priority"], "left").select("gap", "d", "priority", "score", "kept", "nearest")
+    """``gap, d, priority, score, kept, nearest``: for each gap the entries that stay, by priority, score and date, and for the others the nearest that did. All gaps in one pass; a catalog's days are bounded by the calendar."""
+    each = entries.select(F.explode(F.array(*[F.lit(g) for g in sorted({g for g in gaps if g > 0})])).alias("gap"), "d", "priority", "score")
+    out = _greedy(each, ["gap"], F.col("gap"), [F.col("priority").desc(), F.col("score").desc(), F.col("d").desc()])
+    return out.select("gap", "d", "priority", "score", "kept", "nearest")
 
 
 def support(series: DataFrame, shocks: DataFrame, least: int = 12, ratio: float = 0.002) -> DataFrame:

@@ -334,7 +334,18 @@ def greedy_spacing(spark, sf):  # noqa: ANN001, ANN201
     return S.spaced(cand, 21, [F.col("crisis").desc(), F.col("d").desc()]).select("d", "kept")
 
 
-@query()
+GREEDY_LIST = "CASE WHEN len(list_filter(kept, lambda k: abs(k - c.d) <= {gap})) > 0 {more}THEN kept ELSE list_append(kept, c.d) END"
+NONOVERLAP_SQL = f"""{DENSE_SQL}, manual AS (SELECT d FROM dense WHERE day(d) = 15 AND month(d) % 6 = 0), near AS (SELECT DISTINCT d + CAST(k AS INT) AS d FROM manual, range(-14, 15) AS r(k)),
+lp AS (SELECT d, crisis, coalesce(max(crisis) OVER (ORDER BY d ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0) AS a, coalesce(max(crisis) OVER (ORDER BY d ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), 0) AS b FROM dense),
+cand AS (SELECT d, crisis, row_number() OVER (ORDER BY crisis DESC, d DESC) AS r FROM lp WHERE crisis >= a AND crisis >= b AND d NOT IN (SELECT d FROM near) AND crisis >= (SELECT coalesce(quantile_cont(CAST(crisis AS DOUBLE), 0.99) FILTER (crisis > 0), 0) FROM dense)),
+rec AS (SELECT CAST(0 AS BIGINT) AS r, CAST([] AS DATE[]) AS kept UNION ALL SELECT rec.r + 1, {GREEDY_LIST.format(gap=21, more='OR len(kept) >= 80 ')} FROM rec JOIN cand c ON c.r = rec.r + 1),
+auto AS (SELECT unnest(kept) AS d FROM rec WHERE r = (SELECT max(r) FROM rec)),
+ent AS (SELECT *, row_number() OVER (ORDER BY priority DESC, score DESC, d DESC) AS r FROM (SELECT d, 3 AS priority, 1e18 AS score FROM manual UNION ALL SELECT d, 1, CAST(crisis AS DOUBLE) FROM cand JOIN auto USING (d))),
+rec2 AS (SELECT CAST(g AS INT) AS gap, CAST(0 AS BIGINT) AS r, CAST([] AS DATE[]) AS kept FROM (VALUES (30), (45), (60)) AS v(g) UNION ALL SELECT gap, rec2.r + 1, {GREEDY_LIST.format(gap='gap', more='')} FROM rec2 JOIN ent c ON c.r = rec2.r + 1),
+k AS (SELECT gap, unnest(kept) AS k FROM rec2 WHERE r = (SELECT max(r) FROM rec2))"""
+
+
+@query(f"WITH RECURSIVE {NONOVERLAP_SQL} SELECT gap, d, priority, score, bool_or(k = d) AS kept, CASE WHEN NOT bool_or(k = d) THEN arg_min(k, (abs(k - d), k)) END AS nearest FROM ent, k GROUP BY gap, d, priority, score")
 def nonoverlap_catalog(spark, sf):  # noqa: ANN001, ANN201
     dense = V.dense(spark, sf)
     manual = dense.where((F.dayofmonth("d") == 15) & (F.month("d") % 6 == 0)).select("d")
