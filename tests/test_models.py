@@ -1,7 +1,6 @@
 """Model runs, gates and matches against plain versions, on small tables."""
 
 import datetime
-import hashlib
 import math
 import random
 import statistics
@@ -11,7 +10,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from tidemark.operators import events, gates, matching, models, permute
+from tidemark.operators import draws, events, forests, gates, matching, models, permute
 from tidemark.operators import estimators as E
 from tidemark.plans import models as queries
 from tidemark.plans import review, series
@@ -22,8 +21,8 @@ START = datetime.date(2022, 1, 1)
 
 
 def drawn(pool, m, draws, seed):
-    key = lambda k, d: (hashlib.md5(f"{seed}|{k}|{d}".encode()).hexdigest(), d)
-    return [sorted(pool, key=lambda d: key(k, d))[:m] for k in range(draws)] if 0 < m <= len(pool) else []
+    rng = random.Random(seed)
+    return [rng.sample(sorted(pool), m) for _ in range(draws)] if 0 < m <= len(pool) else []
 
 
 @pytest.fixture(scope="module")
@@ -67,8 +66,7 @@ def test_did(spark, world):
     days, shocks, y, topics = world
     got = models.did(*[frames(spark, world)[i] for i in (0, 2, 1)], 200, 5)
     pool = [d for d in y if all(abs((d - s).days) > 7 for s in shocks)]
-    fake = drawn(pool, len(shocks), 1, 0)[0]
-    fake = sorted(pool, key=lambda d: (hashlib.md5(f"{5 + 9973 + len(y)}|{d}".encode()).hexdigest(), d))[: len(shocks)]
+    fake = drawn(pool, len(shocks), 1, 5 + 9973 + len(y))[0]
     for w in (7, 14, 30):
         for name, s in (("", shocks), ("placebo_", fake)):
             att, p = plain_test(y, s, pool, w, 200, 5 + w)
@@ -134,7 +132,11 @@ def test_residual_permutation_and_effects(spark):
     got = models.residual_test(fit, 300, 9)
     yr, tr = y - x[:, 0], t - 0.3
     ate = (yr * tr).sum() / (tr * tr).sum()
-    null = [(models.shuffled(tr, 9, k) * yr).sum() / (tr * tr).sum() for k in range(300)]
+    gen, null = random.Random(9), []
+    for _ in range(300):
+        mixed = tr.tolist()
+        gen.shuffle(mixed)
+        null.append((np.array(mixed) * yr).sum() / (tr * tr).sum())
     assert close(got["ate"], ate) and close(got["p"], (sum(abs(v) >= abs(ate) for v in null) + 1) / 301)
     tau = [r.tau for r in models.cate(fit, ["a", "b"]).orderBy("d").collect()]
     z, w = np.column_stack([np.ones(n), x]), np.maximum(1e-6, tr * tr)
@@ -143,12 +145,77 @@ def test_residual_permutation_and_effects(spark):
     assert np.corrcoef(tau, x[:, 1])[0, 1] > 0.95
 
 
+def known_effect(spark, n, share=0.35, seed=7):
+    """Days whose treatment follows one feature; its effect is 1, and 3 where another feature is positive."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 3))
+    t = (rng.random(n) < np.clip(share + 0.2 * np.tanh(x[:, 0]), 0, 1)).astype(int)
+    y = 2 * x[:, 0] + t * (1 + 2 * (x[:, 1] > 0)) + rng.normal(size=n) * 0.3
+    rows = [(START + i * DAY, *map(float, x[i]), float(y[i]), int(t[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "d date, a double, b double, c double, y double, t int")
+    return E.seeded_folds(df, 3, 4).coalesce(1).cache(), x
+
+
 def test_causal_ml_gate(spark):
-    got = queries.causal_ml_gate(spark, SF).first()
-    assert got.passed == (got.att_positive and got.ate_positive and got.ate_significant and got.support_ok and got.spread_known)
-    fit = E.cross_fit(series.WN.lag_features(views.dense(spark, SF), series.shocks_of(spark, SF)), series.FEATURES, F.pmod(F.xxhash64(F.lit(series.SEED), "d"), F.lit(5)).cast("int"), 5)
-    rows = fit.select((F.col("y") - F.col("y_hat")).alias("y"), (F.col("t") - F.col("t_hat")).alias("r"), "t").collect()
-    assert close(got.ate, sum(r.y * r.r for r in rows) / sum(r.r * r.r for r in rows) if rows else 0.0) and got.treated == sum(r.t for r in rows)
+    data, x = known_effect(spark, 400)
+    got = models.causal_ml(data, ["a", "b", "c"], 200, 5, folds=3)
+    rows = sorted(data.collect(), key=lambda r: r.d)
+    order = list(range(400))
+    random.Random(4).shuffle(order)
+    fold = np.empty(400, int)
+    fold[order] = np.arange(400) % 3
+    assert [r.fold for r in rows] == fold.tolist()
+    z = np.column_stack([np.ones(400), x])
+    hat = {}
+    for c in ("y", "t"):
+        v = np.array([float(r[c]) for r in rows])
+        hat[c] = np.empty(400)
+        for f in range(3):
+            w = z[fold != f]
+            hat[c][fold == f] = z[fold == f] @ np.linalg.solve(w.T @ w + 2.0 * np.diag([0, 1, 1, 1]), w.T @ v[fold != f])
+    t = np.array([r.t for r in rows])
+    yr, tr = np.array([r.y for r in rows]) - hat["y"], t - np.clip(hat["t"], 0.03, 0.97)
+    assert got["status"] == "ok" and got["n"] == 400 and got["treated"] == t.sum() and got["nuisance"] == "cross_fitted_ridge"
+    assert close(got["ate"], (yr * tr).sum() / (tr * tr).sum()) and close(got["att"], (yr * tr)[t == 1].sum() / (tr * tr)[t == 1].sum())
+    assert got["passed"] and got["tau_spread"] > 1
+    assert queries.causal_ml_gate(spark, SF).first().status in ("ok", "few_days", "few_shocks", "treated_support_too_sparse")
+
+
+def test_forests_find_a_known_effect(spark):
+    data, x = known_effect(spark, 600)
+    fit, how = forests.cross_fit_forest(data, ["a", "b", "c"], 3, 5, trees=60)
+    fit = fit.cache()
+    rows = fit.orderBy("d").collect()
+    assert how == "cross_fitted_forest" and len(rows) == 600 and all(0.03 <= r.t_hat <= 0.97 for r in rows)
+    e = E.orthogonal_effects(fit).first()
+    assert abs(e.ate - 2) < 0.4
+    tau, how = forests.forest_cate(fit, ["a", "b", "c"], 5, trees=80)
+    tau = {r.d: r.tau for r in tau.collect()}
+    got = np.array([tau[START + i * DAY] for i in range(600)])
+    assert how == "orthogonal_forest_proxy" and got[x[:, 1] > 0.3].mean() - got[x[:, 1] < -0.3].mean() > 1
+    naive = np.mean([r.y for r in rows if r.t]) - np.mean([r.y for r in rows if not r.t])
+    assert abs(e.ate - 2) < abs(naive - 2)
+
+
+def test_models_stay_pending_on_small_samples(spark, world):
+    few, _ = known_effect(spark, 18)
+    fit, how = forests.cross_fit_forest(few, ["a"], 3, 5)
+    assert how == "mean_fallback" and fit.select("y_hat", "t_hat").distinct().count() == 1
+    assert forests.forest_cate(fit, ["a"], 1)[1] == "constant_cate_fallback" and forests.forest_cate(fit.limit(0), ["a"], 1)[1] == "no_data"
+    run = lambda df, **k: models.causal_ml(df, ["a", "b", "c"], 20, 5, folds=3, **k)
+    assert run(few)["status"] == "few_days"
+    loose = run(few, min_days=1, min_shocks=1, min_treated=1)
+    assert loose["status"] == "ok" and not loose["nuisance_model_ready"] and not loose["cate_model_ready"] and not loose["passed"]
+    many, _ = known_effect(spark, 150)
+    assert run(many.where("t = 0 OR d < '2022-01-05'"), min_days=1)["status"] == "few_shocks"
+    assert run(many, min_treated=10_000)["status"] == "treated_support_too_sparse"
+    assert run(many.withColumn("t", F.lit(1)))["status"] in ("blocked", "ok")
+    good = run(many)
+    assert good["status"] == "ok" and good["ate_significant"] and good["ate_positive"] and good["support_ok"]
+    panel, shocks, topics = (frames(spark, world)[i] for i in (0, 1, 2))
+    assert models.did(panel.where("d < '2022-02-20'"), topics, shocks, 20, 5)["status"] == "few_days"
+    assert models.did(panel, topics, shocks.limit(7), 20, 5)["status"] == "few_shocks" and models.did(panel, topics, shocks.limit(7), 20, 5, catalog=True)["status"] == "ok"
+    assert models.event_study(panel.limit(80), shocks, 20, 5)["status"] == "few_days" and models.event_study(panel, shocks.limit(9), 20, 5)["status"] == "few_shocks"
 
 
 def test_panel_metrics(spark):
@@ -157,7 +224,7 @@ def test_panel_metrics(spark):
     shocks = {r.d for r in series.shocks_of(spark, SF).collect()}
     apart = [d for d in dense if all(abs((d - s).days) > 7 for s in shocks)]
     pool = apart if len(apart) >= len(shocks) else [d for d in dense if d not in shocks]
-    fake = sorted(pool, key=lambda d: (hashlib.md5(f"{series.SEED + 7919 + len(dense) + len(shocks)}|{d}".encode()).hexdigest(), d))[: len(shocks)]
+    fake = drawn(pool, len(shocks), 1, series.SEED + 7919 + len(dense) + len(shocks))[0] if len(pool) > len(shocks) else pool
     draws = drawn(dense, len(shocks), 40, series.SEED)
     for w, r in got.items():
         at = {c: {d: sum(getattr(dense[x], c) if (x := d + k * DAY) in dense else 0 for k in range(1, w + 1)) - sum(getattr(dense[x], c) if (x := d - k * DAY) in dense else 0 for k in range(1, w + 1)) for d in dense} for c in ("adj", "outcome")}
@@ -234,14 +301,85 @@ def test_claims_keep_what_is_listed_only(spark):
         assert [(t.date, t.weight, t.source, t.url, t.source_type) for t in e.timeline] == [(x[2], -x[3], x[4], x[5], x[6]) for x in sorted(reports)[:24]]
 
 
-def test_null_table_gives_the_draws_of_hash_draws(spark):
+def test_null_table_has_the_recorded_draws(spark):
     days = spark.range(30).selectExpr("date_add(date'2024-01-01', cast(id AS int)) AS d", "IF(id % 5 = 0, NULL, id * 1.5D) AS x", "id % 7 AS y")
-    got = {r.draw: (r.x, r.y) for r in permute.null_table(days, ["x", "y"], days.where("y <> 3"), 8, 12, 4).collect()}
-    draws = permute.hash_draws(days.where("y <> 3"), 8, 12, 4)
-    want = {r.draw: (r.x, r.y) for r in draws.join(days, "d").groupBy("draw").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).collect()}
+    got = {r.draw: (r.x, r.y) for r in permute.null_table(days, ["x", "y"], days.where("y <> 3"), 8, 600, 4).collect()}
+    pool = [(None if i % 5 == 0 else i * 1.5, i % 7) for i in range(30) if i % 7 != 3]
+    mean = lambda v: statistics.fmean(v) if v else None
+    want = {k: (mean([x for x, _ in s if x is not None]), mean([y for _, y in s])) for k, s in enumerate(drawn_of(pool, 8, 600, 4))}
     assert got.keys() == want.keys() and all(close(a, b) for k in got for a, b in zip(got[k], want[k]))
 
 
+def drawn_of(pool, m, draws, seed):
+    rng = random.Random(seed)
+    return [rng.sample(pool, m) for _ in range(draws)]
+
+
+#: The curated pairs whose recorded results these are.
+CURATED = ["2017-12-01 2017-12-16", "2019-07-25 2019-09-18", "2020-03-13 2020-04-27", "2021-05-28 2021-06-25", "2023-01-09 2023-02-04", "2023-06-09 2023-07-26", "2025-12-23 2026-02-19", "1997-05-27 1997-06-24", "2024-12-01 2024-12-07", "2009-05-08 2009-08-17"]
+
+
+def test_pairing_gives_the_recorded_results(spark):
+    pairs = [(i, *map(datetime.date.fromisoformat, p.split())) for i, p in enumerate(CURATED)]
+    got = permute.pairing_test(spark.createDataFrame(pairs, "id int, a date, b date"), 20_000, 20260221)
+    want = {"n": 10, "mean_gap": 40.9, "mean_abs": 40.9, "within_30": 5, "within_60": 9, "positive": 10, "negative": 0, "draws": 20_000, "p_abs": 0.0, "p_30": 0.0, "p_60": 0.0, "p_direction": 0.0009765625}
+    assert got == want
+
+
+def test_pairing_is_that_of_plain_shuffles(spark):
+    rng = random.Random(2)
+    pairs = [(i, START + rng.randrange(90) * DAY, START + rng.randrange(120) * DAY) for i in range(25)]
+    df = spark.createDataFrame([*pairs, (99, None, START)], "id int, a date, b date")
+    got = permute.pairing_test(df, 700, 3)
+    gen, null = random.Random(3), []
+    for _ in range(700):
+        b = [p[2] for p in pairs]
+        gen.shuffle(b)
+        g = [(y - x[1]).days for x, y in zip(pairs, b)]
+        null.append((sum(map(abs, g)), sum(0 <= v <= 30 for v in g), sum(0 <= v <= 60 for v in g)))
+    seen = [(p[2] - p[1]).days for p in pairs]
+    assert got["p_abs"] == sum(x[0] <= sum(map(abs, seen)) for x in null) / 700
+    assert got["p_30"] == sum(x[1] >= sum(0 <= v <= 30 for v in seen) for x in null) / 700
+    assert got["p_60"] == sum(x[2] >= sum(0 <= v <= 60 for v in seen) for x in null) / 700
+    # the same question by permutations without an order, in blocks or not, gives the same null
+    for block in (1 << 20, 7):
+        other = permute.pairing_null(df, 3000, 3, block).collect()
+        assert len(other) == 3000
+        for k, c in enumerate(("total_abs", "within_30", "within_60")):
+            a, b = [x[k] for x in null], [r[c] for r in other]
+            assert abs(statistics.fmean(a) - statistics.fmean(b)) < 5 * statistics.pstdev(a) * (1 / 700 + 1 / 3000) ** 0.5
+            assert abs(statistics.pstdev(a) / statistics.pstdev(b) - 1) < 0.15
+    assert permute.pairing_test(df.limit(0), 5, 3)["p_abs"] == 1.0 and permute.pairing_of(df.limit(0), 5, 3)["draws"] == 0
+
+
+def test_feistel_permutes():
+    for n in (1, 2, 3, 5, 16, 17, 100, 1025):
+        for draw in range(4):
+            assert sorted(draws.feistel(np.arange(n), n, draw, 11).tolist()) == list(range(n))
+    first = [draws.feistel(np.arange(6), 6, k, 1)[0] for k in range(6000)]
+    assert all(abs(first.count(v) - 1000) < 150 for v in range(6))
+    orders = {tuple(draws.feistel(np.arange(4), 4, k, 1).tolist()) for k in range(600)}
+    assert len(orders) == 24
+
+
+def test_draws_resume_from_any_state(spark):
+    rng, want = random.Random(21), []
+    for k in range(1100):
+        want += [(k, p) for p in rng.sample(range(300), 9)]
+    assert sorted(map(tuple, permute.exact_draws(spark, 300, 9, 1100, 21).collect())) == sorted(want)
+    assert permute.exact_draws(spark, 3, 4, 5, 1).count() == 0 and draws.snapshots(spark, 1, 0, lambda r: None).count() == 0
+
+
+def test_folds_are_a_shuffle_dealt_round_robin():
+    at = list(range(23))
+    random.Random(9).shuffle(at)
+    bins = [[] for _ in range(5)]
+    for pos, i in enumerate(at):
+        bins[pos % 5].append(i)
+    got = draws.fold_of(23, 5, 9)
+    assert all(set(np.flatnonzero(got == f).tolist()) == set(b) for f, b in enumerate(bins))
+
+
 def test_inference_matrix(spark):
     r = review.inference_matrix(spark, SF).first()
     assert r.level in ("NO_TEMPORAL_SIGNAL", "TEMPORAL_ASSOCIATION_ONLY", "CAUSAL_SIGNAL_WITHOUT_STRATEGIC_MECHANISM", "STRATEGIC_COMMUNICATION_INDICATION")

@@ -1,8 +1,8 @@
 """Queries on daily series against plain versions over the whole tables."""
 
 import datetime
-import hashlib
 import math
+import random
 
 from conftest import SF
 
@@ -41,8 +41,8 @@ def test_synth_uses_every_shock_day(spark):
 
 
 def drawn(pool, m, draws, seed):
-    key = lambda k, d: (hashlib.md5(f"{seed}|{k}|{d}".encode()).hexdigest(), d)
-    return [sorted(pool, key=lambda d: key(k, d))[:m] for k in range(draws)] if 0 < m <= len(pool) else []
+    rng = random.Random(seed)
+    return [rng.sample(sorted(pool), m) for _ in range(draws)] if 0 < m <= len(pool) else []
 
 
 def test_window_permutation_has_every_window_and_draw(spark, monkeypatch):
@@ -85,16 +85,15 @@ def test_did_placebo_has_every_window(spark, monkeypatch):
 
 def test_placebo_samples_are_as_many_as_the_shocks(spark, monkeypatch):
     asked = []
-    plain = permute.hash_draws
-    monkeypatch.setattr(permute, "hash_draws", lambda pool, size, draws, seed: (asked.append((size if isinstance(size, int) else size.first()[0], draws)), plain(pool, size, draws, seed))[1])
+    plain = permute.null_table
+    monkeypatch.setattr(permute, "null_table", lambda days, cols, pool, size, draws, seed, peak=None: (asked.append((size, draws)), plain(days, cols, pool, size, draws, seed, peak))[1])
     n = series.shocks_of(spark, SF).count()
     r = series.event_study_peak(spark, SF).first()
     assert asked == [(n, 2_000)] and r.draws in (0, 2_000) and (r.draws or r.p == 1)
 
 
 def test_too_small_a_pool_gives_no_draws(spark):
-    pool = spark.range(5).selectExpr("date_add(date'2024-01-01', cast(id AS int)) AS d")
+    pool = spark.range(5).selectExpr("date_add(date'2024-01-01', cast(id AS int)) AS d", "2.0D AS x")
     assert permute.hash_draws(pool, 6, 3, 1).count() == 0 and permute.hash_draws(pool, 5, 3, 1).count() == 15
-    diffs = pool.selectExpr("d", "1 AS k", "2.0D AS diff")
-    r = permute.peak_test(diffs, permute.hash_draws(pool, 6, 3, 1), diffs.selectExpr("max(diff) AS peak")).first()
-    assert (r.peak, r.p, r.draws) == (2.0, 1.0, 0)
+    assert permute.null_table(pool, ["x"], pool, 6, 3, 1).count() == 0
+    assert [r.peak for r in permute.null_table(pool, ["x"], pool, 5, 3, 1, peak=6).collect()] == [2.0] * 3

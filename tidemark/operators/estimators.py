@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .draws import fold_of
 
 def pre_post(days: DataFrame, shocks: DataFrame, reach: int = 7) -> DataFrame:
     """``d, phase``: post if a shock is 1 to ``reach`` days before, pre if it is neither that nor a shock; other days are left out."""
@@ -78,6 +79,13 @@ def cross_fit(data: DataFrame, features: list[str], fold: Column, folds: int, al
     return data.withColumns(expr)
 
 
+def seeded_folds(data: DataFrame, folds: int, seed: int, day: str = "d") -> DataFrame:
+    """``data``, a row a day, with ``fold``: days in order, shuffled by the recorded generator and dealt round-robin."""
+    days = [r[day] for r in data.select(day).orderBy(day).collect()]  # a row a day
+    dealt = zip(days, fold_of(len(days), folds, seed).tolist())
+    return data.join(F.broadcast(data.sparkSession.createDataFrame(list(dealt), f"{day} date, fold int")), day)  # a row a day
+
+
 def orthogonal_effects(data: DataFrame, y_hat: str = "y_hat", t_hat: str = "t_hat") -> DataFrame:
     """``ate, att``: residual on residual, over all and over the treated; 0 without variation."""
     ty, tt = (F.col("t") - F.col(t_hat)) * (F.col("y") - F.col(y_hat)), F.pow(F.col("t") - F.col(t_hat), 2)

@@ -1,17 +1,19 @@
 """Draws of days and the tests on them.
 
-A draw ranks the pool's days by a hash of seed, draw and day and takes the first ones, so that draws are made where
-the data is, in any engine alike. ``exact_draws`` gives the draws of Python's generator instead.
+Null distributions come from the recorded generator (see :mod:`.draws`), so that its results are met draw by draw.
+:func:`hash_draws` ranks days by a hash of seed, draw and day instead, in any engine alike.
 """
 
 from __future__ import annotations
 
-import random
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import binomial_right_tail
+from . import draws as D
+from .draws import exact_draws  # noqa: F401
+
 
 def hash_draws(pool: DataFrame, size: DataFrame | int, draws: int, seed: int) -> DataFrame:
     """``draw, d``: for each draw, ``size`` days of the pool without repetition; none if the pool has fewer. Each draw ranks the days, one a row, in its own row."""
@@ -25,86 +27,104 @@ def hash_draws(pool: DataFrame, size: DataFrame | int, draws: int, seed: int) ->
     return drawn.select("draw", F.explode("_x").alias("_x")).select("draw", "_x.d")
 
 
-def exact_draws(spark: SparkSession, n: int, size: int, draws: int, seed: int) -> DataFrame:
-    """``draw, pos``: positions as ``random.Random(seed).sample(range(n), size)`` gives them, draw after draw. The generator is sequential; draws and days are few."""
-    rng = random.Random(seed)
-    rows = [(k, p) for k in range(draws) for p in rng.sample(range(n), size)] if 0 < size <= n else []
-    return spark.createDataFrame(rows, "draw int, pos int")
-
-
 def placebo_pool(days: DataFrame, shocks: DataFrame, buffer: int) -> DataFrame:
     """Days that are no shock and further than ``buffer`` days from any: an anti join on the days around shocks."""
     near = shocks.select(F.explode(F.sequence(F.date_sub("d", buffer), F.date_add("d", buffer))).alias("d")).distinct()
     return days.select("d").join(near, "d", "left_anti")
 
 
-def mean_test(effects: DataFrame, draws: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:
-    """One-sided p of ``observed (keys, effect)``: the share of draws with a mean effect as large, by keys; 1 without draws."""
-    null = effects.join(draws, "d").groupBy(*keys, "draw").agg(F.avg("effect").alias("null"))
-    j = observed.join(null, keys, "left")
-    return j.groupBy(*keys, "effect").agg(F.coalesce(F.avg((F.round("null", 9) >= F.round("effect", 9)).cast("double")), F.lit(1.0)).alias("p"), F.count("null").alias("draws"), F.percentile("null", 0.025).alias("null_low"), F.percentile("null", 0.975).alias("null_high"))
+def gap_stats(pairs: DataFrame) -> DataFrame:
+    """One row of ``pairs (a, b)``: ``n, mean_gap, mean_abs, within_30, within_60, positive, negative`` of the days from a to b."""
+    gap = F.datediff("b", "a")
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    return pairs.where(gap.isNotNull()).agg(F.count("*").alias("n"), mean(gap).alias("mean_gap"), mean(F.abs(gap)).alias("mean_abs"), F.count_if(gap.between(0, 30)).alias("within_30"), F.count_if(gap.between(0, 60)).alias("within_60"), F.count_if(gap >= 0).alias("positive"), F.count_if(gap < 0).alias("negative"))
 
 
-def peak_test(diffs: DataFrame, draws: DataFrame, observed_peak: DataFrame) -> DataFrame:
-    """p of the largest mean difference over offsets from 1 on, each mean rounded to 6 places before the maximum; 1 without draws."""
-    null = diffs.where("k >= 1").join(draws, "d").groupBy("draw", "k").agg(F.round(F.avg("diff"), 6).alias("m")).groupBy("draw").agg(F.max("m").alias("null"))
-    j = observed_peak.select(F.coalesce("peak", F.lit(0.0)).alias("peak")).join(null, F.lit(True), "left")
-    return j.groupBy("peak").agg(F.coalesce(F.avg((F.col("null") >= F.col("peak")).cast("double")), F.lit(1.0)).alias("p"), F.count("null").alias("draws"))
+GAPS = "total_abs long, within_30 long, within_60 long"
 
 
-def pairing_test(pairs: DataFrame, draws: int, seed: int) -> DataFrame:
-    """Gap statistics of ``pairs (id, a, b)`` against draws that shuffle ``b`` among the pairs."""
-    n = pairs.select("id", "a", "b", F.row_number().over(W.orderBy("id")).alias("r"))  # curated pairs
-    gap = lambda p: [F.avg(F.abs(F.datediff("b", "a"))).alias(f"{p}abs"), F.count_if(F.datediff("b", "a").between(0, 30)).alias(f"{p}30"), F.count_if(F.datediff("b", "a").between(0, 60)).alias(f"{p}60")]
-    obs = n.agg(F.count("*").alias("n"), F.avg(F.datediff("b", "a")).alias("mean_gap"), F.count_if(F.datediff("b", "a") > 0).alias("after"), *gap("o"))
-    k = pairs.sparkSession.range(draws).select(F.col("id").alias("draw"))
-    shuffled = n.select("id", "b").crossJoin(F.broadcast(k)).withColumn("r", F.row_number().over(W.partitionBy("draw").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "draw", "id")), "id")))  # the draws asked for
-    null = shuffled.drop("id").join(n.select("a", "r"), "r").groupBy("draw").agg(*gap("n"))
-    return obs.join(null).groupBy("n", "mean_gap", "after", "oabs", "o30", "o60").agg(F.avg((F.round("nabs", 9) <= F.round("oabs", 9)).cast("double")).alias("p_abs"), F.avg((F.col("n30") >= F.col("o30")).cast("double")).alias("p_30"), F.avg((F.col("n60") >= F.col("o60")).cast("double")).alias("p_60"))
+def _gaps_of(gap) -> list[int]:  # noqa: ANN001
+    return [int(abs(gap).sum()), int(((gap >= 0) & (gap <= 30)).sum()), int(((gap >= 0) & (gap <= 60)).sum())]
 
 
-def null_table(days: DataFrame, columns: list[str], pool: DataFrame, size: int, draws: int, seed: int, peak: int | None = None) -> DataFrame:
-    """``draw`` and, for each of ``columns`` of ``days (d, ...)``, its mean over the draw's ``size`` days of ``pool``, nulls left out: the draws of :func:`hash_draws`, ranked and averaged in the tasks.
+def pairing_test(pairs: DataFrame, draws: int, seed: int) -> dict:
+    """Gap statistics of curated ``pairs (id, a, b)`` and the shares of shuffles of ``b`` that reach them, by the recorded generator; ``p_direction`` is the binomial tail of the positive gaps.
 
-    The series go to the tasks as one array, a row a day. No rows for a size of 0 or over the pool's. With ``peak``, means are rounded to so
-    many places and the largest of them comes back as ``peak`` instead.
+    The pairs are a list that people keep, so their days go to the tasks; see :func:`pairing_null` for pairs that come from data.
     """
-    import hashlib
+    rows = pairs.where("a IS NOT NULL AND b IS NOT NULL").orderBy("id").select(F.unix_date("a").alias("a"), F.unix_date("b").alias("b")).collect()  # curated pairs
+    a, b = (np.array([r[c] for r in rows], np.int64) for c in "ab")
+    null = D.over_draws(pairs.sparkSession, seed, draws, D.shuffling(len(rows)), lambda at: _gaps_of(b[at] - a), GAPS)
+    return _pairing_row(gap_stats(pairs), null)
+
+
+def pairing_null(pairs: DataFrame, draws: int, seed: int, block: int = 1 << 20) -> DataFrame:
+    """``draw, total_abs, within_30, within_60`` of ``pairs (a, b)`` of any number, for draws that pair them anew.
+
+    What counts is how many pairs have a day on either side, so two counts by day go to the tasks and no pair. The k-th
+    pair in order of ``a`` meets the one that the draw's permutation sends k to, in order of ``b``: no sort and no
+    join. A task takes a block of places of one draw.
+    """
+    spark, known = pairs.sparkSession, pairs.where("a IS NOT NULL AND b IS NOT NULL")
+    count = lambda c: known.groupBy(F.unix_date(c).alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()  # noqa: E731  # a row a day
+    sides = [(np.array([r["d"] for r in x], np.int64), np.cumsum([r["n"] for r in x]).astype(np.int64)) for x in map(count, "ab")]
+    n = int(sides[0][1][-1]) if len(sides[0][1]) else 0
+    blocks = max(1, -(-n // block))
+
+    def run(frames):  # noqa: ANN001, ANN202
+        import pandas as pd
 
-    import numpy as np
-    import pandas as pd
+        for f in frames:
+            out = []
+            for i in f["id"].tolist():
+                draw, part = divmod(i, blocks)
+                at = np.arange(part * block, min(n, (part + 1) * block))
+                day = lambda side, k: side[0][np.searchsorted(side[1], k, side="right")]
+                out.append((draw, *_gaps_of(day(sides[1], D.feistel(at, n, draw, seed)) - day(sides[0], at))))
+            yield pd.DataFrame(out, columns=["draw", *[c.split()[0] for c in GAPS.split(", ")]]).astype("int64")
 
-    wanted = pool.select("d").distinct().withColumn("_in", F.lit(True))
+    names = [c.split()[0] for c in GAPS.split(", ")]
+    parts = spark.range(draws * blocks if n else 0).repartition(max(1, min(draws, spark.sparkContext.defaultParallelism))).mapInPandas(run, f"draw long, {GAPS}")
+    return parts if blocks == 1 else parts.groupBy("draw").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def _pairing_row(stats: DataFrame, null: DataFrame) -> dict:
+    """The statistics with the shares of draws that reach them; 1 without draws."""
+    seen = stats.first().asDict()
+    total = round(seen["mean_abs"] * seen["n"])
+    got = null.agg(F.count("*").alias("draws"), F.avg((F.col("total_abs") <= total).cast("double")).alias("p_abs"), F.avg((F.col("within_30") >= seen["within_30"]).cast("double")).alias("p_30"), F.avg((F.col("within_60") >= seen["within_60"]).cast("double")).alias("p_60")).first().asDict()
+    return seen | {k: 1.0 if v is None else v for k, v in got.items()} | {"p_direction": binomial_right_tail(seen["positive"], seen["n"], 0.5)}
+
+
+def pairing_of(pairs: DataFrame, draws: int, seed: int) -> dict:
+    """As :func:`pairing_test`, by :func:`pairing_null`."""
+    return _pairing_row(gap_stats(pairs), pairing_null(pairs, draws, seed))
+
+
+def null_table(days: DataFrame, columns: list[str], pool: DataFrame, size: int, draws: int, seed: int, peak: int | None = None) -> DataFrame:
+    """``draw`` and, for each of ``columns`` of ``days (d, ...)``, its mean over the ``size`` days that the recorded generator samples of ``pool`` in order, nulls left out.
+
+    The series go to the tasks as one array, a row a day. No rows for a size of 0 or over the pool's. With ``peak``,
+    means are rounded to so many places and the largest of them comes back as ``peak`` instead.
+    """
+    wanted = pool.select("d").distinct()
     rows = days.select("d", *[F.col(c).cast("double").alias(c) for c in columns]).join(wanted, "d").orderBy("d").collect()  # a row a day
-    names = [str(r["d"]).encode() for r in rows]
     values = np.array([[np.nan if r[c] is None else r[c] for c in columns] for r in rows], float).reshape(len(rows), len(columns))
     known = ~np.isnan(values)
     filled = np.where(known, values, 0.0)
     out = ["peak"] if peak is not None else list(columns)
-    schema = "draw long, " + ", ".join(f"`{c}` double" for c in out)
+    schema = ", ".join(f"`{c}` double" for c in out)
     if not 0 < size <= len(rows):
-        return days.sparkSession.createDataFrame([], schema)
+        return days.sparkSession.createDataFrame([], f"draw long, {schema}")
 
-    def run(frames):  # noqa: ANN001, ANN202
-        for df in frames:
-            result = []
-            for draw in df["id"].tolist():
-                start = hashlib.md5(f"{seed}|{draw}|".encode())
-                keys = bytearray()
-                for name in names:
-                    h = start.copy()
-                    h.update(name)
-                    keys += h.digest()[:8]
-                at = np.argsort(np.frombuffer(bytes(keys), ">u8"), kind="stable")[:size]
-                n = known[at].sum(axis=0)
-                means = np.where(n > 0, filled[at].sum(axis=0) / np.maximum(n, 1), np.nan)
-                if peak is not None:
-                    means = np.round(means, peak)
-                    means = [np.nanmax(means) if (n > 0).any() else np.nan]
-                result.append((draw, *[None if np.isnan(x) else float(x) for x in means]))
-            yield pd.DataFrame(result, columns=["draw", *out])
-
-    return days.sparkSession.range(draws).repartition(max(1, min(draws, days.sparkSession.sparkContext.defaultParallelism))).mapInPandas(run, schema)
+    def means(at) -> list:  # noqa: ANN001
+        n = known[at].sum(axis=0)
+        m = np.where(n > 0, filled[at].sum(axis=0) / np.maximum(n, 1), np.nan)
+        if peak is not None:
+            m = [np.nanmax(np.round(m, peak)) if (n > 0).any() else np.nan]
+        return [None if np.isnan(x) else float(x) for x in m]
+
+    return D.over_draws(days.sparkSession, seed, draws, D.sampling(len(rows), size), means, schema)
 
 
 def p_of(null: DataFrame, observed: dict[str, float | None]) -> DataFrame:

@@ -60,6 +60,12 @@ def event_diffs(series: DataFrame, value: str, days: DataFrame, reach: int = 14)
     return at.join(v, "at").select("d", "k", (F.col("v") - F.col("base")).alias("diff"))
 
 
+def wide_diffs(diffs: DataFrame, reach: int = 14) -> DataFrame:
+    """``d`` and a column for each offset from 1 to ``reach`` of :func:`event_diffs`, a row for each day with a baseline."""
+    cells = [F.max(F.when(F.col("k") == k, F.col("diff"))).alias(str(k)) for k in range(1, reach + 1)]
+    return diffs.groupBy("d").agg(*cells)
+
+
 def event_curve(series: DataFrame, value: str, shocks: DataFrame, reach: int = 14) -> DataFrame:
     """``k, effect, n``: the mean difference over the shocks by offset, rounded to 6 places; null where none has it."""
     means = event_diffs(series, value, shocks, reach).groupBy("k").agg(F.round(F.avg("diff"), 6).alias("effect"), F.count("*").alias("n"))

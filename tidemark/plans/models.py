@@ -141,5 +141,11 @@ def synth_placebo(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def causal_ml_gate(spark: SparkSession, sf: str) -> DataFrame:
-    ml = WN.lag_features(V.dense(spark, sf), series.shocks_of(spark, sf))
-    return M.record(spark, M.causal_ml(ml, series.FEATURES, F.pmod(F.xxhash64(F.lit(SEED), "d"), F.lit(5)).cast("int"), DRAWS, SEED))
+    """By ridge fits."""
+    return M.record(spark, M.causal_ml(series.ml_table(spark, sf), series.FEATURES, DRAWS, SEED))
+
+
+@query()
+def causal_forest_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """By forests; a test holds them against data with a known effect."""
+    return M.record(spark, M.causal_ml(series.ml_table(spark, sf), series.FEATURES, DRAWS, SEED, forest=True))

@@ -10,7 +10,6 @@ from ..functions import text as T
 from ..operators import events as EV
 from ..operators import items as I
 from ..operators import matching as M
-from ..operators.permute import pairing_test
 from ..sources import readers as R
 from ..sources import views as V
 from ..sources.views import ITEMS_SQL
@@ -293,12 +292,6 @@ def week_buckets(spark, sf):  # noqa: ANN001, ANN201
     return V.table(spark, sf, "events").groupBy(T.week_of(d).alias("week"), F.weekday(d).alias("weekday")).agg(F.count("*").alias("n"))
 
 
-@query()
-def pairing_permutation(spark, sf):  # noqa: ANN001, ANN201
-    o = V.table(spark, sf, "region").select(F.col("r_regionkey").alias("id"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("r_regionkey") * 40).alias("a")).withColumn("b", F.date_add("a", F.col("id") * 9 + 5))
-    return pairing_test(o, 200, C.SEED)
-
-
 @query("SELECT page_id, page_id || ' title' AS title, DATE '2002-10-02' AS date, url, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www\\.', '') AS domain, 'text' AS description FROM pages")
 def feed_scan(spark, sf):  # noqa: ANN001, ANN201
     p = V.table(spark, sf, "pages").select("page_id", F.concat(F.lit("<rss><channel><item><title>"), F.col("page_id").cast("string"), F.lit(" title</title><link>"), F.regexp_replace("url", "&", "&amp;"), F.lit("</link><pubDate>Wed, 02 Oct 2002 13:00:00 GMT</pubDate><description>text</description></item></channel></rss>")).alias("payload"))

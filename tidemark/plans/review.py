@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import SEED
+from ..operators import draws as D
 from ..operators import events as EV
 from ..operators import gates as G
 from ..operators import matching as M
+from ..operators import models as MD
+from ..operators import permute as T
 from ..sources import views as V
 from . import models, records
 from .records import CLAIM_SQL, LAG_SQL, PAIR_SQL, TODAY, official_sql
@@ -56,6 +60,41 @@ def quota_matches(spark: SparkSession, sf: str) -> DataFrame:
     return M.temporal_correlations(known(e, "crisis"), known(e, "ufo"))
 
 
+QUOTA_SQL = f"""{CLAIM_SQL}, ev AS (SELECT category, fingerprint AS id, date, final_score AS score FROM best WHERE final_score >= 60 AND date IS NOT NULL), cand AS (SELECT c.id AS l, u.id AS r, CAST(u.date - c.date AS INT) AS gap, CAST(u.score + c.score AS BIGINT) AS score FROM ev c JOIN ev u ON c.category = 'crisis' AND u.category = 'ufo' AND abs(u.date - c.date) <= 60),
+{GREEDY_SQL.rpartition("SELECT l, r")[0].rstrip()},
+qp AS (SELECT ev.date AS a, ev.date + gap AS b FROM o JOIN rec USING (k) JOIN ev ON ev.category = 'crisis' AND ev.id = l WHERE took)"""
+GAP_SQL = "gs AS (SELECT count(*) AS n, round(coalesce(avg(b - a), 0), 6) AS mean_gap, round(coalesce(avg(abs(b - a)), 0), 6) AS mean_abs, count(*) FILTER (b - a BETWEEN 0 AND 30) AS within_30, count(*) FILTER (b - a BETWEEN 0 AND 60) AS within_60, count(*) FILTER (b >= a) AS positive, count(*) FILTER (b < a) AS negative FROM qp)"
+
+
+def matched_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """``a, b``: the days of crises and of the outcomes matched to them under quotas."""
+    e = claims(spark, sf).select("category", "fingerprint", "date", "final_score")
+    crises = known(e, "crisis")
+    pairs = M.temporal_correlations(crises, known(e, "ufo"))
+    return pairs.join(crises.select(F.col("id").alias("l"), F.col("date").alias("a")), "l").select("a", F.date_add("a", F.col("gap")).alias("b"))
+
+
+@query(f"WITH RECURSIVE {QUOTA_SQL}, {GAP_SQL} SELECT * FROM gs")
+def gap_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return T.gap_stats(matched_pairs(spark, sf)).select("n", F.round("mean_gap", 6).alias("mean_gap"), F.round("mean_abs", 6).alias("mean_abs"), "within_30", "within_60", "positive", "negative")
+
+
+PAIRINGS = 20_000
+
+
+@query(
+    f"""WITH RECURSIVE {QUOTA_SQL}, {GAP_SQL}, hb AS MATERIALIZED (SELECT n, {D.HALF_SQL} AS h FROM gs), pa AS MATERIALIZED (SELECT a, row_number() OVER (ORDER BY a) - 1 AS r FROM qp), pb AS MATERIALIZED (SELECT b, row_number() OVER (ORDER BY b) - 1 AS x FROM qp),
+walk AS (SELECT draw, r, {D.network_sql('r', 'draw', SEED, 'h')} AS x FROM range(0, {PAIRINGS}) AS t(draw), pa, hb UNION ALL SELECT draw, r, {D.network_sql('x', 'draw', SEED, 'h')} FROM walk, hb WHERE x >= n),
+nu AS (SELECT draw, sum(abs(b - a)) AS t, count(*) FILTER (b - a BETWEEN 0 AND 30) AS w30, count(*) FILTER (b - a BETWEEN 0 AND 60) AS w60 FROM walk JOIN pa USING (r) JOIN pb USING (x) GROUP BY draw)
+SELECT (SELECT n FROM gs) AS n, count(*) AS draws, coalesce(avg(CAST(t <= (SELECT sum(abs(b - a)) FROM qp) AS INT)), 1) AS p_abs, coalesce(avg(CAST(w30 >= (SELECT within_30 FROM gs) AS INT)), 1) AS p_30, coalesce(avg(CAST(w60 >= (SELECT within_60 FROM gs) AS INT)), 1) AS p_60,
+  (SELECT CASE WHEN any_value(n) IS NULL THEN 1 ELSE round(sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))), 6) END FROM gs, range(0, 100000) AS s(i) WHERE i BETWEEN positive AND n) AS p_direction FROM nu"""
+)
+def pairing_permutation(spark: SparkSession, sf: str) -> DataFrame:
+    """How often pairing the matched days anew comes as close as they are."""
+    got = T.pairing_of(matched_pairs(spark, sf), PAIRINGS, SEED)
+    return MD.record(spark, {k: got[k] for k in ("n", "draws", "p_abs", "p_30", "p_60")} | {"p_direction": round(got["p_direction"], 6)})
+
+
 @query(f"WITH RECURSIVE {CLAIM_SQL}, {HISTORY_SQL}, cand AS (SELECT h.title AS l, u.fingerprint AS r, CAST(u.date - h.date AS INT) AS gap, CAST(u.final_score AS BIGINT) AS score FROM hist h JOIN best u ON u.category = 'ufo' AND u.final_score >= 60 AND abs(u.date - h.date) <= 60 WHERE h.date >= DATE '{TODAY}' - 180), {GREEDY_SQL}")
 def history_matches(spark: SparkSession, sf: str) -> DataFrame:
     """Curated cases of the last 180 days against claims, under the same quotas."""

@@ -16,6 +16,7 @@ from ..operators import windows as WN
 from ..sources import readers as R
 from ..sources import sinks as K
 from ..sources import views as V
+from ..sources.shared import shared_table
 from ..sources.views import DENSE_SQL, PANEL_SQL, SHOCKS_SQL
 
 #: The draws of the window test and of the placebo tests, and the windows of the latter.
@@ -138,8 +139,10 @@ def event_study_peak(spark, sf):  # noqa: ANN001, ANN201
     panel, shocks = V.panel(spark, sf), shocks_of(spark, sf)
     diffs = WN.event_diffs(panel, "outcome", panel)
     curve = diffs.join(F.broadcast(shocks.select("d")), "d", "left_semi").where("k >= 1").groupBy("k").agg(F.round(F.avg("diff"), 6).alias("m"))  # at most a row a day
+    seen = curve.agg(F.coalesce(F.max("m"), F.lit(0.0)).alias("peak")).first()["peak"]
     pool = T.placebo_pool(diffs.select("d").distinct(), shocks, 14)  # days with a baseline
-    return T.peak_test(diffs, T.hash_draws(pool, shocks.agg(F.count("*").alias("m")), PLACEBOS, SEED), curve.agg(F.max("m").alias("peak")))
+    null = T.null_table(WN.wide_diffs(diffs), [str(k) for k in range(1, 15)], pool, shocks.count(), PLACEBOS, SEED, peak=6)
+    return T.p_of(null, {"peak": seen}).select(F.lit(seen).alias("peak"), F.coalesce("p", F.lit(1.0)).alias("p"), "draws")
 
 
 LAG_SQL = f"{DENSE_SQL}, c AS (SELECT CAST(k AS INT) AS lag, round(CASE WHEN count(*) >= 3 AND stddev_pop(a.crisis) > 0 AND stddev_pop(b.adj) > 0 THEN covar_pop(a.crisis, b.adj) / (stddev_pop(a.crisis) * stddev_pop(b.adj)) ELSE 0 END, 6) AS corr, count(*) AS n FROM dense a, range(-30, 31) AS r(k) JOIN dense b ON b.d = a.d + CAST(k AS INT) GROUP BY k)"
@@ -296,10 +299,15 @@ def ate_residual(spark, sf):  # noqa: ANN001, ANN201
     return E.orthogonal_effects(ml).select(*r6("ate", "att"), "n", "treated")
 
 
+def ml_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The features with their folds, computed once: fits read them several times."""
+    return shared_table(E.seeded_folds(WN.lag_features(V.dense(spark, sf), shocks_of(spark, sf)), 5, SEED + 9), "ml-features")
+
+
 @query()
 def causal_cross_fit(spark, sf):  # noqa: ANN001, ANN201
-    ml = WN.lag_features(V.dense(spark, sf), shocks_of(spark, sf))
-    fit = E.cross_fit(ml, FEATURES, F.pmod(F.xxhash64(F.lit(SEED), "d"), F.lit(5)).cast("int"), 5)
+    """Folds of the recorded generator: no SQL; a test holds it against a plain version."""
+    fit = E.cross_fit(ml_table(spark, sf), FEATURES, F.col("fold"), 5)
     return E.orthogonal_effects(fit).crossJoin(E.overlap(fit)).select(*r6("ate", "att", "mean_treated", "mean_control", "p05", "p95", "share_inside"), "n", "treated")
 
 
