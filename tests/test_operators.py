@@ -122,6 +122,26 @@ def test_daily_stream(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     q = daily.upsert_stream(daily.daily_stream(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert q.awaitTermination(120)
-    last = max((tmp_path / "out").iterdir(), key=lambda p: int(p.name[1:]))
-    got = spark.read.parquet(str(last)).collect()
-    assert {(str(r.d), r.crisis, r.outcome, r.control) for r in got} == {("2024-01-01", 1, 1, 0), ("2024-01-02", 0, 0, 1)}
+    want = {("2024-01-01", 1, 1, 0), ("2024-01-02", 0, 0, 1)}
+    counts = lambda: {(str(r.d), r.crisis, r.outcome, r.control) for r in daily.read_days(spark, str(tmp_path / "out")).collect()}
+    assert counts() == want
+    # a second run of the stream rewrites its own months only, and the first run's rows of other days stay
+    more = spark.createDataFrame([(4, "2024-02-03 01:00:00", "error"), (5, "2024-01-02 09:00:00", "purchase")], "event_id long, ts string, event_type string").withColumn("ts", F.to_timestamp("ts"))
+    more.write.mode("append").parquet(str(tmp_path / "in"))
+    assert daily.upsert_stream(daily.daily_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    assert counts() == {("2024-01-01", 1, 1, 0), ("2024-01-02", 0, 1, 1), ("2024-02-03", 1, 0, 0)}
+
+
+def test_upsert_of_days_touches_their_months_only(spark, tmp_path):
+    path = str(tmp_path / "panel")
+    row = lambda d, n: spark.createDataFrame([(datetime.date.fromisoformat(d), n)], "d date, n long")
+    for d, n in (("2024-01-01", 1), ("2024-01-20", 2), ("2024-03-01", 3)):
+        daily.upsert_days(row(d, n), path)
+    january = lambda: sorted(p.name for p in (tmp_path / "panel" / "month=2024-01-01").iterdir())
+    before = january()
+    daily.upsert_days(row("2024-03-01", 9), path)
+    daily.upsert_days(row("2024-03-01", 9).limit(0), path)
+    assert january() == before and not [p for p in tmp_path.iterdir() if "-new-" in p.name]
+    daily.upsert_days(row("2024-01-20", 5), path)
+    daily.upsert_days(row("2024-01-20", 5), path)
+    assert {(str(r.d), r.n) for r in daily.read_days(spark, path).collect()} == {("2024-01-01", 1), ("2024-01-20", 5), ("2024-03-01", 9)}

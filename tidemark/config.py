@@ -104,6 +104,10 @@ PANEL_TOPICS = {
     "weather": ["weather", "storm", "hurricane", "tornado", "flood", "heatwave", "blizzard", "rainfall", "wildfire"],
     "technology": ["ai", "artificial intelligence", "chip", "software", "technology", "apple", "google", "microsoft", "openai"],
 }
+#: What the country controls look for.
+COUNTRY_UFO = ["ufo", "uap", "alien", "extraterrestrial", "non-human", "nonhuman", "unidentified aerial"]
+COUNTRY_POLICY = ["government", "congress", "senate", "house", "pentagon", "defense", "official", "ministry", "parliament", "doj", "fbi", "hearing", "committee", "white house"]
+COUNTRY_CRISIS = ["indictment", "scandal", "investigation", "arrest", "impeach", "subpoena", "corruption", "charges", "special counsel", "grand jury", "obstruction", "classified"]
 
 WINDOWS = (3, 7, 10, 14, 30)
 MEAN_WINDOWS = (7, 14, 30)

@@ -126,8 +126,8 @@ FEED = "title string, link string, id string, pubDate string, published string,
 ATOM = "title string, link array<struct<_href: string, _rel: string>>, id string, published string, updated string, summary string, content string"
 
 
-def feed_items(payloads: DataFrame, payload: str = "payload", most: int = 30) -> DataFrame:
-    """Entries of RSS payloads, or else of Atom ones, one row each; other columns of ``payloads`` describe the source. Entries without a title go."""
+def feed_items(payloads: DataFrame, payload: str = "payload", most: int = 30, chars: int | None = 500) -> DataFrame:
+    """Entries of RSS payloads, or else of Atom ones, one row each; other columns of ``payloads`` describe the source. Entries without a title go; descriptions are cut to ``chars``."""
     other = [c for c in payloads.columns if c != payload]
     parsed = F.from_xml(F.col(payload), f"channel struct<item: array<struct<{_fields(FEED)}>>>, item array<struct<{_fields(FEED)}>>, entry array<struct<{ATOM}>>")
     text = F.lit(None).cast("string")
@@ -136,7 +136,8 @@ def feed_items(payloads: DataFrame, payload: str = "payload", most: int = 30) ->
     raw = F.coalesce("e.pubDate", "e.published", "e.updated")
     link = F.coalesce(F.nullif("e.link", F.lit("")), "e.id")
     ts = feed_timestamp(raw)
-    return rows.select(*other, "ord", normalize(F.col("e.title")).alias("title"), F.coalesce(F.to_date(ts), date_from_url(link)).alias("date"), ts.alias("published_at"), raw.alias("raw_date"), (ts.isNotNull() | date_from_url(link).isNotNull()).alias("date_parsed_ok"), (ts.isNull() & date_from_url(link).isNotNull()).alias("date_inferred_from_url"), link.alias("url"), domain_of(link).alias("domain"), F.substring(strip_html(F.coalesce("e.description", "e.summary", "e.content")), 1, 500).alias("description"), F.col("e.source").alias("publisher_name")).where("title <> ''")
+    body = strip_html(F.coalesce("e.description", "e.summary", "e.content"))
+    return rows.select(*other, "ord", normalize(F.col("e.title")).alias("title"), F.coalesce(F.to_date(ts), date_from_url(link)).alias("date"), ts.alias("published_at"), raw.alias("raw_date"), (ts.isNotNull() | date_from_url(link).isNotNull()).alias("date_parsed_ok"), (ts.isNull() & date_from_url(link).isNotNull()).alias("date_inferred_from_url"), link.alias("url"), domain_of(link).alias("domain"), (body if chars is None else F.substring(body, 1, chars)).alias("description"), F.col("e.source").alias("publisher_name")).where("title <> ''")
 
 
 def reddit_items(payloads: DataFrame, payload: str = "payload") -> DataFrame:
