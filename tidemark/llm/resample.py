@@ -169,8 +169,8 @@ def draw(scored: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS)
     for r in sizes:
         starts.append((r["p"], base))
         base += r["n"]
-    from_ = scored.sparkSession.createDataFrame(starts, "p long, base long")
-    ranked = placed.withColumn("p", part).join(F.broadcast(from_), "p").withColumn("rank", F.col("base") + place + 1)  # a row for each range
+    base_of = scored.sparkSession.createDataFrame(starts, "p long, base long")
+    ranked = placed.withColumn("p", part).join(F.broadcast(base_of), "p").withColumn("rank", F.col("base") + place + 1)  # a row for each range
     ranked = ranked.withColumn("rank", F.when(F.col("rank") <= wanted, F.col("rank"))).select(*scored.columns, "rank")
     return ranked.unionByName(scored.where(~F.coalesce(near, F.lit(False))).withColumn("rank", F.lit(None).cast("long")))
 
