@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from .common import dropped, written
 SALTS = 16
 #: A key with more than one in so many rows is a hub.
 HEAVY = 500
+#: Edges that a task of a round may have: a graph of few edges needs no more tasks than that.
+EDGES = 100_000
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: str, how: str = "inner", merge: bool = True, hot: str | None = None) -> DataFrame:
@@ -41,11 +45,11 @@ def heavy_join(big: DataFrame, small: DataFrame, keys: list[str], spread: str, c
     return marked.join(dealt.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, few: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links the (larger, or smaller and own) neighbours of each node u to the least of u and its neighbours."""
     near = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = salted_join(near, least, ["u"], "v")
+    least = few(near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+    joined = few(salted_join(near, least, ["u"], "v"))
     moved = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")) if large else joined.select("v", "m").union(least.select("u", "m")).toDF("u", "v")
     return moved.where("u <> v")
 
@@ -54,7 +58,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """``u, component``: for each node of ``edges (u, v)`` the least node that it reaches. Nulls and loops are ignored.
 
     Each round is a table; the one before it is deleted. The rounds end when edge count and hash sum, observed while
-    a table is written, stay the same.
+    a table is written, stay the same. The count also says how many tasks the next round needs.
     """
     now, at = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), None
     seen = None
@@ -66,5 +70,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         at, got = table, seen_by.get
         if not got.get("n") or got == seen:
             break
-        seen, now = got, _star(_star(at, True), False).distinct()
+        tasks = max(1, -(-got["n"] // EDGES))
+        few = (lambda df, n=tasks: df.coalesce(n)) if tasks < int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")) else (lambda df: df)
+        seen, now = got, few(_star(_star(at, True, few), False, few).distinct())
     return at.select("u", F.col("v").alias("component")).union(at.select(F.col("v").alias("u"), F.col("v").alias("component")).distinct())

@@ -163,9 +163,9 @@ def _grid_of(members: DataFrame) -> DataFrame:
     return apart.select(*cols).unionByName(held.select(*cols)).select(F.xxhash64("group", "q", "b").alias("key"), "id", "comp", "first", "_set")
 
 
-def _open(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-    """``group, size, id, comp`` of the buckets ``(id, bucket)`` that hold several components. Buckets of the same few documents count once."""
-    at = written(buckets.join(comps, "id"), "near-at")
+def _open(banded: DataFrame, comps: DataFrame) -> DataFrame:
+    """``group, size, id, comp`` of the buckets of ``banded (id, bands)`` that hold several components. Buckets of the same few documents count once."""
+    at = written(banded.join(comps, "id").select("id", "comp", F.explode("bands").alias("bucket")), "near-at")
     stats = written(at.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "size"), "near-open")
     rows = salted_join(at, stats, ["bucket"], "id")
     few = rows.where(F.col("size") <= BLOCK).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("id", "comp"))).alias("m")).groupBy("m").agg(F.min("bucket").alias("group"))
@@ -210,14 +210,14 @@ def _links(base: DataFrame, same: DataFrame, k: int, percent: int) -> DataFrame:
     wide = written(wide.join(some.where("NOT little").select("id"), "id", "left_semi"), "near-wide")
     if wide.isEmpty():
         return more(rows)
-    groups = _open(buckets.join(wide.select("id"), "id", "left_semi"), comp)
+    groups = _open(same.select(F.col("rep").alias("id"), "bands").join(wide.select("id"), "id", "left_semi"), comp)
     links = more(rows.unionByName(_blocks_of(groups.join(wide, "id"))))
     crowd = groups.where(F.col("size") > BLOCK).select("id").distinct()
     if crowd.isEmpty():
         return links
     # of crowded buckets, the buckets of longer bands: small ones whole, crowded ones block by block
     fine = written(wide.join(crowd, "id", "left_semi").mapInPandas(_fine, "id long, bands array<long>"), "near-fine")
-    groups = _open(fine.select("id", F.explode("bands").alias("bucket")), comps())
+    groups = _open(fine, comps())
     if groups.isEmpty():
         return links
     rows = groups.join(wide, "id")
