@@ -18,23 +18,29 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Elements of HTML by role.
-RAW = frozenset("script style noscript template textarea title svg iframe object canvas math xmp".split())
+RAW = frozenset("script style noscript template textarea title svg iframe object canvas annotation annotation-xml xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 OUTSIDE = frozenset("nav footer aside form menu dialog button select option label fieldset head".split())
+FORMS = frozenset("form fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Open blocks that the start of another ends; a paragraph is ended by any.
 ENDED_BY = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"td", "th", "tr", "p"}}
 #: Words of names in class, id and role that mark a part of a page as no article, and words that may stand beside them.
+INTRUDERS = frozenset("cookie cookies consent gdpr newsletter subscribe subscription signup popup modal".split())
 ADS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners".split())
 COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
 HEADS = frozenset("header masthead".split())
-MARKS = ADS | COMMENTS | HEADS | frozenset("sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent notice notices gdpr alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations widget widgets pagination pager toolbar copyright legal disclaimer contentinfo complementary hidden skip".split())
+#: Marks of readers' talk, but in an article the name of a section.
+TALK = frozenset("discussion discussions".split())
+MARKS = ADS | COMMENTS | HEADS | INTRUDERS | TALK | frozenset("sidebar menu nav navbar navigation breadcrumb breadcrumbs footer notice notices alert overlay login search share sharing social related recommended recommendations widget widgets pagination pager toolbar copyright legal disclaimer contentinfo complementary hidden skip".split())
 BESIDE = frozenset("area articles bar bottom box block body bottom button buttons card col column container content form group head holder inner item items left link links list main mobile outer page panel post posts primary right row secondary section site slot stories text title top unit wrap wrapper".split())
 OWN_HEADS = frozenset("article blog content entry news page post section story title".split())
 #: Left out with all they hold; left out by name only, but for articles inside.
 OUT, NAMED = 2, 1
-ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden|lang)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Attributes one after another, so that a name inside a value, or at the end of another name, is none.
+ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+ASKED = frozenset("class id role style hidden aria-hidden href".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)""", re.S)
 WORD = re.compile(r"[^\W\d_]+")
 #: Frequent function words of the languages handled.
@@ -66,16 +72,16 @@ def mark(name: str) -> frozenset[str]:
     return found - HEADS if found & HEADS and any(w in OWN_HEADS for w in parts) else found
 
 
-def _left_out(tag: str, attrs: dict[str, str], part: int) -> int:
-    """Whether an element is left out: OUT, NAMED, or 0."""
+def _left_out(tag: str, attrs: dict[str, str], part: int, forms: bool) -> int:
+    """Whether an element is left out: OUT, NAMED, or 0. With ``forms``, a form is but a wrapper."""
     hidden = "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").lower().replace(" ", "")
-    if tag in OUTSIDE or tag == "header" and not part or hidden:
+    if tag in OUTSIDE and not (forms and tag in FORMS) or tag == "header" and not part or hidden:
         return OUT
     if tag in ("html", "body", "main"):
         return 0
     found = frozenset().union(*(mark(x) for k in ("class", "id", "role") for x in attrs.get(k, "").split()))
     if part:  # an article's headings and paragraphs are its own, whatever they are called, and so is its header
-        found = found & ADS if tag == "p" else frozenset() if tag in HEADINGS else found - HEADS
+        found = found & (ADS | INTRUDERS) if tag == "p" else frozenset() if tag in HEADINGS else found - HEADS - TALK
     if found & COMMENTS:
         return OUT
     if not found or tag == "article":
@@ -83,10 +89,11 @@ def _left_out(tag: str, attrs: dict[str, str], part: int) -> int:
     return OUT if part else NAMED
 
 
-def blocks_of(html: str, names: bool = True) -> list[tuple[str, int, str, int]]:
+def blocks_of(html: str, names: bool = True, forms: bool = False, raw: frozenset[str] = RAW) -> list[tuple[str, int, str, int]]:
     """``(text, characters in links, tag, part)`` of each block outside menus, forms and the like. part: 0 outside any article, else the article's number.
 
-    Without ``names``, what is left out by name only comes along. Every step looks at the top of its stack only, so
+    Without ``names``, what is left out by name only comes along; with ``forms``, what stands in forms; elements of
+    ``raw`` are skipped unread. Every step looks at the top of its stack only, so
     work follows the page's length however deep it is nested.
     """
     out: list[tuple[str, int, str, int]] = []
@@ -111,6 +118,15 @@ def blocks_of(html: str, names: bool = True) -> list[tuple[str, int, str, int]]:
         while opened and opened[-1] >= i:
             opened.pop()
 
+    def end_inline(tag: str) -> None:
+        """An inline element ends, and those in it, but no block around it."""
+        if count.get(tag):
+            i, floor = len(stack) - 1, opened[-1] if opened else 0
+            while i > floor and stack[i][0] != tag:
+                i -= 1
+            if i > floor:
+                close(i)
+
     def add(text: str) -> None:
         if text and not stack[-1][1]:
             buf.append(text)
@@ -138,14 +154,10 @@ def blocks_of(html: str, names: bool = True) -> list[tuple[str, int, str, int]]:
                     close(opened[-1])
                     if found == tag:
                         break
-            elif count.get(tag):  # an inline element ends, and those in it, but no block around it
-                i, floor = len(stack) - 1, opened[-1] if opened else 0
-                while i > floor and stack[i][0] != tag:
-                    i -= 1
-                if i > floor:
-                    close(i)
+            else:
+                end_inline(tag)
             continue
-        if tag in RAW:
+        if tag in raw:
             if not m[3].rstrip().endswith("/"):
                 end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
                 at = end.end() if end else n
@@ -159,10 +171,14 @@ def blocks_of(html: str, names: bool = True) -> list[tuple[str, int, str, int]]:
             add(" ")
         if tag in VOID:
             continue
+        attrs = {x: v.strip("\"'") for k, v in ATTR.findall(m[3]) if (x := k.lower()) in ASKED} if m[3].strip() else {}
+        if tag == "a":
+            end_inline("a")  # links don't nest
+            if "href" not in attrs:  # an anchor holds no text of its own, and often has no end
+                continue
         _, out_now, part, around = stack[-1]
         if out_now != OUT:
-            attrs = {k.lower(): (v or "").strip("\"'") for k, v in ATTR.findall(m[3])} if m[3].strip() else {}
-            left = _left_out(tag, attrs, part)
+            left = _left_out(tag, attrs, part, forms)
             article = tag in ("article", "main")
             if left == OUT or left == NAMED and names:
                 out_now = left
@@ -194,8 +210,11 @@ def label(text: str, linked: int, tag: str, part: int, fits: bool) -> str:
     if part:
         limit = 1.0 if tag in HEADINGS else LINKED_PARAGRAPH if tag in ("p", "blockquote") else LINKED_ITEM
         return "bad" if share > limit else "good" if size >= SHORT else "short"
-    if share > LINKED or size < LONG and RIGHTS.search(text):
+    if size < LONG and RIGHTS.search(text):
         return "bad"
+    if share > LINKED:  # a sentence full of links goes with its neighbours
+        prose = tag in ("p", "blockquote") and size >= SHORT and share <= LINKED_PARAGRAPH and ENDS.search(text)
+        return "short" if prose and (not fits or stop_words(text)[0] >= SPARSE * stop_words(text)[1]) else "bad"
     if size < SHORT:
         return "short" if tag in HEADINGS or not linked else "bad"
     sentence = bool(ENDS.search(text))
@@ -229,15 +248,32 @@ def _with_article(blocks: list[tuple[str, int, str, int]]) -> list[tuple[str, in
     return inside
 
 
+#: A page's text is that of its forms if these hold so many times as much as all else.
+MORE = 3
+
+
 def main_text(html: str) -> tuple[str, int, int]:
-    """The text of a page's article, the number of its blocks and of those kept."""
+    """The text of a page's article, the number of its blocks and of those kept.
+
+    Where forms hold most of the text, they are the page. Where nothing is left, what was left out by name comes along,
+    and at last what is meant for readers without scripts.
+    """
+    low = html.lower()
     found = _kept(html, True)
-    return found if found[2] else _kept(html, False)
+    forms = "<form" in low and len((wide := _kept(html, True, True))[0]) > MORE * len(found[0])
+    if forms:
+        found = wide
+    for names, raw in ((False, RAW), (True, RAW - {"noscript"})):
+        if not found[2] and (raw is RAW or "<noscript" in low):
+            found = _kept(html, names, forms, raw)
+    return found
 
 
-def _kept(html: str, names: bool) -> tuple[str, int, int]:
-    blocks = _with_article(blocks_of(html, names))
+def _kept(html: str, names: bool, forms: bool = False, raw: frozenset[str] = RAW) -> tuple[str, int, int]:
+    blocks = _with_article(blocks_of(html, names, forms, raw))
     labels = _labelled(blocks)
+    if "good" not in labels:  # verse, recipes, talk: with nothing long to go by, short blocks are the text
+        labels = ["good" if x == "short" else x for x in labels]
     n = len(blocks)
     after: list[int] = [n] * n
     for i in range(n - 2, -1, -1):

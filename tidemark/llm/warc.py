@@ -147,7 +147,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "warc")
     write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    page = lambda c: F.regexp_extract(c, r"(-?\d+)>$", 1).try_cast("long")
+    page = lambda c: F.regexp_extract(c, r"^<urn:x-page:(-?\d+)>$", 1).try_cast("long")  # noqa: E731  # the whole form: other ids are none
     records = written(read_archive(spark, path).select(page("record_id").alias("page_id"), "record_type", page("refers_to_id").alias("refers_to"), "declared_digest", "payload_bytes", "payload_digest"), "warc-records")
     full = records.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("declared_digest")).agg(F.max("payload_bytes").alias("b"))
     out = salted_join(records, full, ["refers_to", "declared_digest"], "page_id", "left", merge=False)
