@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemark import config
 from tidemark.functions import stats, text
-from tidemark.operators import catalogs, gates, items, shocks
+from tidemark.operators import catalogs, gates, items, order, shocks
+from tidemark.plans import catalog
 from tidemark.sources import readers, sinks
 
 D = datetime.date
@@ -104,3 +105,43 @@ def test_sinks(spark, tmp_path):
         sinks.append(df, str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).count() == 4
     assert values(sinks.append_new(df, df.union(spark.createDataFrame([(3, "c")], df.schema)), ["k"]), "k") == [(1,), (2,), (3,)]
+
+
+def test_lists_of_arguments():
+    assert config.gap_list("45, 60,,x,-3, 1.5,45", 30) == [30, 45, 60] and config.gap_list(None, 0) == [] and config.gap_list("7", -1) == [7]
+    assert config.category_filter(" Law, war ,law,") == {"law", "war"} and config.category_filter("") == set()
+    assert config.selected_queries(" a, b,a", ["a", "b", "c"]) == ["a", "b"]
+    for raw in ("", " , ", "a,z"):
+        with pytest.raises(ValueError):
+            config.selected_queries(raw, ["a", "b"])
+
+
+def test_official_names_with_and_without_aggregators(spark):
+    df = spark.createDataFrame([("Pentagon Releases",), ("Google News NASA",), ("BBC",), (None,)], "s string")
+    assert [tuple(r) for r in df.select(text.is_official(F.col("s")), text.names_official(F.col("s"))).collect()] == [(True, True), (False, True), (False, False), (False, False)]
+
+
+def test_order_over_all_rows(spark):
+    df = spark.range(5000).selectExpr("id", "hash(id) % 50 AS v").repartition(7)
+    got = {r.id: r.place for r in order.ranked(df, [F.col("v").desc(), F.col("id")]).collect()}
+    assert got == {r.id: k + 1 for k, r in enumerate(sorted(df.collect(), key=lambda r: (-r.v, r.id)))}
+    assert order.ranked(df.limit(0), [F.col("id")]).count() == 0
+
+
+def test_scraped_windows_against_recorded_draws(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(D(2024, 1, 1) + datetime.timedelta(k), int(rng.random() < 0.2), rng.randrange(4)) for k in range(200)]
+    dense = spark.createDataFrame(rows, "d date, crisis long, outcome long")
+    got = {r.w: r for r in catalog.scraped_test(dense, 80, 7).collect()}
+    y, days = {r[0]: r[2] for r in rows}, [r[0] for r in rows]
+    hit = [r[0] for r in rows if r[1]]
+    gen = random.Random(7)
+    draws = [gen.sample(days, len(hit)) for _ in range(80)]
+    for w, r in got.items():
+        at = {d: sum(y.get(d + datetime.timedelta(k), 0) - y.get(d - datetime.timedelta(k), 0) for k in range(1, w + 1)) for d in days}
+        mean = lambda x: sum(at[d] for d in x) / len(x)  # noqa: B023, E731
+        assert r.sufficient and abs(r.effect - mean(hit)) < 1e-9
+        assert r.p == sum(round(mean(x), 9) >= round(mean(hit), 9) for x in draws) / 80
+    assert not catalog.scraped_test(dense.where("d < '2024-02-01'"), 80, 7).first().sufficient

@@ -143,3 +143,27 @@ POLICIES = {p.name: p for p in (STRICT, STRICT_BALANCED, LENIENT)}
 def policy(name: str | None) -> Policy:
     """The policy of a name; unknown names mean strict."""
     return POLICIES.get((name or "").strip().lower(), STRICT)
+
+
+def listed(raw: str | None) -> list[str]:
+    """The parts of a list with commas, without blanks around them or empty ones, each once."""
+    return list(dict.fromkeys(p for x in str(raw or "").split(",") if (p := x.strip())))
+
+
+def gap_list(raw: str | None, fallback: int) -> list[int]:
+    """The positive whole numbers of a list and the fallback, if it is positive, in order; other parts are ignored."""
+    numbers = {int(p) for p in listed(raw) if p.removeprefix("+").isdecimal() and p.isascii()}
+    return sorted(n for n in numbers | {fallback} if n > 0)
+
+
+def category_filter(raw: str | None) -> set[str]:
+    return {p.lower() for p in listed(raw)}
+
+
+def selected_queries(raw: str | None, known: list[str]) -> list[str]:
+    """The queries of a list; an error for none, or for one that isn't known."""
+    asked = listed(raw)
+    odd = [q for q in asked if q not in known]
+    if odd or not asked:
+        raise ValueError(f"unknown queries: {odd}; known are {sorted(known)}" if odd else "no queries")
+    return asked

@@ -70,6 +70,11 @@ def is_official(source: Column) -> Column:
     return F.lower(F.coalesce(source, F.lit(""))).rlike("|".join(C.OFFICIAL_HINTS)) & ~is_aggregator(source)
 
 
+def names_official(source: Column) -> Column:
+    """The review's test: an official name, be it an aggregator's; a null source is none."""
+    return F.lower(F.coalesce(source, F.lit(""))).rlike("|".join(C.OFFICIAL_HINTS))
+
+
 def immigration_context(text: Column, has=any_keyword) -> Column:  # noqa: ANN001
     """``text`` may be what :func:`found_keywords` found, with ``has`` as :func:`any_of`."""
     return has(text, ["alien", "aliens"]) & ~has(text, C.ALIEN_ANCHORS) & has(text, C.IMMIGRATION_CONTEXT)

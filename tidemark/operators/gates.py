@@ -88,9 +88,9 @@ def mechanism(events: DataFrame, history: DataFrame, pairs: DataFrame, min_event
     ``events (primary_source, sources, lag_days)``, ``history (total, official)`` and ``pairs`` as summed up by
     :func:`pair_summary`. Lead events are those of lags where any is known, else of strict pairs, else of official primary sources that media follow.
     """
-    primary = T.is_official(F.col("primary_source"))
+    primary = T.names_official(F.col("primary_source"))
     listed = F.array_distinct(F.array_compact(F.concat(F.array("primary_source"), F.coalesce("sources", F.array().cast("array<string>")))))
-    official, other = F.exists(listed, T.is_official), F.exists(listed, lambda s: ~T.is_official(s))
+    official, other = F.exists(listed, T.names_official), F.exists(listed, lambda s: ~T.names_official(s))
     lag = F.col("lag_days")
     e = events.agg(F.count("*").alias("events"), F.count_if(official).alias("official_involved"), F.count_if(primary).alias("official_primary"), F.count_if(primary & other).alias("official_primary_followed"), F.count_if(~primary & official).alias("media_primary_official_second"), F.count(lag).alias("lags_known"), F.count_if(lag >= 0).alias("lag_leads"), F.round(F.avg(lag), 6).alias("lag_mean"), F.round(F.percentile(lag, 0.5), 6).alias("lag_q50"))
     df = e.join(F.broadcast(history.toDF("history_events", "history_official"))).join(F.broadcast(pairs))  # a row each

@@ -9,19 +9,25 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import text as T
 from ..functions.once import once
-from ..sources.shared import shared_table
+from ..sources.shared import dropped, shared_table
+from .graph import components
 
 
-def band_join(left: DataFrame, right: DataFrame, on_left: str, on_right: str, before: int, after: int, keys: list[str] | None = None) -> DataFrame:
+def band_join(left: DataFrame, right: DataFrame, on_left: str, on_right: str, before: int, after: int, keys: list[str] | None = None, salts: int = 1) -> DataFrame:
     """Pairs with ``-before <= right day - left day <= after`` (and equal ``keys``), through an equi-join on spans of days instead of a nested loop.
 
-    The right side goes to its own span, the left to all that its band touches, so each pair meets once. Column names must differ.
+    The right side goes to its own span, the left to all that its band touches, so each pair meets once. With ``salts``,
+    a span's left rows are dealt out to so many parts, each of which has its right rows. Column names must differ.
     """
     width = max(1, before + after)
     span = lambda d: F.floor(F.unix_date(d) / width)
     l2 = left.withColumn("_span", F.explode(F.sequence(span(F.date_sub(F.col(on_left), before)), span(F.date_add(F.col(on_left), after)))))
     r2 = right.withColumn("_span", span(F.col(on_right)))
-    return l2.join(r2, [*(keys or []), "_span"]).where(F.datediff(on_right, on_left).between(-before, after)).drop("_span")
+    if salts > 1:
+        l2 = l2.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+        r2 = r2.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    on = [*(keys or []), "_span", *(["_salt"] if salts > 1 else [])]
+    return l2.join(r2, on).drop("_salt").where(F.datediff(on_right, on_left).between(-before, after)).drop("_span")
 
 
 def profile(items: DataFrame) -> DataFrame:
@@ -65,9 +71,14 @@ def official_media_pairs(items: DataFrame, max_lag: int = 30, min_semantic: int
     good = shared_table(profile(items.where((F.col("category") == "ufo") & (F.col("base_score") >= min_base) & F.col("date").isNotNull())).withColumn("tokens", F.sort_array("tokens")), "profiled-items")
     tags = ["action", "topic", "actor"]
     official = good.where("official").select("ord", "date", *tags, "tokens")
-    media = good.where("NOT official").select("ord", "source_type", "weight", "date", "published_at", "aggregator", "publisher", "domain", *tags, "tokens")
-    direct = media.where("NOT aggregator AND domain <> ''").select(F.col("domain").alias("publisher")).distinct().withColumn("mirrored", F.lit(True))
-    media = media.join(direct, "publisher", "left").select(*[F.col(c).alias(f"m_{c}") for c in media.columns], F.coalesce("mirrored", F.lit(False)).alias("m_mirrored"))
+    name = lambda c: F.lower(T.normalize(F.col(c)))
+    published = F.lower("publisher_name") if "publisher_name" in good.columns else F.lit(None).cast("string")
+    media = good.where("NOT official").select("ord", "source_type", "weight", "date", "published_at", "aggregator", "publisher", "domain", *tags, "tokens", T.normalize(published).alias("_by"), name("source").alias("_source"))
+    direct = media.where("source_type = 'rss' AND NOT aggregator AND weight >= 2")
+    known = lambda c, to: direct.where(F.coalesce(c, F.lit("")) != "").select(F.lower(c).alias(to)).distinct().withColumn(f"{to}_known", F.lit(True))
+    media = media.withColumn("_at", F.lower("publisher")).join(known("domain", "_at"), "_at", "left").join(known("_source", "_by"), "_by", "left").withColumn("mirrored", F.coalesce("_at_known", "_by_known", F.lit(False)))
+    media = media.drop("_at", "_by", "_source", "_at_known", "_by_known")
+    media = media.select(*[F.col(c).alias(f"m_{c}") for c in media.columns])
 
     def shared(df: DataFrame, tokens: str) -> DataFrame:
         worth = lambda keys, n: F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(n).alias("worth")))
@@ -109,30 +120,70 @@ def best_pair(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("m_ord").agg(F.min_by(F.struct(*rest), order).alias("p")).select("m_ord", "p.*")
 
 
+#: Rounds that take many pairs at once, before what hangs together is decided pair after pair, and pairs that one task may so decide.
+ROUNDS, FOLD = 4, 500_000
+#: Parts that the events of one span of days are dealt into, as most events may lie in one.
+SALTS = 32
+
+
+def _folded(pairs: DataFrame) -> DataFrame:
+    """The choice of one pair after another in each ``part`` of ``pairs (part, l, r, gap, score, o, lq, rq)``."""
+
+    def choose(df):  # noqa: ANN001, ANN202
+        left: dict = {}
+        right: dict = {}
+        keep = []
+        for l, r, lq, rq in zip(df["l"], df["r"], df["lq"], df["rq"]):
+            a, b = left.get(l, lq), right.get(r, rq)
+            if a > 0 and b > 0:
+                left[l], right[r] = a - 1, b - 1
+                keep.append(True)
+            else:
+                keep.append(False)
+        return df.loc[keep, ["l", "r", "gap", "score"]]
+
+    schema = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("l", "r", "gap", "score"))
+    order = [F.col("o.a"), F.col("o.b"), F.col("o.c"), F.col("o.d"), F.col("o.e")]
+    numbered = pairs.withColumn("k", F.row_number().over(W.partitionBy("part").orderBy(*order))).drop("o")
+    return numbered.groupBy("part").applyInPandas(lambda df: choose(df.sort_values("k")), schema)
+
+
 def quota_match(pairs: DataFrame, left_quota: int = 3, right_quota: int = 2) -> DataFrame:
     """``pairs (l, r, gap, score)`` that are taken in order (later first, smaller gaps, higher scores, then l and r), each pair once and each side at most its quota of times.
 
-    In rounds: a pair among the first that either side can still take is taken, whatever lies between, so a round takes
-    many pairs at once and the choice is that of one pair after another. No group of pairs is collected.
+    A few rounds first: a pair among the first that either side can still take is taken, whatever lies between, so a
+    round takes many at once and the choice is that of one pair after another. Then what is left falls into parts that
+    share no side. Parts of at most FOLD pairs are decided pair after pair, a part in one task; with a larger one there,
+    rounds go on. So long chains of pairs that hang on one another cost no round each, and no group is unbounded.
     """
     first = F.struct((F.col("gap") < 0).alias("a"), F.abs("gap").alias("b"), (-F.col("score")).alias("c"), F.col("l").alias("d"), F.col("r").alias("e"))
     best = pairs.groupBy("l", "r").agg(F.min(F.struct(first.alias("o"), "gap", "score")).alias("x")).select("l", "r", "x.*")
     left = shared_table(best.withColumns({"lq": F.lit(left_quota), "rq": F.lit(right_quota)}), "quota-pairs")
-    taken = None
+    taken, done = best.select("l", "r", "gap", "score").limit(0), 0
     while not left.isEmpty():
+        if done >= ROUNDS and done % ROUNDS == 0:
+            # a side's pairs are one part: sides are hashed, and nodes are joined through them
+            side = lambda c, n: F.xxhash64(F.lit(n), F.col(c).cast("string"))
+            nodes = components(left.select(side("l", 1).alias("u"), side("r", 2).alias("v"))).toDF("_n", "part")
+            parted = shared_table(left.withColumn("_n", side("l", 1)).join(nodes, "_n").drop("_n"), "quota-parts")
+            if parted.groupBy("part").count().agg(F.max("count")).first()[0] <= FOLD:
+                return taken.unionByName(_folded(parted))
+            dropped(parted)
         rank = lambda side: F.row_number().over(W.partitionBy(side).orderBy("o"))
         now = left.withColumns({"_l": rank("l"), "_r": rank("r")}).where((F.col("_l") <= F.col("lq")) & (F.col("_r") <= F.col("rq"))).select("l", "r", "gap", "score")
         now = shared_table(now, "quota-taken")
-        taken = now if taken is None else taken.unionByName(now)
+        taken = taken.unionByName(now)
         used = lambda side: now.groupBy(side).agg(F.count("*").cast("int").alias(f"_{side}"))  # noqa: B023, E731
         rest = left.join(now.select("l", "r"), ["l", "r"], "left_anti").join(used("l"), "l", "left").join(used("r"), "r", "left")
         rest = rest.withColumns({f"{s}q": F.col(f"{s}q") - F.coalesce(f"_{s}", F.lit(0)) for s in ("l", "r")}).drop("_l", "_r")
-        left = shared_table(rest.where("lq > 0 AND rq > 0"), "quota-pairs")
-    return best.select("l", "r", "gap", "score").limit(0) if taken is None else taken
+        rest = shared_table(rest.where("lq > 0 AND rq > 0"), "quota-pairs")
+        dropped(left)
+        left, done = rest, done + 1
+    return taken
 
 
 def temporal_correlations(crises: DataFrame, outcomes: DataFrame, days: int = 60) -> DataFrame:
     """Crises and outcomes ``(id, date, score)`` within ``days`` either way, matched under quotas: ``l, r, gap, score``, the sum of scores. Events of one id count once for their quotas."""
     c = crises.select(F.col("id").alias("l"), F.col("date").alias("l_date"), F.col("score").alias("l_score")).where("l_date IS NOT NULL")
     o = outcomes.select(F.col("id").alias("r"), F.col("date").alias("r_date"), F.col("score").alias("r_score")).where("r_date IS NOT NULL")
-    return quota_match(band_join(c, o, "l_date", "r_date", days, days).select("l", "r", F.datediff("r_date", "l_date").alias("gap"), (F.col("l_score") + F.col("r_score")).cast("long").alias("score")))
+    return quota_match(band_join(c, o, "l_date", "r_date", days, days, salts=SALTS).select("l", "r", F.datediff("r_date", "l_date").alias("gap"), (F.col("l_score") + F.col("r_score")).cast("long").alias("score")))

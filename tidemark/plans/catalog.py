@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from ..config import SEED, WINDOWS
 from ..operators import catalogs as K
+from ..operators import order as O
 from ..operators import panel as P
 from ..operators import permute as T
 from ..operators import windows as WN
 from ..sources import readers as R
 from ..sources import views as V
+from ..sources.shared import shared_table
 from . import records
 from .records import CORR_SQL
 from .series import RANGES_SQL, _ranges
@@ -89,6 +91,14 @@ def news_order(spark: SparkSession, sf: str) -> DataFrame:
     return records.corroborated(spark, sf).select("ord", "category", F.row_number().over(W.partitionBy("category", "date").orderBy(*K.news_order())).alias("place"))
 
 
+@query(f"WITH {CORR_SQL} SELECT ord, category, row_number() OVER (PARTITION BY category ORDER BY coalesce(CAST(date AS VARCHAR), '') DESC, final_score DESC, published_at IS NOT NULL DESC, weight DESC, ord) AS place FROM corr")
+def news_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """Places within each category, over all days."""
+    slim = shared_table(records.corroborated(spark, sf).select("ord", "category", "date", "final_score", "published_at", "weight"), "news")
+    ufo, crisis = (O.ranked(slim.where(F.col("category") == c), K.news_order()) for c in ("ufo", "crisis"))
+    return ufo.unionByName(crisis).select("ord", "category", "place")
+
+
 def feeds(spark: SparkSession, sf: str) -> DataFrame:
     """A feed for each page, every third as Atom, with one entry without a title and two with dates."""
     i = F.col("page_id")

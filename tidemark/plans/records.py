@@ -56,6 +56,10 @@ def official_sql(source: str) -> str:
     return f"(regexp_matches(lower({source}), '{'|'.join(C.OFFICIAL_HINTS)}') AND NOT contains(lower({source}), 'google news'))"
 
 
+def names_official_sql(source: str) -> str:
+    return f"regexp_matches(lower(coalesce({source}, '')), '{'|'.join(C.OFFICIAL_HINTS)}')"
+
+
 def tokens_sql(title: str) -> str:
     stop = ", ".join(f"'{w}'" for w in C.CLAIM_STOPWORDS)
     raw = f"regexp_extract_all(lower({title}), '[a-z0-9]+')"
@@ -256,7 +260,7 @@ def temporal_pairs(spark, sf):  # noqa: ANN001, ANN201
 
 PAIR_SQL = f"""{SCORE_SQL}, pr AS (SELECT *, {action_sql('txt')} AS action, {topic_sql('txt')} AS topic, {first_sql('txt', C.ACTOR_KEYWORDS)} AS a0, {tokens_sql('title')} AS tk, CASE WHEN len({tokens_sql('title')}) < 3 THEN {tokens_sql('txt')} ELSE [] END AS tk2 FROM scored WHERE category = 'ufo' AND base_score >= 50 AND date IS NOT NULL),
 pf AS MATERIALIZED (SELECT * EXCLUDE (a0, tk), {chain_sql([(f"a0 = '{k}'", f"'{v}'") for k, v in C.ACTOR_GROUPS.items()], 'a0')} AS actor, CASE WHEN len(tk) < 3 THEN list_distinct(tk || tk2) ELSE tk END AS tk FROM pr),
-dm AS (SELECT DISTINCT domain FROM pf WHERE NOT official AND NOT aggregator AND domain <> ''),
+dm AS (SELECT DISTINCT domain FROM pf WHERE NOT official AND NOT aggregator AND domain <> '' AND source_type = 'rss' AND weight >= 2),
 pp AS (SELECT m.ord AS m_ord, o.ord AS o_ord, CAST(m.date - o.date AS INT) AS lag_days, m.source_type AS st, m.weight AS w, m.aggregator AS ag, m.publisher AS pub, m.published_at AS pa, m.publisher IN (SELECT domain FROM dm) AS mir,
   CASE WHEN o.action <> 'na' AND o.action = m.action THEN 2 ELSE 0 END + CASE WHEN o.topic <> 'na' AND o.topic = m.topic THEN 2 ELSE 0 END + CASE WHEN o.actor <> 'na' AND o.actor = m.actor THEN 1 ELSE 0 END + CASE WHEN len(list_intersect(o.tk, m.tk)) >= 3 THEN 2 WHEN len(list_intersect(o.tk, m.tk)) >= 2 THEN 1 ELSE 0 END AS semantic
   FROM pf o JOIN pf m ON o.official AND NOT m.official AND m.date - o.date BETWEEN 0 AND 30),

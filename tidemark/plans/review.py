@@ -14,7 +14,7 @@ from ..operators import models as MD
 from ..operators import permute as T
 from ..sources import views as V
 from . import models, records
-from .records import CLAIM_SQL, LAG_SQL, PAIR_SQL, TODAY, official_sql
+from .records import CLAIM_SQL, LAG_SQL, PAIR_SQL, TODAY, names_official_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -141,8 +141,8 @@ def historical_mechanism(spark: SparkSession, sf: str) -> DataFrame:
 
 HIST_TOTALS = "hm AS (SELECT count(*) AS he, count(*) FILTER (act) AS ho FROM hist WHERE upper(trim(coalesce(region, 'USA'))) IN ('USA', 'US'))"
 MECH_SQL = f"""{LAG_SQL}, {PAIR_BEST_SQL[PAIR_BEST_SQL.index('pr AS ('):]}, {HISTORY_SQL}, {HIST_TOTALS},
-src AS (SELECT category, fingerprint, bool_or({official_sql('source')}) AS any_off, bool_or(NOT {official_sql('source')}) AS any_other FROM corr GROUP BY ALL),
-me AS (SELECT {official_sql('best.source')} AS prim, any_off, any_other, lag_days FROM best JOIN src USING (category, fingerprint) JOIN lags USING (category, fingerprint) WHERE category = 'ufo'),
+src AS (SELECT category, fingerprint, bool_or({names_official_sql('source')}) AS any_off, bool_or(NOT {names_official_sql('source')}) AS any_other FROM corr GROUP BY ALL),
+me AS (SELECT {names_official_sql('best.source')} AS prim, any_off, any_other, lag_days FROM best JOIN src USING (category, fingerprint) JOIN lags USING (category, fingerprint) WHERE category = 'ufo'),
 mm AS (SELECT count(*) AS events, count(*) FILTER (any_off) AS official_involved, count(*) FILTER (prim) AS official_primary, count(*) FILTER (prim AND any_other) AS official_primary_followed, count(*) FILTER (NOT prim AND any_off) AS media_primary_official_second, count(lag_days) AS lags_known, count(*) FILTER (lag_days >= 0) AS lag_leads, round(avg(lag_days), 6) AS lag_mean, round(quantile_cont(lag_days, 0.5), 6) AS lag_q50 FROM me),
 mt AS (SELECT mm.*, ps.*, he AS history_events, ho AS history_official, events + he AS effective_events, round(CASE WHEN events + he > 0 THEN (official_involved + ho) / (events + he) ELSE 0 END, 6) AS effective_share, CASE WHEN strict_positive > 0 THEN strict_positive ELSE strict_nonnegative END AS pl FROM mm, ps, hm),
 mx AS (SELECT * EXCLUDE (pl), CASE WHEN lags_known > 0 THEN lag_leads WHEN pl > 0 THEN pl ELSE official_primary_followed END AS lead_events, CASE WHEN lags_known > 0 THEN 'lag' WHEN pl > 0 THEN 'pair_strict_lag' ELSE 'source_order' END AS lead_basis FROM mt)"""

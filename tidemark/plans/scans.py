@@ -90,23 +90,28 @@ def range_scan_status(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("query").agg(F.count_if(bad).alias("failed_ranges"), F.coalesce(F.sum(F.when(bad, F.datediff("until", "d") + 1)), F.lit(0)).alias("failed_days"), F.count_if(F.col("kind") == "covered").alias("covered_days"), RG.status_of(s).alias("status"))
 
 
+#: Documents that make a source, and an answered page of it.
+OF_SOURCE, OF_PAGE = 200, 10
+
+
 def paged_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Pages and entries of seven sources, made from documents: each source comes back to its first URLs after a while; some entries have no URL, some pages fail."""
+    """Pages and entries of sources made from runs of documents: each comes back to its first URLs after a while; some entries have no URL, some pages fail."""
     i = F.col("doc_id")
-    s, k = i % 7, F.floor(i / 7)
+    s, j = F.floor(i / OF_SOURCE), i % OF_SOURCE
     entries = V.table(spark, sf, "documents").select(
-        F.concat(F.lit("s"), s.cast("string")).alias("source"), F.floor(i / 70).alias("page"), i.alias("ord"),
-        F.when(i % 5 != 0, F.concat(F.lit("https://a.example.com/"), (k % (40 + 30 * s)).cast("string"))).alias("url"),
-        F.concat(F.lit(" Title  No "), (k % 16).cast("string")).alias("title"), F.date_add(F.lit("2024-01-01").cast("date"), (i % 3).cast("int")).alias("date"),
-    ).where(F.col("page") < PG.MOST_PAGES)
-    failed = (F.col("page") * 3 + F.substring("source", 2, 1).cast("long")) % 11 == 5
+        s.alias("source"), F.floor(j / OF_PAGE).alias("page"), i.alias("ord"),
+        F.when(i % 5 != 0, F.concat(F.lit("https://a.example.com/"), (j % (40 + 10 * (s % 7))).cast("string"))).alias("url"),
+        F.concat(F.lit(" Title  No "), (j % 16).cast("string")).alias("title"), F.date_add(F.lit("2024-01-01").cast("date"), (i % 3).cast("int")).alias("date"),
+    )
+    failed = (F.col("page") * 3 + F.col("source")) % 11 == 5
     return entries.select("source", "page").distinct().withColumn("failed", failed), entries
 
 
-PAGED_SQL = f"""en AS (SELECT 's' || (doc_id % 7) AS source, doc_id // 70 AS page, doc_id AS ord, CASE WHEN doc_id % 5 <> 0 THEN 'https://a.example.com/' || ((doc_id // 7) % (40 + 30 * (doc_id % 7))) END AS url, ' Title  No ' || ((doc_id // 7) % 16) AS title, DATE '2024-01-01' + CAST(doc_id % 3 AS INT) AS date FROM documents WHERE doc_id // 70 < {PG.MOST_PAGES}),
-pg AS (SELECT DISTINCT source, page, (page * 3 + CAST(substr(source, 2, 1) AS BIGINT)) % 11 = 5 AS failed FROM en),
+PAGED_SQL = f"""en AS (SELECT doc_id // {OF_SOURCE} AS source, doc_id % {OF_SOURCE} // {OF_PAGE} AS page, doc_id AS ord, CASE WHEN doc_id % 5 <> 0 THEN 'https://a.example.com/' || ((doc_id % {OF_SOURCE}) % (40 + 10 * (doc_id // {OF_SOURCE} % 7))) END AS url, ' Title  No ' || (doc_id % {OF_SOURCE} % 16) AS title, DATE '2024-01-01' + CAST(doc_id % 3 AS INT) AS date FROM documents),
+pg AS (SELECT DISTINCT source, page, (page * 3 + source) % 11 = 5 AS failed FROM en),
 fi AS (SELECT source, coalesce(url, title || date) AS k, min((page, ord)) AS f FROM en SEMI JOIN (SELECT * FROM pg WHERE NOT failed) p USING (source, page) GROUP BY 1, 2),
-nw AS (SELECT pg.source, pg.page, pg.failed, CASE WHEN NOT failed THEN (SELECT count(*) FROM fi WHERE fi.source = pg.source AND fi.f[1] = pg.page) END AS n_new FROM pg),
+nf AS (SELECT source, f[1] AS page, count(*) AS n FROM fi GROUP BY ALL),
+nw AS (SELECT pg.source, pg.page, pg.failed, CASE WHEN NOT failed THEN coalesce(n, 0) END AS n_new FROM pg LEFT JOIN nf ON nf.source = pg.source AND nf.page = pg.page),
 rn AS (SELECT source, page, sum(n_new) OVER w AS run, count(*) OVER w AS c FROM nw WHERE NOT failed WINDOW w AS (PARTITION BY source ORDER BY page ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)),
 st AS (SELECT source, min(page) AS stop FROM rn WHERE run = 0 AND c = 2 GROUP BY source),
 ps AS (SELECT nw.*, coalesce(nw.page <= stop, true) AS asked FROM nw LEFT JOIN st ON st.source = nw.source)"""

@@ -23,4 +23,14 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table: it is computed once, and a lost executor costs no recomputation of it."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._written_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`shared_table` that no later step reads."""
+    for t in tables:
+        spark = t.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(t._written_at)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
