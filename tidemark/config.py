@@ -9,10 +9,12 @@ AGGREGATOR_HINTS = ["google news"]
 OFFICIAL_HINTS = ["white house", "pentagon", "department of defense", "dod", "state department", "congress", "senate", "house", "doj", "fbi", "cia", "nasa", "aaro"]
 TRACKING_KEYS = ["fbclid", "gclid", "oc", "ref", "source", "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content"]
 SPAM_PATTERNS = [r"!{3,}", r"\?{3,}", r"^[A-Z0-9\W]{16,}$"]
-CLAIM_STOPWORDS = (
-    "the and for with from that this into about after over under amid says said will would could should have has had his her their "
-    "its who what when where why how than then news report reports official officials government president white house pentagon new latest update"
-).split()
+CLAIM_STOPWORDS = [
+    "the", "and", "for", "with", "from", "that", "this", "into", "about", "after", "over", "under", "amid", "says", "said", "will", "would",
+    "could", "should", "have", "has", "had", "his", "her", "their", "its", "who", "what", "when", "where", "why", "how", "than", "then",
+    "news", "report", "reports", "official", "officials", "government", "president", "white", "house", "pentagon", "new", "latest",
+    "update",
+]
 UFO_KEYWORDS = [
     "ufo", "ufos", "uap", "uaps", "alien", "extraterrestrial", "flying saucer",
     "unidentified aerial", "unidentified flying", "disclosure",

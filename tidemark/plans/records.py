@@ -272,7 +272,16 @@ def official_media_pairs(spark, sf):  # noqa: ANN001, ANN201
     return M.official_media_pairs(scored(spark, sf)).select("m_ord", "o_ord", "lag_days", "semantic", "tier")
 
 
-@query()
+def _url_sql() -> str:
+    key = "lower(split_part(kv, '=', 1))"
+    drop = f"{key} LIKE 'utm\\_%' ESCAPE '\\' OR {key} IN ({', '.join(repr(k) for k in C.TRACKING_KEYS)}) OR kv = ''"
+    day = lambda pattern: "CAST(try_strptime(" + " || '-' || ".join(f"regexp_extract(coalesce(url, ''), '{pattern}', {i})" for i in (1, 2, 3)) + ", '%Y-%m-%d') AS DATE)"
+    return f"""pu AS (SELECT page_id, url, trim(coalesce(url, '')) AS u FROM pages),
+pp AS (SELECT *, regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+') AS known, lower(regexp_extract(u, '^([^:/?#]+)://', 1)) AS scheme, regexp_replace(lower(regexp_extract(u, '^[^:/?#]+://([^/?#]*)', 1)), '^www\\.', '') AS host, regexp_replace(regexp_extract(u, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS path, list_filter(string_split(regexp_extract(u, '^[^?#]*\\?([^#]*)', 1), '&'), lambda kv: NOT ({drop})) AS kvs FROM pu),
+uf AS (SELECT page_id, CASE WHEN known THEN scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(kvs) > 0 THEN '?' || array_to_string(list_transform(kvs, lambda kv: CASE WHEN contains(kv, '=') THEN kv ELSE kv || '=' END), '&') ELSE '' END ELSE u END AS canonical, CASE WHEN known THEN regexp_replace(host, ':[0-9]+$', '') ELSE '' END AS domain, coalesce({day('/([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})(?:/|$)')}, {day('/([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})(?:[-_/]|$)')}, {day('[?&]date=([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})')}) AS day FROM pp)"""
+
+
+@query(f"WITH {_url_sql()} SELECT * FROM uf")
 def url_functions(spark, sf):  # noqa: ANN001, ANN201
     u = F.col("url")
     return V.table(spark, sf, "pages").select("page_id", T.canonical_url(u).alias("canonical"), T.domain_of(u).alias("domain"), T.date_from_url(u).alias("day"))
