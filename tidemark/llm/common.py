@@ -52,6 +52,12 @@ def dropped(*tables: DataFrame) -> None:
     gc.collect()  # lets Spark delete the shuffle files behind them
 
 
+def freed(df: DataFrame) -> None:
+    """Lets Spark delete the shuffle files of steps that no table needs any longer: its cleaner follows the driver's collections."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
