@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from tidemark.llm import chains, hashing, nearcopy
@@ -55,6 +57,87 @@ def test_recall_of_edited_passages(spark, size, percent):
     assert len(got) >= 0.95 * 200
 
 
+@pytest.mark.parametrize(("size", "percent"), [(80, 70), (60, 70), (120, 70)])
+def test_recall_at_the_limit(size, percent):
+    rng = random.Random(size * percent)
+    rows = []
+    for j in range(300):
+        a = words(rng, size)
+        b = changed(rng, a, size * (100 - percent) // 100)
+        rows += [(2 * j, words(rng, 60) + a + words(rng, 60)), (2 * j + 1, words(rng, 70) + b + words(rng, 40))]
+    got = in_blocks(rows, 7)
+    assert got <= {(2 * j + 1, 2 * j) for j in range(300)}
+    assert len(got) >= 0.95 * 300
+
+
+@pytest.mark.parametrize(("size", "part", "changes"), [(120, 20, 12), (120, 35, 0), (60, 14, 0)])
+def test_edited_copies_are_found_where_parts_stand_elsewhere_first(size, part, changes):
+    rng = random.Random(size + part)
+    for _ in range(10):
+        p = words(rng, size)
+        rows = [(i, words(rng, 30) + p[part * i : part * i + part] + words(rng, 30)) for i in range(-(-size // part))]
+        rows += [(100, words(rng, 20) + p + words(rng, 20)), (101, words(rng, 40) + changed(rng, p, changes) + words(rng, 9))]
+        for per in (1, 3, 20):
+            assert (101, 100) in in_blocks(rows, per)
+
+
+def test_links_hang_together_as_all_pairs_do():
+    rng = random.Random(9)
+    shared = [words(rng, rng.randrange(50, 150)) for _ in range(25)]
+    rows = []
+    for i in range(150):
+        own = [changed(rng, p, len(p) // 12) for p in rng.sample(shared, rng.randrange(2))]
+        rows.append((i * 7 % 150, sum(([*words(rng, rng.randrange(60)), *p] for p in own), []) + words(rng, 30)))
+    rows += [(500, ["x"] * 3000), (501, []), (502, ["y", "z"])]
+    grams = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} for i, w in rows}
+    pairs = {(i, j) for i in grams for j in grams if j < i and len(grams[i] & grams[j]) >= 20}
+    for per in (10, 60, 500):
+        got = in_blocks(rows, per)
+        assert got <= {(i, j) for i in grams for j in grams if j < i and grams[i] & grams[j]}
+        assert classes(grams, got) == classes(grams, pairs)
+
+
+def test_matches_of_other_words_under_one_hash_count_for_nothing():
+    a, b = np.arange(60, dtype=np.uint32), np.arange(60, dtype=np.uint32)
+    chain = lambda places, refs, sizes: pd.DataFrame({"id": [2], "ref_id": [1], "lo": [0], "ref_lo": [0], "places": [places], "ref_places": [refs], "sizes": [sizes], "words": [a.tobytes()], "ref_words": [b.tobytes()]})
+    aligned = lambda c: pd.concat(list(chains._aligned(iter([c])))).values.tolist()
+    assert aligned(chain([3], [50], [13])) == []
+    assert aligned(chain([3, 20], [3, 55], [13, 13])) == [[2, 1, 0, 3 + 16 + chains.REACH, 0, 43, 43, 100]]
+
+
+def changed(rng, words_, n):
+    out = list(words_)
+    for k in rng.sample(range(len(out)), n):
+        out[k] = words(rng, 1)[0]
+    return out
+
+
+def classes(nodes, links):
+    of = {i: i for i in nodes}
+    for i, j in sorted(links):
+        a, b = of[i], of[j]
+        of = {k: min(a, b) if c in (a, b) else c for k, c in of.items()}
+    return of
+
+
+def in_blocks(rows, per):
+    """Pairs of documents that the operator's steps link, with ``per`` documents a block."""
+    texts = pd.DataFrame([(i, " ".join(w)) for i, w in rows], columns=["id", "_text"])
+    coded = {i: (hashing.word_hashes(hashing.text_bytes(t)) >> np.uint64(32)).astype(np.uint32) for i, t in texts.itertuples(index=False)}
+    blocks = []
+    for k in range(0, len(texts), per):
+        kept = sorted(i for i in texts["id"][k : k + per] if len(coded[i]) >= chains.K)
+        if kept:
+            blocks.append((k, kept, np.array([len(coded[i]) for i in kept]), np.concatenate([coded[i] for i in kept]).tobytes()))
+    blocks = pd.DataFrame(blocks, columns=["block", "ids", "counts", "words"])
+    lists = pd.concat(list(chains._lists(3, 48)(iter([blocks]))), ignore_index=True)
+    answers = pd.concat([chains._answers(g) for _, g in lists.groupby("range")], ignore_index=True)
+    found = pd.concat([chains._chained(3, 48)(blocks[blocks["block"] == b], answers[answers["block"] == b]) for b in blocks["block"]], ignore_index=True)
+    found["ref_lo"], found["ref_words"] = 0, [coded[i].tobytes() for i in found["ref_id"]]
+    got = pd.concat(list(chains._aligned(iter([found]))))
+    return set(zip(got["doc_id"], got["ref_doc_id"]))
+
+
 def thue_morse(n):
     s = "a"
     for _ in range(n):
