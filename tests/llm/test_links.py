@@ -170,3 +170,47 @@ def test_a_chained_group_is_one_component(spark, monkeypatch):
     rows = [(i, " ".join(w[3 * i : 3 * i + 60])) for i in range(150)] + [(900 + i, " ".join(words(rng, 40))) for i in range(20)]
     got = nearcopy.near_duplicates(spark.createDataFrame(rows, DOCS), k=2).collect()
     assert {r.doc_id: r.component_id for r in got} == {i: 0 for i in range(150)} | {900 + i: 900 + i for i in range(20)}
+
+
+def template_pages(rng, n):
+    """Pages of one frame of 80 words around 19 of their own, too few for a link, with every tenth page there twice but for 4 words."""
+    frame = words(rng, 80)
+    own = [words(rng, 19) for _ in range(n)]
+    rows = [(i, " ".join(frame[:40] + w + frame[40:])) for i, w in enumerate(own)]
+    return rows + [(n + i, " ".join(frame[:40] + changed(rng, own[i], 4) + frame[40:])) for i in range(0, n, 10)]
+
+
+def test_work_on_pages_of_one_template_follows_their_number(spark, monkeypatch):
+    monkeypatch.setattr(nearcopy, "BLOCK", 12)
+    monkeypatch.setattr(nearcopy, "LEADERS", 2)
+    monkeypatch.setattr(nearcopy, "LEFT", 1)
+    held, plain = [], nearcopy._confirmed
+    monkeypatch.setattr(nearcopy, "_confirmed", lambda rows, percent: held.append(rows.count()) or plain(rows, percent))
+    most = []
+    for n in (150, 300):
+        held.clear()
+        rows = template_pages(random.Random(n), n)
+        got = nearcopy.near_duplicates(spark.createDataFrame(rows, DOCS), k=2).collect()
+        sets = {i: set(nearcopy.shingle_set(t, 2).tolist()) for i, t in rows}
+        links = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+        assert {r.doc_id: r.component_id for r in got} == classes(sets, links)
+        most.append(sum(held) / len(rows))
+    assert len(held) > 2
+    assert most[1] <= 1.25 * most[0]
+
+
+@pytest.mark.parametrize("percent", [80, 65])
+def test_linked_sets_have_one_of_their_rarest_shingles_in_common(spark, percent):
+    rng = random.Random(percent)
+    sets = {}
+    for i in range(120):
+        own = rng.sample(range(60), rng.randrange(1, 30)) + list(range(100, 100 + rng.randrange(40)))
+        sets[2 * i], sets[2 * i + 1] = set(own), set(own[: rng.randrange(len(own) // 2, len(own)) + 1])
+    sets |= {900: {5000, 5001}, 901: {7000}}
+    rows = [(i, np.array(sorted(s), np.uint64).tobytes()) for i, s in sets.items()]
+    got = {r.id: set(r.bands) for r in nearcopy._rarest(spark.createDataFrame(rows, "id long, _set binary"), percent).collect()}
+    assert all(b <= sets[i] for i, b in got.items()) and not got.keys() & {900, 901}
+    linked = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    assert len(linked) > 50
+    assert all(got[i] & got[j] for i, j in linked)
+    assert sum(map(len, got.values())) < 0.6 * sum(map(len, sets.values()))

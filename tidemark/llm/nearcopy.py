@@ -4,7 +4,9 @@ Documents of one shingle set stand for one another from the start. Minima of man
 into buckets; buckets give a graph of candidates, as stars, never as all pairs. Its components are dealt into blocks
 of bounded size, every block sharing some leaders of its component; a task compares signatures within its block and
 confirms links on full sets. What the blocks of a large component leave apart is compared by bucket, and where a
-bucket is crowded by the buckets of longer bands, so that the work follows the buckets and not the component.
+bucket is crowded by the buckets of longer bands, so that the work follows the buckets and not the component. Where
+these are crowded, too (pages of one template, just too different for links), documents meet by the rarest shingles of
+their sets: two sets at the threshold have one of them in common, and a template's own shingles aren't among them.
 """
 
 from __future__ import annotations
@@ -175,6 +177,30 @@ def _open(banded: DataFrame, comps: DataFrame) -> DataFrame:
     return out
 
 
+def _shingle_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for df in frames:
+        for i in range(0, len(df), 64):
+            part = df.iloc[i : i + 64]
+            sets = [np.frombuffer(s, np.int64) for s in part["_set"]]
+            yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), [len(s) for s in sets]), "shingle": np.concatenate(sets)})
+
+
+def _rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """``id, bands``: of each set in ``sets (id, _set)`` so many of the shingles that are rarest in all of them that two linked sets have one in common.
+
+    Of n shingles a link needs ``percent``, so all but one less than that. Shingles of one set alone come first in this
+    order, but no one else has them, so they needn't be told apart.
+    """
+    seen = sets.mapInPandas(_shingle_rows, "id long, shingle long")
+    common = written(seen.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1"), "near-shingles")
+    held = salted_join(seen, common, ["shingle"], "id").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("held"))
+    sized = sets.select("id", F.expr("length(_set) div 8").alias("n")).join(held, "id")
+    first = F.expr(f"cast(greatest(size(held) + 1 - ({percent} * n + 99) div 100, 0) as int)")  # n - share + 1, less the n - size(held) of one set alone
+    out = written(sized.select("id", F.slice("held", F.lit(1), first)["shingle"].alias("bands")).where("size(bands) > 0"), "near-rarest")
+    dropped(common)
+    return out
+
+
 def _links(base: DataFrame, same: DataFrame, k: int, percent: int) -> DataFrame:
     """Confirmed links between sets ``same (rep, bands)``, enough of them to join each component."""
     buckets = same.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
@@ -215,9 +241,16 @@ def _links(base: DataFrame, same: DataFrame, k: int, percent: int) -> DataFrame:
     crowd = groups.where(F.col("size") > BLOCK).select("id").distinct()
     if crowd.isEmpty():
         return links
-    # of crowded buckets, the buckets of longer bands: small ones whole, crowded ones block by block
-    fine = written(wide.join(crowd, "id", "left_semi").mapInPandas(_fine, "id long, bands array<long>"), "near-fine")
-    groups = _open(fine, comps())
+    # of crowded buckets, the buckets of longer bands; of those among them that are crowded, too, the buckets of rare shingles
+    crowded = wide.join(crowd, "id", "left_semi")
+    groups = _open(written(crowded.mapInPandas(_fine, "id long, bands array<long>"), "near-fine"), comps())
+    if groups.isEmpty():
+        return links
+    links = more(_blocks_of(groups.join(wide, "id")))
+    crowd = groups.where(F.col("size") > BLOCK).select("id").distinct()
+    if crowd.isEmpty():
+        return links
+    groups = _open(_rarest(written(wide.join(crowd, "id", "left_semi"), "near-crowd"), percent), comps())
     if groups.isEmpty():
         return links
     rows = groups.join(wide, "id")
