@@ -214,3 +214,21 @@ def test_linked_sets_have_one_of_their_rarest_shingles_in_common(spark, percent)
     assert len(linked) > 50
     assert all(got[i] & got[j] for i, j in linked)
     assert sum(map(len, got.values())) < 0.6 * sum(map(len, sets.values()))
+
+
+def test_links_among_pages_of_one_template_with_few_words_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(nearcopy, "BLOCK", 8)
+    monkeypatch.setattr(nearcopy, "LEADERS", 1)
+    monkeypatch.setattr(nearcopy, "LEFT", 0)
+    held, plain = [], nearcopy._rarest
+    monkeypatch.setattr(nearcopy, "_rarest", lambda sets, percent: held.append(sets.count()) or plain(sets, percent))
+    rng = random.Random(8)
+    frame = words(rng, 80)
+    own = [words(rng, 19, 40) for _ in range(90)]
+    rows = [(i, " ".join(frame[:40] + w + frame[40:])) for i, w in enumerate(own)]
+    rows += [(100 + i, " ".join(frame[:40] + changed(rng, own[i], 5) + frame[40:])) for i in range(0, 90, 3)]
+    sets = {i: set(nearcopy.shingle_set(t, 2).tolist()) for i, t in rows}
+    links = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    got = nearcopy.near_duplicates(spark.createDataFrame(rows, DOCS), k=2).collect()
+    assert held and links
+    assert {r.doc_id: r.component_id for r in got} == classes(sets, links)
