@@ -9,6 +9,7 @@ import time
 import numpy as np
 import pytest
 from conftest import SF
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tidemark.operators import draws, events, forests, gates, graph, matching, models, permute
@@ -198,6 +199,15 @@ def test_forests_find_a_known_effect(spark):
     assert abs(e.ate - 2) < abs(naive - 2)
 
 
+def test_forests_run_in_a_session_with_observed_queries(spark):
+    seen = Observation()
+    spark.range(5).observe(seen, F.count("*").alias("n")).write.format("noop").mode("overwrite").save()
+    assert seen.get["n"] == 5
+    data, _ = known_effect(spark, 60)
+    fit, how = forests.cross_fit_forest(data, ["a", "b", "c"], 3, 5, trees=3)
+    assert how == "cross_fitted_forest" and fit.count() == len(fit.collect()) == 60
+
+
 def test_models_stay_pending_on_small_samples(spark, world):
     few, _ = known_effect(spark, 18)
     fit, how = forests.cross_fit_forest(few, ["a"], 3, 5)

@@ -42,7 +42,8 @@ def cross_fit_forest(data: DataFrame, features: list[str], folds: int, seed: int
             weight = F.when(F.col("t") == 1, n / (2.0 * k)).otherwise(n / (2.0 * (n - k)))
             label = F.col("t").cast("double")
             treated = RandomForestClassifier(featuresCol="_x", labelCol="_t", weightCol="_w", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed + 101 + fold)
-            out = treated.fit(train.withColumns({"_w": weight, "_t": label})).transform(out).withColumn("t_hat", clipped(vector_to_array("_p")[1])).drop("_p", "_r", "_c")
+            # a copy has no training summary: that one holds the session, which tasks can't take once a query has been observed
+            out = treated.fit(train.withColumns({"_w": weight, "_t": label})).copy().transform(out).withColumn("t_hat", clipped(vector_to_array("_p")[1])).drop("_p", "_r", "_c")
         else:
             out = out.withColumn("t_hat", clipped(F.lit(k / n if n else seen["t"]).cast("double")))
         return out.drop("_x")
