@@ -122,9 +122,9 @@ def news_day_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def news_days(spark: SparkSession, sf: str) -> DataFrame:
-    """``d, crisis, outcome``: accepted news a day, every day from the first to the last."""
+    """``d, crisis, outcome``: accepted news a day, every day from the first to the last. A table, as effects and draws read it again and again and items are scored for it."""
     n = records.corroborated(spark, sf).groupBy(F.col("date").alias("d")).agg(F.count_if(F.col("category") == "crisis").alias("crisis"), F.count_if(F.col("category") == "ufo").alias("outcome")).where("d IS NOT NULL")
-    return P.densify(n)
+    return P.densify(shared_table(n, "news-days"))
 
 
 NEWS_SQL = f"""{CORR_SQL}, nd AS (SELECT date AS d, count(*) FILTER (category = 'crisis') AS crisis, count(*) FILTER (category = 'ufo') AS outcome FROM corr WHERE date IS NOT NULL GROUP BY 1), gd AS (SELECT CAST(unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS DATE) AS d FROM nd), dn AS (SELECT gd.d, coalesce(crisis, 0) AS crisis, coalesce(outcome, 0) AS outcome FROM gd LEFT JOIN nd ON nd.d = gd.d),
