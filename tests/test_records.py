@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark import config as C
 from tidemark.functions import text as T
-from tidemark.plans import catalog, records
+from tidemark.plans import catalog, records, review
 from tidemark.sources import views
 
 
@@ -66,3 +66,11 @@ def test_signatures_equal_searches_keyword_by_keyword(spark):
 def test_panels_are_tables(spark):
     for df in (views.panel(spark, SF), views.topics(spark, SF), views.country(spark, SF)):
         assert "o_orderdate" not in plan_of(df)
+
+
+def test_mechanism_scores_items_once(spark, monkeypatch):
+    runs = []
+    plain = records.I.evaluate
+    monkeypatch.setattr(records.I, "evaluate", lambda *a: runs.append(1) or plain(*a))
+    got = review.mechanism_of(spark, SF)
+    assert len(runs) == 1 and "text#" not in plan_of(got)

@@ -193,6 +193,7 @@ def strict_review(spark: SparkSession, sf: str) -> DataFrame:
     """The review of the tables as they are: approval, sources, both policies, four models and the mechanism, in one row. Its rules are held against SQL in review_rules; draws take too long in SQL."""
     one = lambda df, **names: df.select(*[F.col(v).alias(k) for k, v in names.items()])
     panel = G.verdict(G.approval(models.state_of(spark, sf, models.PERMUTATIONS)))
+    items = records.scored_table(spark, sf)
     parts = [
         one(panel, approval_status="status", approval_level="level", approval_gates="gates", verdict="verdict", observed_days="observed_days", shock_days="shock_days", observed_ratio="observed_ratio", max_missing_streak="max_missing_streak"),
         one(A.health(audited(spark, sf)[1]), availability="availability_rate", failed_sources="failed_sources", total_sources="total_active_sources"),
@@ -201,8 +202,8 @@ def strict_review(spark: SparkSession, sf: str) -> DataFrame:
         one(models.event_study_gate(spark, sf), event_status="status", event_passed="passed"),
         one(models.synth_placebo(spark, sf), synth_status="status", synth_passed="passed"),
         models.causal_ml_gate(spark, sf).select(F.col("status").alias("ml_status"), F.col("passed").alias("ml_passed"), F.lit(True).alias("ml_ready")),
-        review.mechanism_of(spark, sf).select(F.col("passed").alias("mechanism_passed"), F.col("events").alias("n_ufo")),
-        records.corroborated(spark, sf).agg(F.count_if(F.col("category") == "crisis").alias("n_crisis")),
+        review.mechanism_of(spark, sf, items).select(F.col("passed").alias("mechanism_passed"), F.col("events").alias("n_ufo")),
+        items.where(F.size("reasons") == 0).agg(F.count_if(F.col("category") == "crisis").alias("n_crisis")),
     ]
     state = parts[0]
     for p in parts[1:]:
