@@ -28,6 +28,20 @@ def test_a_shared_passage_is_found_where_its_parts_stand_elsewhere_first(spark):
     assert [(r.doc_id, r.ref_doc_id, r.start_word, r.end_word, r.ref_start_word, r.ref_end_word, r.n_matches) for r in got] == [(101, 100, 40, 160, 20, 140, 120)]
 
 
+@pytest.mark.parametrize("tile", [2048, 2])
+def test_passages_are_found_whose_seeds_all_have_other_holders_in_front(spark, monkeypatch, tile):
+    monkeypatch.setattr(chains, "TILE", tile, raising=False)
+    rng = random.Random(6)
+    p = words(rng, 72)
+    parts = lambda at: [(at + i, " ".join(words(rng, 50) + p[3 * i : 3 * i + 6] + words(rng, 50))) for i in range(23)]
+    edited = lambda n: [*words(rng, n), *(w if k % 8 else f"n{n}_{k}" for k, w in enumerate(p)), *words(rng, 40)]
+    rows = parts(0) + [(100, " ".join(edited(20)))] + parts(200) + [(300, " ".join(edited(30)))] + parts(400) + [(500, " ".join(edited(33)))]
+    rows += [(600 + i, "to " * n) for i, n in enumerate((50, 300, 39))]
+    got = passages(spark, rows)
+    assert {(r.doc_id, r.ref_doc_id) for r in got} == {(300, 100), (500, 100), (500, 300), (601, 600)}
+    assert all(r.n_matches >= 62 and r.percent >= 86 for r in got if r.doc_id < 600)
+
+
 def test_repeated_ids_take_part_with_one_text(spark):
     rng = random.Random(4)
     p = words(rng, 120)
