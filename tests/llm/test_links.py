@@ -42,6 +42,54 @@ def test_passages_are_found_whose_seeds_all_have_other_holders_in_front(spark, m
     assert all(r.n_matches >= 62 and r.percent >= 86 for r in got if r.doc_id < 600)
 
 
+def test_many_copies_behind_other_holders_are_linked_without_all_their_pairs(spark):
+    rng = random.Random(8)
+    p, rows = words(rng, 44), []
+    for i in range(30):
+        before = [(0, p[:20]), (1, p[20:]), (2, ["to"] * 20)]
+        rows += [(10 * i + k, " ".join(words(rng, 15) + part + words(rng, 15))) for k, part in before]
+        rows += [(10 * i + 5, " ".join(words(rng, 9) + p + words(rng, 12))), (10 * i + 6, " ".join(words(rng, 9) + ["to"] * (60 + 7 * i) + words(rng, 12)))]
+    got = passages(spark, rows)
+    pairs = {(r.doc_id, r.ref_doc_id) for r in got}
+    found = classes([i for i, _ in rows], pairs)
+    assert all(found[10 * i + k] == k for i in range(30) for k in (5, 6)) and all(found[10 * i + k] == 10 * i + k for i in range(30) for k in (0, 1, 2))
+    assert len(pairs) < 4 * 30 and len(got) < 20 * 30
+
+
+def test_bounds_let_every_passage_through():
+    rng, n = np.random.default_rng(1), 0
+    for _ in range(3000):
+        size = int(rng.integers(60, 140))
+        a = rng.integers(1, 6, size).astype(np.uint8)
+        b = np.where(rng.random(size) < rng.choice([0.3, 0.55, 0.7]), a, a % 5 + 1).astype(np.uint8)
+        x, z = int(rng.integers(0, size - 30)), int(rng.integers(7, 28))
+        b[x : x + z] = a[x : x + z]
+        while x > 0 and a[x - 1] == b[x - 1]:
+            x, z = x - 1, z + 1
+        while x + z < size and a[x + z] == b[x + z]:
+            z += 1
+        one = np.array([x]), np.array([x]), np.array([z - chains.K + 1])
+        s, e, rs, re, m = chains.align(a, b, *one)
+        if min(e - s, re - rs) >= chains.MIN_WORDS and 100 * m >= chains.MIN_PERCENT * max(e - s, re - rs):
+            n += 1
+            around = lambda w, outside: np.array([[w[i] if 0 <= i < size else outside for i in range(x - chains.BACK, x + chains.AHEAD)]], np.uint8)  # noqa: B023, E731
+            assert chains._single(around(a, 0), around(b, 255))[0] and chains._possible([[0]], *one, a, b)[0] and chains._may_be(*one, a, b)
+    assert n > 500
+
+
+def test_words_in_common_in_order():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(80))] for _ in range(2))
+        best = [0] * (len(b) + 1)
+        for x in a:
+            row = [0]
+            for j, y in enumerate(b, 1):
+                row.append(best[j - 1] + 1 if x == y else max(best[j], row[-1]))
+            best = row
+        assert chains._gap_matches(np.array(a, np.uint32), np.array(b, np.uint32)) == best[-1]
+
+
 def test_repeated_ids_take_part_with_one_text(spark):
     rng = random.Random(4)
     p = words(rng, 120)
