@@ -79,6 +79,28 @@ def test_did(spark, world):
     assert got["significant"] >= 1 and got["placebo_estimated"] == 3
 
 
+def test_all_shocks_of_a_long_panel_count(spark):
+    rng = random.Random(12)
+    days = [START + k * DAY for k in range(2300)]
+    shocks = [days[40 + 95 * c + k] for c in range(23) for k in range(9)]
+    y = {d: rng.randrange(9) for d in days}
+    for i, s in enumerate(shocks):
+        y[s + DAY] += i % 5
+    panel, s = spark.createDataFrame(list(y.items()), "d date, outcome long"), spark.createDataFrame([(d,) for d in shocks], "d date")
+    topics = spark.createDataFrame([(d, "economy", n % 4) for d, n in y.items()], "d date, topic string, n long")
+    pool = [d for d in days if all(abs((d - s).days) > 7 for s in shocks)]
+    fake = drawn(pool, len(shocks), 1, 5 + 9973 + len(y))[0]
+    got = models.did(panel, topics, s, 40, 5, windows=(7,))
+    assert got["shocks_used"] == len(shocks) == got["placebo_days"] == 207
+    for name, on in (("", shocks), ("placebo_", fake)):
+        att, p = plain_test(y, on, pool, 7, 40, 12)
+        assert close(got[f"{name}att7"], att) and close(got[f"{name}p7"], p)
+    got = models.event_study(panel, s, 40, 5)
+    base = {d: statistics.fmean(y[d - k * DAY] for k in range(8, 22)) for d in shocks}
+    curve = [round(statistics.fmean(y[d + k * DAY] - base[d] for d in shocks), 6) for k in range(1, 15)]
+    assert got["shocks_used"] == 207 and close(got["peak"], max(curve))
+
+
 def test_violations():
     ok = lambda a, p: {"status": "ok", "att": a, "p": p}
     assert models.violation(ok(1.0, 0.01), ok(0.2, 0.05)) == (True, False)

@@ -19,10 +19,9 @@ from . import estimators as E
 from . import forests as FT
 from . import permute as T
 from . import windows as WN
-from .shocks import downsample
 
 #: Thresholds of the gates.
-MIN_EFFECT, MAX_SHOCKS, BUFFER, EVENT_BUFFER = 0.05, 180, 7, 14
+MIN_EFFECT, BUFFER, EVENT_BUFFER = 0.05, 7, 14
 PRETREND_RATIO, PRETREND_FLOOR, LEAST_DRAWS = 0.6, 2.0, 200
 #: The least observed days and shocks of a model, and the least shocks where a catalog names them.
 DID_DAYS, DID_SHOCKS, EVENT_DAYS, EVENT_SHOCKS, SYNTH_SHOCKS, CATALOG_SHOCKS = 60, 8, 90, 10, 8, 5
@@ -74,7 +73,7 @@ def too_few(days: int, shocks: int, min_days: int, min_shocks: int, catalog: boo
 
 
 def did(panel: DataFrame, topics: DataFrame, shocks: DataFrame, draws: int, seed: int, windows: Sequence[int] = (7, 14, 30), catalog: bool = False, min_days: int = DID_DAYS, min_shocks: int = DID_SHOCKS) -> dict:
-    """Mean differences around shocks by window, the same around placebo days, and of ``topics (d, topic, n)`` as negative controls at 7 days.
+    """Mean differences around all shocks by window, the same around as many placebo days, and of ``topics (d, topic, n)`` as negative controls at 7 days.
 
     Passes with a significant positive window, at least one negative control estimated and none with an effect, and no
     placebo window with an effect or as large as the real one. Pending, with nothing estimated, under ``min_days`` observed days or ``min_shocks`` shocks.
@@ -84,16 +83,14 @@ def did(panel: DataFrame, topics: DataFrame, shocks: DataFrame, draws: int, seed
     if why:
         empty = {"shocks_used": 0, "placebo_days": 0, "significant": 0, "placebo_estimated": 0, "placebo_violations": 0, "placebo_dominant": 0, "controls_estimated": 0, "control_violations": 0, "control_borderline": 0}
         return {"status": why} | empty | {f"{k}{w}": None for w in windows for k in ("att", "p", "placebo_att", "placebo_p")} | {"placebo_passed": False, "passed": False}
-    used = downsample(shocks, MAX_SHOCKS)
-    n = used.count()
     pool = T.placebo_pool(panel, shocks, BUFFER)
-    fake = placebo_days(pool, n, seed + 9973 + n_days)
+    fake = placebo_days(pool, n_shocks, seed + 9973 + n_days)
     n_fake = fake.count()
     wide = WN.mean_effects(panel, "outcome", windows, panel)
-    out: dict = {"status": "ok", "shocks_used": n, "placebo_days": n_fake, "significant": 0, "placebo_estimated": 0, "placebo_violations": 0, "placebo_dominant": 0, "controls_estimated": 0, "control_violations": 0, "control_borderline": 0}
+    out: dict = {"status": "ok", "shocks_used": n_shocks, "placebo_days": n_fake, "significant": 0, "placebo_estimated": 0, "placebo_violations": 0, "placebo_dominant": 0, "controls_estimated": 0, "control_violations": 0, "control_borderline": 0}
     for w in windows:
         eff = wide.select("d", F.col(f"e{w}").alias("e"))
-        real, placebo = window_test(eff, used, n, pool, draws, seed + w), window_test(eff, fake, n_fake, pool, draws, seed + w)
+        real, placebo = window_test(eff, shocks, n_shocks, pool, draws, seed + w), window_test(eff, fake, n_fake, pool, draws, seed + w)
         out |= {f"att{w}": real["att"], f"p{w}": real["p"], f"placebo_att{w}": placebo["att"], f"placebo_p{w}": placebo["p"]}
         has, reaches = violation(real, placebo)
         out["placebo_estimated"] += placebo["status"] == "ok"
@@ -102,7 +99,7 @@ def did(panel: DataFrame, topics: DataFrame, shocks: DataFrame, draws: int, seed
         out["significant"] += real["status"] == "ok" and real["att"] > 0 and below(real["p"], 0.05)
     for r in topics.select("topic").distinct().orderBy("topic").collect():  # the topics of a lexicon
         one = topics.where(F.col("topic") == r["topic"]).select("d", F.col("n").alias("v"))
-        got = window_test(WN.mean_effects(one, "v", (7,), one).select("d", F.col("e7").alias("e")), used, n, pool, draws, seed + 7)
+        got = window_test(WN.mean_effects(one, "v", (7,), one).select("d", F.col("e7").alias("e")), shocks, n_shocks, pool, draws, seed + 7)
         out["controls_estimated"] += got["status"] == "ok"
         if got["status"] == "ok" and got["att"] > 0 and below(got["p"], 0.1):
             out["control_violations" if got["att"] > MIN_EFFECT else "control_borderline"] += 1
@@ -111,15 +108,14 @@ def did(panel: DataFrame, topics: DataFrame, shocks: DataFrame, draws: int, seed
 
 
 def event_study(panel: DataFrame, shocks: DataFrame, draws: int, seed: int, catalog: bool = False, min_days: int = EVENT_DAYS, min_shocks: int = EVENT_SHOCKS) -> dict:
-    """The dynamic effect's peak against drawn days, and its trend before the shocks. Undecided under LEAST_DRAWS draws; pending, with nothing estimated, under ``min_days`` observed days or ``min_shocks`` shocks."""
-    why = too_few(panel.count(), shocks.count(), min_days, min_shocks, catalog)
+    """The dynamic effect's peak over all shocks against drawn days, and its trend before them. Undecided under LEAST_DRAWS draws; pending, with nothing estimated, under ``min_days`` observed days or ``min_shocks`` shocks."""
+    n = shocks.count()
+    why = too_few(panel.count(), n, min_days, min_shocks, catalog)
     if why:
         return {"shocks_used": 0, "pretrend": None, "peak": None, "p": None, "draws": 0, "status": why, "pretrend_ok": False, "peak_positive": False, "p_significant": False, "passed": False}
-    used = downsample(shocks, MAX_SHOCKS)
     diffs = WN.event_diffs(panel, "outcome", panel)
-    curve = diffs.join(used, "d", "left_semi").groupBy("k").agg(F.round(F.avg("diff"), 6).alias("m"))
+    curve = diffs.join(shocks, "d", "left_semi").groupBy("k").agg(F.round(F.avg("diff"), 6).alias("m"))
     c = curve.agg(F.avg(F.when(F.col("k") < 0, F.abs("m"))).alias("pre"), F.max(F.when(F.col("k") > 0, F.col("m"))).alias("peak")).first()
-    n = used.count()
     null = T.null_table(WN.wide_diffs(diffs), [str(k) for k in range(1, 15)], T.placebo_pool(panel, shocks, EVENT_BUFFER), n, draws, seed, peak=6)
     peak = c["peak"] if c["peak"] is not None else 0.0
     got = T.p_of(null, {"peak": peak}).first()
