@@ -56,6 +56,28 @@ def test_many_copies_behind_other_holders_are_linked_without_all_their_pairs(spa
     assert len(pairs) < 4 * 30 and len(got) < 20 * 30
 
 
+def test_surroundings_are_kept_only_where_a_stretch_may_begin(spark, monkeypatch):
+    rng = random.Random(10)
+    p, held, plain = words(rng, 30), {}, chains.written
+    monkeypatch.setattr(chains, "written", lambda df, name: held.setdefault(name, plain(df, name)))
+    monkeypatch.setattr(chains, "dropped", lambda *tables: None)
+    q = words(rng, 80)
+    rows = [(i, " ".join(words(rng, 20) + p + words(rng, 25))) for i in range(40)]
+    rows += [(100 + i, " ".join(words(rng, 20) + p + words(rng, 4) + q[40 * i : 40 * i + 30] + words(rng, 9))) for i in range(2)]
+    rows += [(200, " ".join(q))]
+    got = {(r.doc_id, r.ref_doc_id) for r in passages(spark, rows)}
+    assert got == set()
+    assert len(rows) - 1 <= held["chain-around"].count() <= 2 * len(rows)
+
+
+def test_words_of_a_block_come_back():
+    rng = np.random.default_rng(2)
+    blocks = [rng.zipf(1.3, n).astype(np.uint32) * np.uint32(2654435761) for n in (1, 9, 70_000)] + [np.full(300, 2**32 - 1, np.uint32)]
+    packed = [chains._packed(w) for w in blocks]
+    assert chains._unpacked(pd.DataFrame({"words": packed}))["words"].tolist() == [w.tobytes() for w in blocks]
+    assert len(packed[2]) < 0.6 * blocks[2].nbytes
+
+
 def test_bounds_let_every_passage_through():
     rng, n = np.random.default_rng(1), 0
     for _ in range(3000):
