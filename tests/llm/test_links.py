@@ -59,7 +59,7 @@ def test_many_copies_behind_other_holders_are_linked_without_all_their_pairs(spa
 def test_surroundings_are_kept_only_where_a_stretch_may_begin(spark, monkeypatch):
     rng = random.Random(10)
     p, held, plain = words(rng, 30), {}, chains.written
-    monkeypatch.setattr(chains, "written", lambda df, name: held.setdefault(name, plain(df, name)))
+    monkeypatch.setattr(chains, "written", lambda df, name: held.update({name: plain(df, name)}) or held[name])
     monkeypatch.setattr(chains, "dropped", lambda *tables: None)
     q = words(rng, 80)
     rows = [(i, " ".join(words(rng, 20) + p + words(rng, 25))) for i in range(40)]
